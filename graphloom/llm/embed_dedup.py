@@ -23,8 +23,10 @@ from graphloom.llm.components import components
 
 THRESHOLD = 0.95
 #: Filters that a vector passes on average, and vectors in one on average.
-PASSES = 24
-PER_FILTER = 32
+PASSES = 16
+PER_FILTER = 64
+#: Filters that a vector has at least.
+LEAST = 16
 MOST_WORDS = 512
 SEED = 20
 
@@ -63,18 +65,27 @@ class Code:
         self.least = NormalDist().inv_cdf(1 - min(0.4, PASSES / filters)) / np.sqrt(dim)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Sorted ids of all filters that x passes; of the best one if there are none."""
+        """Sorted ids of all filters that x passes.
+
+        A vector that passes fewer than LEAST of them is given a lower threshold,
+        in steps, so that no list is thin.
+        """
         y = x @ self.turn
         scores = [b @ y[a:c] for b, a, c in zip(self.books, self.cuts, self.cuts[1:])]
-        rest = np.cumsum([s.max() for s in scores[::-1]])[::-1]
-        least = min(self.least, rest[0])
+        rest = np.append(np.cumsum([s.max() for s in scores[::-1]])[::-1], 0.0)
+        least, enough = self.least, min(LEAST, self.words ** len(scores))
+        while len(ids := self._over(scores, rest, least)) < enough:
+            least -= 0.03
+        return np.sort(ids)
+
+    def _over(self, scores: list[np.ndarray], rest: np.ndarray, least: float) -> np.ndarray:
+        """Block by block; a prefix is dropped once the best that can follow leaves it under the threshold."""
         ids, sums = np.zeros(1, np.int64), np.zeros(1)
         for k, s in enumerate(scores):
-            after = rest[k + 1] if k + 1 < len(scores) else 0.0
             both = sums[:, None] + s[None, :]
-            i, j = np.nonzero(both >= least - after - 1e-12)
+            i, j = np.nonzero(both >= least - rest[k + 1] - 1e-12)
             ids, sums = ids[i] * self.words + j, both[i, j]
-        return np.sort(ids)
+        return ids
 
 
 def _decoded(m: int, words: int):
@@ -95,8 +106,11 @@ def _decoded(m: int, words: int):
     return run
 
 
-def _bucket(ids: np.ndarray, x: np.ndarray, times: np.ndarray, lower: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float):
-    """Links inside one filter: (id, links not counted in a lower filter, smallest id linked in here)."""
+def _bucket(ids: np.ndarray, x: np.ndarray, times: np.ndarray, lower, side: np.ndarray, cross: bool, threshold: float):
+    """Links inside one filter: (id, links not counted in a lower filter, smallest id linked in here).
+
+    lower(i) has the filters of row i below this one; it is asked for linked rows only.
+    """
     close = x @ x.T >= threshold
     np.fill_diagonal(close, False)
     if cross:
@@ -105,9 +119,10 @@ def _bucket(ids: np.ndarray, x: np.ndarray, times: np.ndarray, lower: list[np.nd
     if not len(at):
         return
     close = close[np.ix_(at, at)]
-    _, place = np.unique(np.concatenate([lower[i] for i in at]), return_inverse=True)
+    lists = [lower(i) for i in at]
+    _, place = np.unique(np.concatenate(lists), return_inverse=True)
     has = np.zeros((len(at), place.max(initial=-1) + 1), np.float32)
-    has[np.repeat(np.arange(len(at)), [len(lower[i]) for i in at]), place] = 1
+    has[np.repeat(np.arange(len(at)), [len(x) for x in lists]), place] = 1
     new = close & (has @ has.T == 0)
     links = new @ times[at]
     label = ids[at].copy()
@@ -119,19 +134,34 @@ def _bucket(ids: np.ndarray, x: np.ndarray, times: np.ndarray, lower: list[np.nd
     yield from zip(ids[at].tolist(), links.tolist(), label.tolist())
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, m: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by filter and pair of chunks."""
         held: list[tuple] = []
         out: list[tuple] = []
+        codes: dict[int, Code] = {}
+        known: dict[int, np.ndarray] = {}
+
+        def filters(id_: int, x: np.ndarray) -> np.ndarray:
+            if id_ not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                if len(x) not in codes:
+                    codes[len(x)] = Code(len(x), m, words)
+                known[id_] = codes[len(x)].decode(x)
+            return known[id_]
 
         def close_group() -> None:
             (dim, f, i, j), rows = held[0][0], held
             if len(rows) > 1:
                 x = np.array([unit(r[2]) for r in rows])
-                lower = [np.asarray(r[3]) for r in rows]
-                side = np.array([r[5] for r in rows])
-                out.extend(_bucket(np.array([r[1] for r in rows]), x, np.array([r[4] for r in rows], np.int64), [a[a < f] for a in lower], side, i != j, threshold))
+                ids, times, side = (np.array([r[k] for r in rows], np.int64) for k in (1, 3, 4))
+
+                def lower(r: int) -> np.ndarray:
+                    own = filters(int(ids[r]), x[r])
+                    return own[own < f]
+
+                out.extend(_bucket(ids, x, times, lower, side, i != j, threshold))
             held.clear()
 
         def flush() -> pa.RecordBatch:
@@ -141,11 +171,11 @@ def _verified(threshold: float):
 
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
-            for dim, f, i, j, own, id_, v, filters, times in zip(*cols):
+            for dim, f, i, j, own, id_, v, times in zip(*cols):
                 key = (dim, f, i, j)
                 if held and held[0][0] != key:
                     close_group()
-                held.append((key, id_, v, filters, times, own))
+                held.append((key, id_, v, times, own))
             if len(out) > 5000:
                 yield flush()
         if held:
@@ -178,14 +208,14 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = 512) -
     m, words = code_size(classes.count())
     kind = classes.schema["v"].dataType.simpleString()
     found = staged(classes.select("id", "v").mapInArrow(_decoded(m, words), f"id long, v {kind}, filters array<long>"), "decoded")
-    in_filters = found.select(F.size("v").alias("dim"), F.explode("filters").alias("f"), "id", "v", "filters")
+    in_filters = found.select(F.size("v").alias("dim"), F.explode("filters").alias("f"), "id", "v")
     in_filters = in_filters.join(classes.select("id", "times"), "id")
     large = staged(found.select(F.size("v").alias("dim"), F.explode("filters").alias("f")).groupBy("dim", "f").count().filter(F.col("count") > chunk).select("dim", "f", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "large")
     n = F.coalesce("n", F.lit(1))
     dealt = in_filters.join(large, ["dim", "f"], "left").withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("dim", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "filters", "times")
+    dealt = dealt.select("dim", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "times")
     dealt = dealt.repartition("dim", "f", "i", "j").sortWithinPartitions("dim", "f", "i", "j")
-    per_filter = staged(dealt.mapInArrow(_verified(threshold), "id long, links long, root long"), "links")
+    per_filter = staged(dealt.mapInArrow(_verified(threshold, m, words), "id long, links long, root long"), "links")
     links = per_filter.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(per_filter.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, "id", "left").join(roots, classes.id == roots.node, "left")

@@ -122,7 +122,7 @@ class Model:
 
     def emissions(self, bucket: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
         columns = np.ascontiguousarray(self.weights.T)
-        return np.stack([np.bincount(word, c.take(bucket), n) for c in columns], axis=1)
+        return np.stack([np.bincount(word, c.take(bucket), n) for c in columns], axis=1) if len(columns) else np.zeros((n, 0))
 
     def marginals(self, emissions: np.ndarray, breaks: np.ndarray, moves: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(distribution of each word, expected moves where they are asked for); sequences start at breaks and have SEQUENCE words at most."""
@@ -162,11 +162,13 @@ class Model:
         return w.text, self.marginals(self.emissions(*self.features(w), w.n), _breaks(w.text))[0]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         text, p = self.word_labels(texts)
-        total = np.stack([np.bincount(text, p[:, k], len(texts)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(texts), 0))
+        total = np.stack([np.bincount(text, p[:, k], len(texts)) for k in range(len(self.langs))], axis=1)
         count = np.bincount(text, minlength=len(texts))
-        best = total.argmax(axis=1) if self.langs else np.zeros(len(texts), int)
-        return [(self.langs[b], float(min(1.0, t[b] / c))) if c and self.langs else (UNKNOWN, 0.0) for b, t, c in zip(best, total, count)]
+        best = total.argmax(axis=1)
+        return [(self.langs[b], float(min(1.0, t[b] / c))) if c else (UNKNOWN, 0.0) for b, t, c in zip(best, total, count)]
 
 
 def _breaks(text: np.ndarray) -> np.ndarray:

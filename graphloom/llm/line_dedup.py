@@ -56,21 +56,25 @@ def deduped(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, keep:
     found = boilerplate(docs, min_sites, lg_k)
     uses = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_long_lines(text_of()), _key))).alias("k")).select("doc_id", "k.h1", "k.h2")
     hit = uses.join(found, ["h1", "h2"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hit"))
-    d = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_t"))
+    own = [c for c in keep if c != "text"]
+    d = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(own)], F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_t"))
     d = d.join(hit, F.col("_doc").eqNullSafe(F.col("_id")), "left").withColumn("_l", F.split("_t", "\n"))
     # a hit is a long line: short ones were never counted
     stay = F.filter("_l", lambda x: ~F.array_contains(F.col("_hit"), _key(x)))
     d = d.withColumn("_stay", F.when(F.col("_hit").isNull(), F.col("_l")).otherwise(stay))
-    new = F.array_join("_stay", "\n")
-    d = d.withColumn("_new", F.when(F.size("_l") == F.size("_stay"), F.col("_t")).otherwise(new))
-    d = d.withColumn("whole_copy", F.when(F.size("_l") == F.size("_stay"), False).otherwise(2 * n_words_of(F.col("_new")) < n_words_of(F.col("_t"))))
+    same = F.size("_l") == F.size("_stay")
+    d = d.withColumn("_new", F.when(same, F.col("_t")).otherwise(F.array_join("_stay", "\n")))
+    d = d.withColumn("_whole", F.coalesce(F.when(same, False).otherwise(2 * n_words_of(F.col("_new")) < n_words_of(F.col("_t"))), F.lit(False)))
     n = F.when(F.col("_t").isNull(), 0).otherwise(F.size("_l")).cast("long")
-    gone = F.when(F.col("whole_copy") | F.col("_t").isNull(), 0).otherwise(F.size("_l") - F.size("_stay")).cast("long")
-    rest = [F.col(f"`{c}`") for c in keep if c != "text"]
-    return d.select(*rest, F.when(F.col("whole_copy"), F.col("_t")).otherwise(F.col("_new")).alias("text"), n.alias("n_lines"), gone.alias("n_removed"), F.coalesce("whole_copy", F.lit(False)).alias("whole_copy"))
+    gone = F.when(F.col("_whole") | F.col("_t").isNull(), 0).otherwise(F.size("_l") - F.size("_stay")).cast("long")
+    text = F.when(F.col("_whole"), F.col("_t")).otherwise(F.col("_new"))
+    return d.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(own)], text.alias("text"), n.alias("n_lines"), gone.alias("n_removed"), F.col("_whole").alias("whole_copy"))
 
 
 def deduped_documents(docs: DataFrame, **options) -> DataFrame:
     """All rows of docs without boilerplate lines, with the columns of docs; n_chars, where there is one, follows the text."""
-    out = deduped(docs, keep=docs.columns, **options)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = {c: f"_own{i}" if c in ("n_lines", "n_removed", "whole_copy") else c for i, c in enumerate(docs.columns)}
+    out = deduped(docs.withColumnsRenamed(names), keep=list(names.values()), **options)
+    out = out.drop("n_lines", "n_removed", "whole_copy").withColumnsRenamed({v: k for k, v in names.items()})
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -1,3 +1,150 @@
 """DuckDB SQL with the results of the queries, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP2 = rf"""
+with d as (
+  select row_number() over () as r, doc_id, source, coalesce(text, '') as t, {_WORDS} as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents
+), win as (
+  select r, i, count(*) over (partition by r, array_to_string(w[i:i+7], ' ')) as c
+  from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)
+), cover as (
+  select r, sum(least(8, i - coalesce(before, -8))) as n
+  from (select r, i, lag(i) over (partition by r order by i) as before from win where c > 1)
+  group by r
+), m as (
+  select doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines,
+         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
+  from d left join cover using (r)
+), f as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+         100 * n_symbols > 100 * n_words or 100 * n_dup_lines > 30 * n_lines
+         or word_chars < 2 * n_words or word_chars > 15 * n_words as other_failed
+  from m
+), h as (
+  select source, count(*) as n, count(*) filter (where base_failed or other_failed) as bad from f group by source
+), mean as (
+  select sum(bad)::double / sum(n) as m from h
+), prior as (
+  select m, least(1000, greatest(1, case when v > 0 then m * (1 - m) / v - 1 else 1000 end)) as k
+  from (select any_value(m) as m, sum(n * (bad::double / n - m) * (bad::double / n - m)) / sum(n) as v from h, mean)
+), verdict as (
+  select source, (bad + m * k) / (n + k) > 0.5 as rejected from h, prior
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not rejected as kept
+from f join verdict on f.source is not distinct from verdict.source
+"""
+
+OP4 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         length(coalesce(text, ''))::double as chars,
+         len(regexp_extract_all(coalesce(text, ''), '[0-9#*$%&|<>=+_{}~^@/\\]'))::double as junk
+  from documents
+), k as (
+  select *, -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix-1'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double)
+            / (case when chars = 0 then 1.0::double else chars / (chars + 10 * junk) end) as key
+  from d
+), s as (
+  select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
+  from k group by source
+), o as (
+  select *, 2 * source_size as cap, row_number() over (order by 2.0 * source_size / w, source nulls last) as pos from s
+), level as (
+  select o.pos, o.w, o.cap,
+         (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by pos rows between unbounded preceding and 1 preceding), 0))
+         / sum(w) over (order by pos rows between current row and unbounded following) as lam
+  from o
+), lam as (
+  select min_by(lam, pos) as lam from level where lam * w <= cap
+), t as (
+  select source, source_size, least(cap::double, coalesce(lam, 0) * w) as target from o, lam
+), e as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t
+), b as (
+  select *, floor(target)::bigint - epochs * source_size as room from e
+), r as (
+  select k.doc_id, k.size, b.source_size, b.target, b.epochs, b.room,
+         coalesce(sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.size rows between unbounded preceding and 1 preceding), 0) as before
+  from k join b on k.source is not distinct from b.source
+)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, room - before)))::bigint as taken from r
+"""
+
+_ESCAPED = r"replace(replace(replace({0}, '\', '\e'), '#', '\h'), '<', '\l')"
+
+OP6 = rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7::bigint, 0::bigint, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from c
+), p as (
+  select *, lag(role) over (partition by conv_id order by pos) as before from o
+)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length({_ESCAPED.format("text")}) + case when before is null or before <> role
+           then 6 + length(replace({_ESCAPED.format("role")}, ':', '\c')) + 8 else 6 end)::bigint as formatted_chars
+from p group by conv_id
+"""
+
+OP7 = r"""
+with d as (
+  select row_number() over () as r, doc_id, source, text, string_split(text, chr(10)) as l from documents
+), u as (
+  select r, source, unnest(l) as line, generate_subscripts(l, 1) as i from d where text is not null
+), n as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from u
+), b as (
+  select line from n where words >= 5 group by line having count(distinct source) >= 10
+), s as (
+  select r, count(*) as n_lines, count(*) filter (where line in (from b)) as hits, sum(words) as words,
+         coalesce(sum(words) filter (where line not in (from b)), 0) as rest,
+         string_agg(line, chr(10) order by i) filter (where line not in (from b)) as kept
+  from n group by r
+)
+select doc_id, case when s.r is null then null when hits = 0 or 2 * rest < words then text else coalesce(kept, '') end as text,
+       coalesce(n_lines, 0)::bigint as n_lines, case when coalesce(2 * rest < words, false) then 0 else coalesce(hits, 0) end::bigint as n_removed,
+       coalesce(hits > 0 and 2 * rest < words, false) as whole_copy
+from d left join s using (r)
+"""
+
+_UNIT = "list_transform(embedding, lambda x: x::double)"
+OP10 = rf"""
+with recursive v as (
+  select row_number() over () as r, vec_id, {_UNIT} as e from embeddings
+), s as (
+  select r, vec_id, e, sqrt(list_dot_product(e, e)) as n from v
+  where vec_id is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and list_dot_product(e, e) > 0
+), l as (
+  select a.r as a, b.r as b from s a join s b
+  on a.r <> b.r and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), reach as (
+  select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a
+), least_id as (
+  select reach.a as r, min(v.vec_id) as id from reach join v on v.r = reach.b group by reach.a
+), links as (
+  select a as r, count(*) as n from l group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(coalesce(id, vec_id), vec_id) as component_id,
+       vec_id is not distinct from least(coalesce(id, vec_id), vec_id) as kept
+from v left join links using (r) left join least_id using (r)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": OP2,
+    "op4_mixing": OP4,
+    "op6_chat_formatting": OP6,
+    "op7_line_dedup": OP7,
+    "op10_embedding_dedup": OP10,
+}
