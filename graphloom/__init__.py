@@ -1,0 +1 @@
+"""Typed property graphs, rules and question workloads as PySpark DataFrames."""
