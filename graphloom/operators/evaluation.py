@@ -54,7 +54,7 @@ def wilson(k: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
     z = NORMAL[level]
     p, d = k / F.nullif(n, F.lit(0)), 1 + z * z / F.nullif(n, F.lit(0))
     mid, wide = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    clip = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), F.lit(0.0))
+    clip = lambda x: F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     return clip((mid - wide) / d), clip((mid + wide) / d)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.rules import Rule, heads, join_body
-from graphloom.plans.stage import staged
+from graphloom.plans.stage import staged, written
 
 KEY = ["src", "rel", "dst"]
 
@@ -29,27 +29,31 @@ def closure(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, by: list
     """
     by = by or []
     key = [*by, *KEY]
+    spark = facts.sparkSession
+    premises = "array<struct<src:string,rel:string,dst:string>>"
     base = facts.select(*key).distinct()
-    used = sorted({p[1] for r in rules for p in r.body})
-    made = sorted({r.head[1] for r in rules})
-    known = staged(base.filter(F.col("rel").isin([*used, *made])))
-    fresh, rounds = known, []
+    used = sorted({p[1] for r in rules for p in r.body} | {r.head[1] for r in rules})
+    # facts of a round stay where they were written; what is known is one scan over all of them
+    given = [written(base.filter(F.col("rel").isin(used)))] if rules else []
+    key_schema, found = base.schema, []
     for n in range(1, max_rounds + 1):
-        derived = [d for k, r in enumerate(rules) for d in _derive(r, k, known, fresh, by, n == 1)]
-        if not derived:
+        if not rules:
             break
-        every = reduce(DataFrame.unionByName, derived).join(known, key, "left_anti")
+        known = spark.read.schema(key_schema).parquet(*given, *found)
+        fresh = spark.read.schema(key_schema).parquet(found[-1]) if found else known
+        derived = [_derive(r, k, known, fresh, by, n == 1) for k, r in enumerate(rules)]
+        every = reduce(DataFrame.unionByName, [d for ds in derived for d in ds]).join(known, key, "left_anti")
         first = every.groupBy(*key).agg(F.min(F.struct("order", "premises", "rule")).alias("d"))
-        fresh = staged(first.select(*key, F.lit(n).alias("round"), "d.rule", "d.premises"))
-        if fresh.isEmpty():
+        new = first.select(*key, F.lit(n).alias("round"), "d.rule", F.col("d.premises").cast(premises).alias("premises"))
+        path = written(new)
+        if spark.read.schema(new.schema).parquet(path).isEmpty():
             break
-        rounds.append(fresh)
-        known = staged(known.select(*key).unionByName(fresh.select(*key)))
+        found.append(path)
+        schema = new.schema
     else:
         raise NotConverged(f"no fixpoint after {max_rounds} rounds")
-    premises = "array<struct<src:string,rel:string,dst:string>>"
-    given = base.select(*key, F.lit(0).alias("round"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast(premises).alias("premises"))
-    return reduce(DataFrame.unionByName, rounds, given)
+    out = base.select(*key, F.lit(0).alias("round"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast(premises).alias("premises"))
+    return out.unionByName(spark.read.schema(schema).parquet(*found)) if found else out
 
 
 def _derive(rule: Rule, order: int, known: DataFrame, fresh: DataFrame, by: list[str], start: bool) -> list[DataFrame]:

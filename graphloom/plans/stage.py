@@ -16,8 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: one copy that outlives any executor, with its true size for the planner."""
+def written(df: DataFrame) -> str:
+    """The path of df in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: one copy that outlives any executor, with its true size for the planner."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))

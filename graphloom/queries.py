@@ -1006,12 +1006,12 @@ def x2_sample(spark, sf):
 
 @query(f"{SCM} select y as value, count(*) as n, count(*) / (select count(*) from s where x = 1) as probability from s where x = 1 group by y")
 def x3_distribution(spark, sf):
-    return scm().distribution(spark, "y", 20_000, evidence={"x": 1})
+    return scm().distribution(spark, "y", 20_000, evidence={"x": 1}).withColumn("value", F.col("value").cast("int"))
 
 
 @query(f"{SCM} select y_do1 as value, count(*) as n, count(*) / 20000 as probability from s group by 1")
 def x4_intervention(spark, sf):
-    return scm().distribution(spark, "y", 20_000, do={"x": 1})
+    return scm().distribution(spark, "y", 20_000, do={"x": 1}).withColumn("value", F.col("value").cast("int"))
 
 
 @query(f"{SCM} select y_do1 as value, count(*) as n from s where x = 0 and y = 0 group by 1")
@@ -1060,6 +1060,6 @@ def w7_verdicts(spark, sf):
     return W.verdicts(log(spark, sf)).select(temporal.seconds("start").alias("start"), "correct", "n")
 
 
-@query(f"with {LOG}, g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from log), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as run from g) select user_id, epoch(min(ts))::bigint as start, count(*) as n from s group by user_id, run")
+@query(f"with {LOG}, g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from log), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as run from g) select user_id, floor(epoch(min(ts)))::bigint as start, count(*) as n from s group by user_id, run")
 def w8_sessions(spark, sf):
     return W.sessions(log(spark, sf)).select("user_id", temporal.seconds("start").alias("start"), "n")
