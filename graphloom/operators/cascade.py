@@ -191,3 +191,34 @@ class Session:
 
             self.closed = staged(with_facts(self.closed, new))
         return out
+
+
+def recorded(stream: DataFrame, log: DataFrame) -> DataFrame:
+    """stream(idx, head, relation) with the answers and cost of a log(head, relation, answers, cost) of paid calls, one each pair; only the first use of a pair is paid.
+
+    A pair that the log lacks raises: a replay never asks anew.
+    """
+    once = log.groupBy("head", "relation").agg(F.min(F.struct("answers", "cost")).alias("_l"))
+    out = stream.withColumn("_new", first_seen(stream, ["head", "relation"])).join(once, ["head", "relation"], "left")
+    missing = F.raise_error(F.concat(F.lit("no recorded answer for "), F.col("head"), F.lit(" "), F.col("relation"))).cast("array<string>")
+    return out.select(*stream.columns, F.when(F.col("_l").isNull(), missing).otherwise(F.col("_l.answers")).alias("answers"), F.when(F.col("_new"), F.col("_l.cost")).otherwise(0.0).alias("paid"))
+
+
+def valid_requests(requests: DataFrame, chars: int = 1000, most: int = 1000) -> DataFrame:
+    """requests(head, relation, answers) within the limits of the service."""
+    short = lambda x: F.length(x) <= chars
+    return requests.filter(short(F.col("head")) & short(F.col("relation")) & (F.size("answers") <= most) & F.forall("answers", short))
+
+
+def grid(spark, runs: dict[str, list], fn, schema: str) -> DataFrame:
+    """fn(parameters) -> list of rows for each combination of run parameters, spread over the workers."""
+    from itertools import product
+
+    jobs = spark.createDataFrame(pd.DataFrame(list(product(*runs.values())), columns=list(runs)))
+
+    def run(batches):
+        for b in batches:
+            for job in b.to_dict("records"):
+                yield pd.DataFrame(fn(job))
+
+    return jobs.repartition(max(1, jobs.count())).mapInPandas(run, schema)

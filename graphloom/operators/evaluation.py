@@ -159,3 +159,31 @@ def reconcile(stored: DataFrame, counted: DataFrame, key: list[str], value: str)
 def verdict(percent_saved: Column) -> Column:
     """reduces from 20 %, neutral from 0, else costs; none without data."""
     return F.when(percent_saved.isNull(), "none").when(percent_saved >= 20, "reduces").when(percent_saved >= 0, "neutral").otherwise("costs")
+
+
+def saving(costs: DataFrame, keys: list[str], base: str, arm: str) -> DataFrame:
+    """(keys, factor, percent_saved, verdict) of costs(keys, system, cost): base over arm, 0 saved where base is free."""
+    both = costs.groupBy(*keys).agg(F.sum(F.when(F.col("system") == base, F.col("cost"))).alias("b"), F.sum(F.when(F.col("system") == arm, F.col("cost"))).alias("a"))
+    percent = F.coalesce(100 * (F.col("b") - F.col("a")) / F.nullif("b", F.lit(0)), F.lit(0.0))
+    return both.select(*keys, (F.col("b") / F.nullif("a", F.lit(0))).alias("factor"), percent.alias("percent_saved"), verdict(percent).alias("verdict"))
+
+
+def ab_summary(records: DataFrame) -> DataFrame:
+    """(arm, n, cost, accuracy): rows go to arms A and B in turn by idx."""
+    arm = F.when(F.col("idx") % 2 == 0, "A").otherwise("B")
+    return records.groupBy(arm.alias("arm")).agg(F.count("*").alias("n"), F.avg("cost").alias("cost"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+
+
+def stride_sample(values: DataFrame, column: str, n: int = 200) -> DataFrame:
+    """(column, place): n distinct values at equal strides, counted through the values in order by range partitions, not in one task."""
+    d = values.select(column).filter(F.col(column).isNotNull()).distinct()
+    total = d.count()
+    parts = d.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+    from graphloom.plans.stage import staged
+
+    parts = staged(parts)
+    before = parts.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    out = parts.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("place", F.col("_b") + F.col("_i"))
+    step = max(1, total // n)
+    return out.filter((F.col("place") % step == 0) & (F.col("place") < step * n)).select(column, "place")

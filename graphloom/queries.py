@@ -1063,3 +1063,81 @@ def w7_verdicts(spark, sf):
 @query(f"with {LOG}, g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from log), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as run from g) select user_id, floor(epoch(min(ts)))::bigint as start, count(*) as n from s group by user_id, run")
 def w8_sessions(spark, sf):
     return W.sessions(log(spark, sf)).select("user_id", temporal.seconds("start").alias("start"), "n")
+
+
+# More of the cascade and its evaluation
+
+@query(f"with {LOG}, f as (select *, row_number() over (partition by head, relation order by idx) = 1 as new from log) select idx, upper(relation) as answers, case when new then 0.05::double else 0.0::double end as paid from f")
+def c15_recorded(spark, sf):
+    l = log(spark, sf).select("idx", "head", "relation")
+    answers = l.select("head", "relation").distinct().select("head", "relation", F.array(F.upper("relation")).alias("answers"), F.lit(0.05).alias("cost"))
+    return cascade.recorded(l, answers).select("idx", joined("answers"), "paid")
+
+
+@query("select event_id as id from events where length(props) <= 8")
+def c25_valid_requests(spark, sf):
+    r = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("props").alias("head"), F.col("event_type").alias("relation"), F.array("event_type").alias("answers"))
+    return cascade.valid_requests(r, chars=8).select("id")
+
+
+@query("select event_id as id, event_id % 5 <> 0 as correct from events where event_id % 2 = 0")
+def c22_feedback(spark, sf):
+    """The later verdict wins."""
+    e = read(spark, sf, "events")
+    eps = e.select(F.col("event_id").alias("id"))
+    one = lambda at, ok: e.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), ok.alias("correct"), F.lit("u").alias("by"), F.lit(at).alias("at"), F.lit("").alias("reason"))
+    fb = one(1.0, F.col("event_id") % 3 == 0).union(one(2.0, F.col("event_id") % 5 != 0))
+    return episodes.with_feedback(eps, fb).filter("feedback is not null").select("id", F.col("feedback.correct").alias("correct"))
+
+
+@query(f"with {LOG} select case when idx % 2 = 0 then 'A' else 'B' end as arm, count(*) as n, round(avg(cost), 8) as cost, round(avg(correct::int), 8) as accuracy from log group by 1")
+def a22_ab(spark, sf):
+    a = evaluation.ab_summary(log(spark, sf))
+    return a.select("arm", "n", F.round("cost", 8).alias("cost"), F.round("accuracy", 8).alias("accuracy"))
+
+
+@query(f"with {LOG}, c as (select relation, sum(cost) as b, sum(cost) filter (where tier = 3 or idx % 2 = 0) as a from log group by relation) select relation, round(b / a, 6) as factor, round(100 * (b - a) / b, 6) as percent_saved, case when 100 * (b - a) / b >= 20 then 'reduces' when b >= a then 'neutral' else 'costs' end as verdict from c")
+def a23_saving(spark, sf):
+    l = log(spark, sf)
+    costs = l.select("relation", F.lit("llm").alias("system"), "cost").union(l.filter("tier = 3 or idx % 2 = 0").select("relation", F.lit("full"), "cost"))
+    s = evaluation.saving(costs, ["relation"], "llm", "full")
+    return s.select("relation", F.round("factor", 6).alias("factor"), F.round("percent_saved", 6).alias("percent_saved"), "verdict")
+
+
+@query("with d as (select o_custkey, row_number() over (order by o_custkey) - 1 as place from (select distinct o_custkey from orders)), n as (select greatest(1, count(*) // 200) as step from d) select o_custkey, place from d, n where place % step = 0 and place < step * 200")
+def s26_stride_sample(spark, sf):
+    return evaluation.stride_sample(read(spark, sf, "orders"), "o_custkey", 200)
+
+
+@query(f"with {LOG} select idx, head from log where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-11'")
+def f13_window(spark, sf):
+    l = log(spark, sf).withColumn("timestamp", temporal.seconds("ts").cast("double"))
+    return episodes.window(l, 1704844800.0, 1704931200.0).select("idx", "head")
+
+
+@query(f"{PATHS}, i as (select r1, r2 from p where x <> y group by r1, r2 having count(*) >= 10), m as (select * from (values ('placed_by', 'lives_in'), ('a', 'b')) t(r1, r2)) select (select count(*) from i join m using (r1, r2)) as both, 2::bigint as mined, (select count(*) from i) as induced")
+def m6_overlap(spark, sf):
+    induced = mining.induce_relations(kg(spark, sf, "lives_in", "part_of", "placed_by", "manages"))
+    mined = spark.createDataFrame([("placed_by", "lives_in"), ("a", "b")], "r1 string, r2 string")
+    return mining.overlap(mined, induced).select("both", "mined", "induced")
+
+
+@query(f"with {HALVES} select h.id as q, t.id as tail, round(6 - list_sum(list_transform(range(1, 33), lambda i: sqrt(pow((h.re[i] * r.re[i] - h.im[i] * r.im[i]) / greatest(sqrt(r.re[i] * r.re[i] + r.im[i] * r.im[i]), 1e-12) - t.re[i], 2) + pow((h.re[i] * r.im[i] + h.im[i] * r.re[i]) / greatest(sqrt(r.re[i] * r.re[i] + r.im[i] * r.im[i]), 1e-12) - t.im[i], 2)))), 6) as score from ent h join rel r on r.r = h.label, ent t where h.id % 50 = 0 and t.id <> h.id")
+def k6_rotate(spark, sf):
+    ents, rels = model_tables(spark, sf)
+    q = ents.filter(F.col("id").cast("long") % 50 == 0).select(F.col("id").alias("q"), F.col("id").alias("head"), F.col("label").cast("string").alias("relation"))
+    s = link.scores(q, ents, rels, score=link.rotate_score)
+    return s.select(F.col("q").cast("long").alias("q"), F.col("tail").cast("long").alias("tail"), F.round("score", 6).alias("score"))
+
+
+@query()
+def c23_grid(spark, sf):
+    """Answer accuracy of the noisy oracle for each error rate and seed."""
+    w, truth = workload(spark, sf)
+    ents = read(spark, sf, "nation").select(_id("N", "n_nationkey").alias("id"))
+    out = None
+    for error in (0, 20, 50):
+        for seed in ("1", "2"):
+            r = cascade.oracle_teacher(w, truth, ents, error, seed).agg(F.avg(F.col("correct").cast("double")).alias("accuracy")).select(F.lit(error).alias("error_percent"), F.lit(seed).alias("seed"), "accuracy")
+            out = r if out is None else out.union(r)
+    return out
