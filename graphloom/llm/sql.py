@@ -9,9 +9,14 @@ with d as (
   select row_number() over () as r, doc_id, source, coalesce(text, '') as t, {_WORDS} as w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
   from documents
+), wd as (
+  select r, unnest(w) as x, generate_subscripts(w, 1) as i from d
+), eight as (
+  select r, i, concat_ws(' ', x, lead(x, 1) over o, lead(x, 2) over o, lead(x, 3) over o, lead(x, 4) over o, lead(x, 5) over o, lead(x, 6) over o, lead(x, 7) over o) as s,
+         lead(x, 7) over o is not null as whole
+  from wd window o as (partition by r order by i)
 ), win as (
-  select r, i, count(*) over (partition by r, array_to_string(w[i:i+7], ' ')) as c
-  from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)
+  select r, i, count(*) over (partition by r, s) as c from eight where whole
 ), cover as (
   select r, sum(least(8, i - coalesce(before, -8))) as n
   from (select r, i, lag(i) over (partition by r order by i) as before from win where c > 1)
