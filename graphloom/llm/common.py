@@ -44,10 +44,10 @@ def let(value: Column, body) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", "") or getattr(context, "_graphloom_dir", "")
     if not found:
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = context._graphloom_dir = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
     return found.rstrip("/")
 
 
