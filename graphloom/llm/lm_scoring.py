@@ -5,10 +5,10 @@ predicts the one in the middle; the log-probabilities of all tokens of a
 document add up to its score.  Tokens are words: the most frequent ones of the
 whole corpus, and classes of the others by their ending and length.
 
-Training windows come from every document, one position in stride, so they grow
-with the corpus.  They are dealt out to replicas by doc_id; in each round every
-replica trains on its share from the common parameters, and the mean weighted by
-windows is the next common state.
+Every position of every document is a training window in one of the rounds, so
+they grow with the corpus.  Documents are dealt out to replicas by doc_id; in
+each round every replica trains on its share from the common parameters, and the
+mean weighted by windows is the next common state.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from graphloom.llm.common import staged, tuned
 FREQUENT, CLASSES = 95, 32
 TOKENS = 1 + FREQUENT + CLASSES
 SIDE, HIDDEN = 3, 24
-STRIDE, ROUNDS = 16, 3
+ROUNDS = 3
 WINDOWS = 1 << 18  # of one replica
 #: Tokens that are scored at once.
 BLOCK = 1 << 11
@@ -156,40 +156,41 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], int]:
     return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], total
 
 
-def _windows(frequent: list[bytes], replicas: int):
+def _tokens(frequent: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(frequent)
         for b in batches:
-            blobs = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                x = ids.of(t.as_py() or "")
-                blobs.append(contexts(x)[(i or 0) % STRIDE :: STRIDE].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], ["doc_id", "replica", "windows"])
+            blobs = [ids.of(t.as_py() or "").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], ["doc_id", "replica", "ids"])
 
     return run
 
 
 def _trained(start: np.ndarray, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by replica."""
+        """Rows come sorted by replica; (windows, parameters times windows) of all replicas of a task."""
         held: list[np.ndarray] = []
-        now = None
+        now, n, total = None, 0, np.zeros(len(start))
 
-        def out() -> pa.RecordBatch:
+        def train() -> None:
+            nonlocal n
             w = np.concatenate(held)[round_::ROUNDS]
+            held.clear()
             net = Net.of_flat(start)
             net.train(w, np.random.default_rng([round_, now]), 0.1 / (1 + round_))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([len(w)]), pa.array([net.flat().astype(np.float64)], pa.list_(pa.float64()))], ["n", "params"])
+            n += len(w)
+            np.add(total, net.flat().astype(np.float64) * len(w), out=total)
 
         for b in batches:
-            for r, w in zip(b.column(0).to_pylist(), b.column(1)):
+            for r, x in zip(b.column(0).to_pylist(), b.column(1)):
                 if now is not None and r != now and held:
-                    yield out()
+                    train()
                 now = r
-                held.append(np.frombuffer(w.as_py(), np.uint8).reshape(-1, 2 * SIDE + 1))
+                held.append(contexts(np.frombuffer(x.as_py(), np.uint8)))
         if held:
-            yield out()
+            train()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], ["n", "params"])
 
     return run
 
@@ -197,16 +198,16 @@ def _trained(start: np.ndarray, round_: int):
 def fitted(docs: DataFrame) -> tuple[list[bytes], Net]:
     """(frequent words, network) from all documents."""
     frequent, total = vocabulary(docs)
-    replicas = max(1, -(-total // (STRIDE * WINDOWS)))
+    replicas = max(1, -(-total // WINDOWS))
     replica = F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).alias("replica")
-    gathered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), replica).mapInArrow(_windows(frequent, replicas), "doc_id long, replica long, windows binary")
-    gathered = staged(gathered.filter(F.length("windows") > 0).repartition("replica").sortWithinPartitions("replica", "doc_id", "windows"), "windows")
+    gathered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), replica).mapInArrow(_tokens(frequent), "doc_id long, replica long, ids binary")
+    gathered = staged(gathered.filter(F.length("ids") > 0).repartition("replica").sortWithinPartitions("replica", "doc_id", "ids"), "tokens")
     params = Net.fresh().flat()
     for r in range(ROUNDS):
-        dealt = gathered.select("replica", "windows", "doc_id").repartition("replica").sortWithinPartitions("replica", "doc_id", "windows").select("replica", "windows")
+        dealt = gathered.select("replica", "ids", "doc_id").repartition("replica").sortWithinPartitions("replica", "doc_id", "ids").select("replica", "ids")
         each = dealt.mapInArrow(_trained(params, r), "n long, params array<double>")
         # one row a parameter reaches the driver, however many replicas there are
-        mean = each.select("n", F.posexplode("params").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+        mean = each.select("n", F.posexplode("params").alias("at", "x")).groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"))
         found = sorted((m.at, m.x) for m in mean.collect())
         if not found:
             break

@@ -404,3 +404,18 @@ def test_lm_learns(spark):
     mixed = [" ".join(rng.sample(words(t), len(words(t)))) for t in texts]
     assert mean(net, texts) > mean(fresh, texts) + 0.3
     assert mean(net, texts) > mean(net, mixed)
+
+
+def test_lm_trains_on_every_position(spark, docs):
+    """All positions of all documents are windows of one round each; short documents too."""
+    import pyarrow as pa
+
+    texts = [r[1] for r in made() if r[1]]
+    ids = lm_scoring.Ids(lm_scoring.vocabulary(docs)[0])
+    rows = [ids.of(t).tobytes() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array(rows, pa.binary())], ["replica", "ids"])
+    start = lm_scoring.Net.fresh().flat()
+    seen = sum(b.column(0)[0].as_py() for k in range(lm_scoring.ROUNDS) for b in lm_scoring._trained(start, k)(iter([batch])))
+    assert seen == sum(len(words(t)) for t in texts)
+    short = spark.createDataFrame([(16 * i + 15, "a few words only") for i in range(20)], "doc_id long, text string")
+    assert not np.array_equal(lm_scoring.fitted(short)[1].flat(), start)
