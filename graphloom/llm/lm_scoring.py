@@ -3,7 +3,9 @@
 A small network sees the tokens in a window on both sides of a position and
 predicts the one in the middle; the log-probabilities of all tokens of a
 document add up to its score.  Tokens are words: the most frequent ones of the
-whole corpus, and classes of the others by their ending and length.
+whole corpus, and classes of the others by their ending and length.  A word of a
+class adds its log share of the class, from the counts of all words of the
+corpus.
 
 Every position of every document is a training window in one of the rounds, so
 they grow with the corpus.  Documents are dealt out to replicas by doc_id; in
@@ -13,12 +15,14 @@ mean weighted by windows is the next common state.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ ROUNDS = 3
 WINDOWS = 1 << 18  # of one replica
 #: Tokens that are scored at once.
 BLOCK = 1 << 11
+#: Shares of words that are one in KNOWN of all or more are broadcast, KNOWN at most; those of all others are joined.  Rows of such words that leave a worker at once.
+KNOWN, ROWS = 1 << 16, 50_000
 
 
 def split(text: str) -> list[bytes]:
@@ -108,6 +114,8 @@ class Net:
         params = (self.table, self.bias, self.out, self.out_bias)
         seen = [np.full_like(p, 1e-2) for p in params]
         order = rng.permutation(len(windows))
+        sides = [k for k in range(2 * SIDE + 1) if k != SIDE]
+        first = TOKENS * np.arange(2 * SIDE)
         for at in range(0, len(order), batch):
             w = windows[order[at : at + batch]]
             h = self.hidden(w)
@@ -117,9 +125,9 @@ class Net:
             z[np.arange(len(w)), w[:, SIDE]] -= 1
             z /= len(w)
             dh = (z @ self.out.T) * (1 - h * h)
-            table = np.zeros_like(self.table)
-            for t, k in zip(table, [k for k in range(2 * SIDE + 1) if k != SIDE]):
-                np.add.at(t, w[:, k], dh)
+            hot = np.zeros((2 * SIDE * TOKENS, len(w)), np.float32)
+            hot[(w[:, sides] + first).T, np.arange(len(w))] = 1
+            table = (hot @ dh).reshape(self.table.shape)
             for p, s, g in zip(params, seen, (table, dh.sum(axis=0), h.T @ z, z.sum(axis=0))):
                 s += g * g
                 p -= np.float32(rate) * g / np.sqrt(s)
@@ -149,11 +157,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[bytes], int]:
-    """(the most frequent words of all documents, number of all words); ties by byte order."""
-    counts = staged(docs.select(F.col("text").cast("string")).mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], total
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of all documents."""
+    return staged(docs.select(F.col("text").cast("string")).mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def _class_counts(frequent: list[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, total = Ids(frequent), np.zeros(TOKENS, np.int64)
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[ids[w]] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(TOKENS), pa.int32()), pa.array(total)], ["token", "n"])
+
+    return run
+
+
+def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, float], list[float]]:
+    """({word: log share of its token} of the most frequent words, log count of each token)."""
+    totals, total = np.ones(TOKENS), 0
+    for r in counts.mapInArrow(_class_counts(frequent), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0").collect():
+        totals[r.token] = r.n
+        total += r.n
+    logs, ids = np.log(totals).tolist(), Ids(frequent)
+    best = counts.filter(F.col("n") >= total / KNOWN).collect()
+    return {bytes(r.word): math.log(r.n) - logs[ids[bytes(r.word)]] for r in best}, logs
 
 
 def _tokens(frequent: list[bytes]):
@@ -195,9 +223,11 @@ def _trained(start: np.ndarray, round_: int):
     return run
 
 
-def fitted(docs: DataFrame) -> tuple[list[bytes], Net]:
-    """(frequent words, network) from all documents."""
-    frequent, total = vocabulary(docs)
+def fitted(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[bytes], Net]:
+    """(the most frequent words, ties by byte order; network) from all documents, with their word_counts."""
+    counts = word_counts(docs) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     replicas = max(1, -(-total // WINDOWS))
     replica = F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).alias("replica")
     gathered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), replica).mapInArrow(_tokens(frequent), "doc_id long, replica long, ids binary")
@@ -225,22 +255,55 @@ def log_likelihood(text: str, ids: Ids, net: Net) -> tuple[int, float]:
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_prob), one row per row of docs.
+    """(doc_id, n_tokens, log_likelihood, word_log_likelihood, mean_log_prob), one row per row of docs.
+
+    log_likelihood sums log P(token | context).  word_log_likelihood adds log
+    P(word | token) of every word, and mean_log_prob is its mean.
 
     Null and empty texts have no tokens, log-likelihood 0 and a null mean.
     Documents that repeat count as often as they are there.  Other columns are
     ignored; an empty table gives no rows.
     """
     spark = tuned(docs.sparkSession)
-    frequent, net = fitted(docs)
-    shared = spark.sparkContext.broadcast((frequent, net.flat()))
+    counts = word_counts(docs)
+    frequent, net = fitted(docs, counts)
+    shared = spark.sparkContext.broadcast((frequent, net.flat(), *shares(counts, frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
+        """A row with head for each document, and one for each of its words that are not known here."""
+        words, flat, known, logs = shared.value
         ids, net = Ids(words), Net.of_flat(flat)
+        row = TaskContext.get().partitionId() << 40
+        kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token", pa.float64()), ("word", pa.float64())])
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            at, w, n, head = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(head, kind)], ["row", "word", "n", "head"])
+
         for b in batches:
-            out = [log_likelihood(t.as_py() or "", ids, net) for t in b.column(1)]
-            n = [x for x, _ in out]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([s for _, s in out], pa.float64()), pa.array([s / k if k else None for k, s in out], pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                text = t.as_py() or ""
+                n, token = log_likelihood(text, ids, net)
+                share = 0.0
+                for w, k in Counter(split(text)).items():
+                    p = known.get(w)
+                    if p is None:
+                        p = -logs[ids[w]]
+                        out.append((row, w, k, None))
+                    share += k * p
+                # no word has a space: heads meet no count, and are dealt evenly
+                out.append((row, b" %d" % row, 0, {"doc_id": i, "n_tokens": n, "token": token, "word": share}))
+                row += 1
+                if len(out) > ROWS:
+                    yield rows()
+            if out:
+                yield rows()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    each = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, word binary, n long, head struct<doc_id long, n_tokens long, token double, word double>")
+    each = each.join(counts.withColumnRenamed("n", "count"), "word", "left")
+    each = each.select("row", F.coalesce(F.col("head.word"), F.col("n") * F.log("count")).alias("share"), "head.doc_id", "head.n_tokens", "head.token")
+    sums = each.groupBy("row").agg(F.sum("share").alias("share"), *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "token")])
+    whole = F.col("token") + F.col("share")
+    return sums.select("doc_id", "n_tokens", F.col("token").alias("log_likelihood"), whole.alias("word_log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_prob"))

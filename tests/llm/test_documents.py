@@ -411,7 +411,7 @@ def test_lm_trains_on_every_position(spark, docs):
     import pyarrow as pa
 
     texts = [r[1] for r in made() if r[1]]
-    ids = lm_scoring.Ids(lm_scoring.vocabulary(docs)[0])
+    ids = lm_scoring.Ids(lm_scoring.fitted(docs)[0])
     rows = [ids.of(t).tobytes() for t in texts]
     batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array(rows, pa.binary())], ["replica", "ids"])
     start = lm_scoring.Net.fresh().flat()
@@ -419,3 +419,20 @@ def test_lm_trains_on_every_position(spark, docs):
     assert seen == sum(len(words(t)) for t in texts)
     short = spark.createDataFrame([(16 * i + 15, "a few words only") for i in range(20)], "doc_id long, text string")
     assert not np.array_equal(lm_scoring.fitted(short)[1].flat(), start)
+
+
+@pytest.mark.parametrize("known", [1 << 16, 120])
+def test_lm_scores_every_word(docs, monkeypatch, known):
+    """A word of a class counts with its share of the class, whether its count is broadcast or joined."""
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    counts = Counter(w for r in made() for w in lm_scoring.split(r[1] or ""))
+    ids = lm_scoring.Ids(sorted(counts, key=lambda w: (-counts[w], w))[: lm_scoring.FREQUENT])
+    totals = Counter()
+    for w, n in counts.items():
+        totals[ids[w]] += n
+    share = lambda t: sum(math.log(counts[w] / totals[ids[w]]) for w in lm_scoring.split(t or ""))
+    want = Counter((r[0], round(share(r[1]), 3) + 0.0) for r in made())
+    got = lm_scoring.scored(docs).collect()
+    assert Counter((r.doc_id, round(r.word_log_likelihood - r.log_likelihood, 3) + 0.0) for r in got) == want
+    assert all(math.isclose(r.mean_log_prob * r.n_tokens, r.word_log_likelihood) for r in got if r.n_tokens)
+    assert sum(x < -1 for _, x in want) > 20
