@@ -383,3 +383,12 @@ def test_ask_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 9 and {r.head: r.answers for r in got} == {"h0": ["t"], "h1": ["h1!"], "h2": ["h2!"]}
     assert not math.isnan(got[0].cost)
+
+
+def test_trained_covers_all_edges(spark):
+    """k2 predicts for each source of its relations."""
+    from graphloom import queries
+
+    d = "/root/testdata/sf0.001"
+    heads = {r.src for r in queries.kg(spark, d, "part_of", "lives_in").select("src").distinct().collect()}
+    assert {r.q for r in queries.k2_trained(spark, d).select("q").collect()} == heads
