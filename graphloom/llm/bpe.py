@@ -18,6 +18,10 @@ from graphloom.llm.common import tuned
 PIECE = 1 << 15
 #: No match of the pattern goes on from a letter, digit or underscore to a space: only white space may follow white space inside one.
 _SAFE = re.compile(r"(?<=\w)(?= )")
+#: Unicode white space, which \s of the pattern means.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that the pattern isn't tried on: its engine needs stack for each character of one.
+_LONG = re.compile(f"[{BLANK}]{{4096,}}")
 _made: dict = {}
 
 
@@ -44,10 +48,34 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
+def matches(text: str) -> Iterator[tuple[bool, str]]:
+    """The text in parts: (True, a single match of the pattern) or (False, a part that the pattern is tried on).
+
+    A long run of white space is one match up to its last character, and whole
+    at the end of the text.  Its last character goes with what follows.  A blank
+    in front of the run is part of it, so that what comes before ends in no
+    white space and its matches end there too.
+    """
+    at = 0
+    for run in _LONG.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield False, text[at : run.start()]
+        yield True, text[run.start() : end]
+        at = end
+    if at < len(text):
+        yield False, text[at:]
+
+
 def encode(text: str, enc) -> np.ndarray:
     """ids as little-endian unsigned 32-bit integers, the same as those of the whole text at once."""
-    parts = [np.array(enc.encode_ordinary(p), "<u4") for p in pieces(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    parts = [np.empty(0, "<u4")]
+    for single, part in matches(text):
+        if single:
+            parts.append(np.array(enc._encode_single_piece(part), "<u4"))
+        else:
+            parts += [np.array(enc.encode_ordinary(p), "<u4") for p in pieces(part)]
+    return np.concatenate(parts)
 
 
 def decode(ids: np.ndarray, enc) -> bytes:

@@ -43,14 +43,28 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one of setCheckpointDir.
+
+    Where neither is set, a local master gets a folder of its own; on a cluster
+    that would be a different disk for each executor, so it is an error.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", "") or getattr(context, "_graphloom_dir", "")
     if not found:
+        given = context._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else ""
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = context._graphloom_dir = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
     return found.rstrip("/")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df under their own names, dots and all."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -91,7 +105,10 @@ def _ship(spark: SparkSession) -> None:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Ready for Python workers, with small Arrow batches: a batch of whole texts has to fit in a worker."""
+    """Ready for Python workers, with small Arrow batches: a batch of whole texts has to fit in a worker.
+
+    The session keeps the smaller spark.sql.execution.arrow.maxRecordsPerBatch: plans are run after this returns.
+    """
     _ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
