@@ -49,46 +49,60 @@ def _merged(turns: Column) -> Column:
     return let(turns, blocks)
 
 
+def _starts(lengths: Column, chunk: int = 256) -> Column:
+    """0 and the sums of the first 1, 2, ... lengths, one for each length; in chunks, so that a long array isn't copied for each element."""
+    start = lambda: F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
+    step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+    upto = lambda xs: F.aggregate(xs, start(), step, lambda acc: acc["a"])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / chunk).cast("int") - 1), lambda i: F.slice(lengths, i * chunk + 1, chunk))
+    both = lambda p: F.flatten(F.zip_with(p, upto(F.transform(p, total)), lambda xs, before: F.transform(upto(xs), lambda y: y + before)))
+    return let(parts, both)
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) from rows (conv_id, turn, role, text).
 
-    loss_spans are (block, start, length): the characters from start, counted
-    from 1, of a block, counted from 0, that a model learns from; they are the
-    texts of the assistant, with <next> between merged ones.  Turns are in order
-    of turn, then role, then text, null turns first; equal rows are turns of
-    their own.  Null roles and texts count as empty; null conv_ids are one
-    conversation.  Other columns are ignored; an empty table gives no rows.
+    loss_spans are (start, length): the characters of formatted, counted from 1,
+    that a model learns from, one span for each text of the assistant, in order.
+    Turns are in order of turn, then role, then text, null turns first; equal
+    rows are turns of their own.  Null roles and texts count as empty; null
+    conv_ids are one conversation.  Other columns are ignored; an empty table
+    gives no rows.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", empty("role").alias("role"), empty("text").alias("text"))
     convs = rows.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("_turns"))
-    body = lambda b: F.array_join(F.transform(b["texts"], lambda t: escaped(t)), NEXT)
     head = lambda b: F.concat(F.lit(HEAD), escaped(b["role"], ROLE_ESCAPES), F.lit(COLON))
-    piece = F.transform(_merged(F.array_sort("_turns")), lambda b: F.struct(b["role"].alias("role"), head(b).alias("head"), body(b).alias("body")))
+    last = lambda b, i: F.when(i == F.size(b["texts"]) - 1, END).otherwise("")
+    part = lambda b: lambda t, i: F.struct(b["role"].alias("role"), F.when(i == 0, head(b)).otherwise(NEXT).alias("lead"), escaped(t).alias("body"), last(b, i).alias("end"))
+    parts = F.flatten(F.transform(_merged(F.array_sort("_turns")), lambda b: F.transform(b["texts"], part(b))))
 
     def out(p: Column) -> Column:
-        text = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-        span = lambda x, i: F.when(x["role"] == LEARNED, F.struct(i.alias("block"), (F.length(x["head"]) + 1).alias("start"), F.length(x["body"]).alias("length")))
-        return F.struct(text.alias("formatted"), F.filter(F.transform(p, span), lambda s: s.isNotNull()).alias("loss_spans"))
+        text = F.array_join(F.transform(p, lambda x: F.concat(x["lead"], x["body"], x["end"])), "")
+        lengths = F.transform(p, lambda x: (F.length(x["lead"]) + F.length(x["body"]) + F.length(x["end"])).cast("long"))
+        span = lambda x, s: F.when(x["role"] == LEARNED, F.struct((s + F.length(x["lead"]) + 1).cast("int").alias("start"), F.length(x["body"]).alias("length")))
+        spans = let(lengths, lambda n: F.zip_with(p, _starts(n), span))
+        return F.struct(text.alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
 
-    return convs.select("conv_id", let(piece, out).alias("o")).select("conv_id", "o.formatted", "o.loss_spans")
+    return convs.select("conv_id", let(parts, out).alias("o")).select("conv_id", "o.formatted", "o.loss_spans")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text) from the output of formatted alone: turns as (role, text) and the text under the mask, unescaped."""
+    """(conv_id, formatted_chars, turns, loss_text) from the output of formatted alone.
 
-    def parsed(blocks: Column) -> Column:
-        def turns(b: Column) -> Column:
-            role = F.substring_index(F.substring(b, len(HEAD) + 1, 1 << 30), ":", 1)
-            text = F.substr(b, F.length(role) + len(HEAD) + len(COLON) + 1)
-            return F.transform(F.split(text, NEXT), lambda t: F.struct(unescaped(role, ROLE_ESCAPES).alias("role"), unescaped(t).alias("text")))
+    turns are (role, text) by the template; loss_text is the characters under
+    the spans, one after the other, unescaped.
+    """
 
-        learned = F.transform("loss_spans", lambda s: unescaped(F.replace(F.substr(F.get(blocks, s["block"]), s["start"], s["length"]), F.lit(NEXT), F.lit(""))))
-        return F.struct(F.flatten(F.transform(blocks, turns)).alias("turns"), F.array_join(learned, "").alias("loss_text"))
+    def turns(b: Column) -> Column:
+        role = F.substring_index(F.substring(b, len(HEAD) + 1, 1 << 30), ":", 1)
+        text = F.substr(b, F.length(role) + len(HEAD) + len(COLON) + 1)
+        return F.transform(F.split(text, NEXT), lambda t: F.struct(unescaped(role, ROLE_ESCAPES).alias("role"), unescaped(t).alias("text")))
 
-    parts = F.split("formatted", END)
-    whole = let(parts, lambda p: F.slice(p, 1, F.size(p) - 1))
-    return chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), let(whole, parsed).alias("o")).select("conv_id", "formatted_chars", "o.turns", "o.loss_text")
+    blocks = let(F.split("formatted", END), lambda p: F.slice(p, 1, F.size(p) - 1))
+    learned = F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), s["start"], s["length"])))
+    return chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.flatten(F.transform(blocks, turns)).alias("turns"), F.array_join(learned, "").alias("loss_text"))
 
 
 def digests(read: DataFrame) -> DataFrame:
