@@ -3,8 +3,9 @@
 Every line gets a HyperLogLog sketch of the sites it stands on, merged by
 aggregation.  Lines well over the limit are boilerplate, lines well under it are
 not, and lines near it are counted exactly.  Boilerplate goes from every
-document, except where it makes up most of the words: such a document is a
-copy, which is for document dedup to settle, and stays whole.
+document.  A text that stands on several sites as a whole counts once, for the
+first of them, so that copies of a document, which are for document dedup to
+settle, don't make boilerplate of all it says.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import n_words_of, staged, text_of
+from graphloom.llm.common import WORD, columns_of, staged, text_of
 
 MIN_SITES = 10
-#: Shorter lines are too common by chance to be boilerplate.
-MIN_LINE_WORDS = 5
 LG_K = 10
 
 
@@ -25,15 +24,16 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
 
 
-def _long_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_LINE_WORDS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, t, keys): the keys of a text and of its distinct lines with a word; each text is split and hashed once."""
+    lines = F.filter(F.split(text_of(), "\n"), lambda x: x.rlike(WORD))
+    return staged(docs.filter(F.col("text").isNotNull()).select("doc_id", "source", _key(text_of()).alias("t"), F.array_distinct(F.transform(lines, _key)).alias("keys")), "lines")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(h1, h2) of the lines on min_sites distinct sites or more; a null source is no site."""
-    per_doc = docs.select("source", F.explode(F.array_distinct(F.transform(_long_lines(text_of()), _key))).alias("k"))
-    lines = per_doc.filter(F.col("source").isNotNull()).select("source", "k.h1", "k.h2")
-    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", lg_k)).alias("sites"))
+def _found(keyed: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
+    texts = keyed.filter(F.col("source").isNotNull()).groupBy("t").agg(F.min("source").alias("site"), F.first("keys").alias("keys"))
+    lines = texts.select("site", F.explode("keys").alias("k")).select("site", "k.h1", "k.h2")
+    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
     # 1.04 / sqrt(2^lg_k) is the relative error of such a sketch; five of them and two sites on either side are exact
     band = 2 + min_sites * 5 * 1.04 / (1 << lg_k) ** 0.5
     seen = staged(spread.filter(F.col("sites") >= min_sites - band), "spread")
@@ -42,39 +42,42 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     return staged(seen.filter(F.col("sites") > min_sites + band).select("h1", "h2").union(exact), "boilerplate")
 
 
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """(h1, h2) of the lines on min_sites distinct sites or more; a null source is no site."""
+    return _found(_keyed(docs), min_sites, lg_k)
+
+
 def deduped(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id where it isn't given) with text, n_lines, n_removed and whole_copy, one row per row of docs.
-
-    Lines are the parts between line feeds; those with five words or more can be
-    boilerplate.  whole_copy says that boilerplate has more than half of the
-    words, so that all lines stay.  A null text stays null, with no lines; a
-    null source is no site, but its documents lose boilerplate too.  Repeated
-    rows are treated alike.  Other columns are ignored; an empty table gives no
-    rows.
+    """keep (doc_id where it isn't given) with text, n_lines and n_removed, one row per row of docs.
+
+    Lines are the parts between line feeds; those with a word can be
+    boilerplate.  A document of nothing else gets an empty text.  A null text
+    stays null, with no lines; a null source is no site, but its documents lose
+    boilerplate too.  Repeated rows are treated alike.  Other columns are
+    ignored; an empty table gives no rows.
     """
     keep = keep or ["doc_id"]
-    found = boilerplate(docs, min_sites, lg_k)
-    uses = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_long_lines(text_of()), _key))).alias("k")).select("doc_id", "k.h1", "k.h2")
+    keyed = _keyed(docs)
+    found = _found(keyed, min_sites, lg_k)
+    uses = keyed.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.h1", "k.h2")
     hit = uses.join(found, ["h1", "h2"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hit"))
     own = [c for c in keep if c != "text"]
     d = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(own)], F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_t"))
     d = d.join(hit, F.col("_doc").eqNullSafe(F.col("_id")), "left").withColumn("_l", F.split("_t", "\n"))
-    # a hit is a long line: short ones were never counted
     stay = F.filter("_l", lambda x: ~F.array_contains(F.col("_hit"), _key(x)))
     d = d.withColumn("_stay", F.when(F.col("_hit").isNull(), F.col("_l")).otherwise(stay))
-    same = F.size("_l") == F.size("_stay")
-    d = d.withColumn("_new", F.when(same, F.col("_t")).otherwise(F.array_join("_stay", "\n")))
-    d = d.withColumn("_whole", F.coalesce(F.when(same, False).otherwise(2 * n_words_of(F.col("_new")) < n_words_of(F.col("_t"))), F.lit(False)))
-    n = F.when(F.col("_t").isNull(), 0).otherwise(F.size("_l")).cast("long")
-    gone = F.when(F.col("_whole") | F.col("_t").isNull(), 0).otherwise(F.size("_l") - F.size("_stay")).cast("long")
-    text = F.when(F.col("_whole"), F.col("_t")).otherwise(F.col("_new"))
-    return d.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(own)], text.alias("text"), n.alias("n_lines"), gone.alias("n_removed"), F.col("_whole").alias("whole_copy"))
+    text = F.when(F.size("_l") == F.size("_stay"), F.col("_t")).otherwise(F.array_join("_stay", "\n"))
+    count = lambda c: F.when(F.col("_t").isNull(), 0).otherwise(c).cast("long")
+    return d.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(own)], text.alias("text"), count(F.size("_l")).alias("n_lines"), count(F.size("_l") - F.size("_stay")).alias("n_removed"))
 
 
 def deduped_documents(docs: DataFrame, **options) -> DataFrame:
-    """All rows of docs without boilerplate lines, with the columns of docs; n_chars, where there is one, follows the text."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    names = {c: f"_own{i}" if c in ("n_lines", "n_removed", "whole_copy") else c for i, c in enumerate(docs.columns)}
-    out = deduped(docs.withColumnsRenamed(names), keep=list(names.values()), **options)
-    out = out.drop("n_lines", "n_removed", "whole_copy").withColumnsRenamed({v: k for k, v in names.items()})
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """All rows of docs without boilerplate lines, with the columns of docs, whatever their names; n_chars, where there is one, follows the text.
+
+    An empty table gives no rows; null doc_ids and texts stay.
+    """
+    names = {c: c if c in ("doc_id", "source", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[c.alias(n) for c, n in zip(columns_of(docs), names.values())])
+    out = deduped(plain, keep=list(names.values()), **options)
+    length = lambda c: F.length("text").cast(docs.schema[c].dataType)
+    return out.select(*[(length(c) if c == "n_chars" else F.col(n)).alias(c) for c, n in names.items()])

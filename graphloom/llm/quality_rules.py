@@ -1,9 +1,11 @@
 """Quality rules with host verdicts, in Spark expressions only.
 
 Each document is measured on its whole text.  Rule failures are summed by
-host, the failure rate of a host is drawn towards the mean of all hosts by a
-beta prior fitted to the hosts themselves, and hosts whose shrunken rate is
-over the limit are rejected with all their documents.
+host, and the failure rate of a host is drawn towards the mean of all hosts by a
+beta prior fitted to the hosts themselves.  The shrunken rate gives a verdict:
+a host over the limit is rejected with all its documents; a host well under what
+the prior expects is trusted, and only the base rules count for its documents;
+for all others every rule does.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ class Rules:
     dup_line_percent: int = 30  # of the lines with a word
     min_mean_chars: int = 2
     max_mean_chars: int = 15
-    host_rate: float = 0.5
-    least_prior: float = 1.0  # prior documents: bounds of the fitted strength
+    host_rate: float = 0.5  # hosts over it are rejected
+    trusted_below: float = 0.67  # standard deviations of the prior under its mean: about its lower quarter
+    least_prior: float = 4.0  # prior documents: bounds of the fitted strength
     most_prior: float = 1000.0
 
 
@@ -95,29 +98,38 @@ def measure(text: Column, rules: Rules) -> Column:
 
 
 def host_verdicts(failed: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(source, host_docs, host_failed, host_rate, host_rejected), one row per host; a null source is a host of its own.
-
-    The prior has the mean m of all documents and, from the variance v between
-    hosts weighted by their documents, the strength m(1-m)/v - 1.
+    """(source, host_docs, host_failed, host_rate, host_rejected, host_trusted), one row per host; a null source is a host of its own.
+
+    The prior is the beta distribution of host rates by the moments of a
+    beta-binomial.  Its mean m is that of all documents.  The spread between
+    hosts, S = sum n (f/n - m)^2, holds (K - 1) m(1-m) of chance for K hosts;
+    what is left over, against its largest value, is the correlation r within
+    hosts, and 1/r - 1 is the strength.  Hosts that differ no more than by
+    chance get the greatest strength.
     """
     hosts = staged(
         failed.groupBy("source").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failed")),
         "hosts",
     )
-    n, f, nn = hosts.agg(F.sum("host_docs"), F.sum("host_failed"), F.count("*")).first()
-    if not n:
-        m, k = 0.0, rules.most_prior
-    else:
-        m = f / n
-        gap = F.col("host_failed") / F.col("host_docs") - F.lit(m)
-        v = hosts.agg(F.sum(F.col("host_docs") * gap * gap)).first()[0] / n
-        k = min(rules.most_prior, max(rules.least_prior, m * (1 - m) / v - 1 if v > 0 else rules.most_prior))
-    rate = (F.col("host_failed") + F.lit(m * k)) / (F.col("host_docs") + F.lit(k))
-    return staged(hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate > rules.host_rate), "verdicts")
+    n, f = F.col("host_docs"), F.col("host_failed")
+    docs, bad, squares, own, k = hosts.agg(F.sum(n), F.sum(f), F.sum(n.cast("double") * n), F.sum(f.cast("double") * f / n), F.count("*")).first()
+    m, strength = (bad / docs if docs else 0.0), rules.most_prior
+    chance = m * (1 - m)
+    free = docs - squares / docs - (k - 1) if docs else 0.0
+    if chance > 0 and free > 0:
+        r = (own - docs * m * m - (k - 1) * chance) / (chance * free)
+        strength = min(rules.most_prior, max(rules.least_prior, 1 / r - 1)) if r > 0 else rules.most_prior
+    rate = (f + F.lit(m * strength)) / (n + F.lit(strength))
+    trusted = m - rules.trusted_below * (chance / (strength + 1)) ** 0.5
+    return staged(hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate > rules.host_rate).withColumn("host_trusted", rate < trusted), "verdicts")
+
+
+def _verdict() -> Column:
+    return ~F.col("base_failed") & ~F.col("host_rejected") & (~F.col("rule_failed") | F.col("host_trusted"))
 
 
 def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per document with its measures, base_failed, the rate of its host and kept.
+    """One row per document with its measures, base_failed, rule_failed, the rate and verdict of its host, and kept.
 
     Only doc_id, text and source are read; other columns, whatever their names,
     are ignored.  Nulls: a null text has no words and fails; documents without a
@@ -127,16 +139,20 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     failed = staged(docs.select("doc_id", "source", measure(text_of(), rules).alias("m")).select("doc_id", "source", "m.*"), "measures")
     hosts = host_verdicts(failed, rules).withColumnRenamed("source", "_host")
     out = failed.join(hosts, F.col("source").eqNullSafe(F.col("_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_host")
+    return out.withColumn("kept", _verdict()).drop("_host")
 
 
 def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that pass the base rules and whose host isn't rejected, with the columns of docs.
+    """The rows of docs that judged keeps, with the columns of docs, whatever their names; an empty table gives no rows.
 
-    The rejected hosts are found on measures without texts; only then are texts
-    filtered, in one scan.
+    Each text is measured once: rows are written with what failed, those that
+    fail the base rules without their other columns.
     """
-    failed = docs.select("source", measure(text_of(), rules)["rule_failed"].alias("rule_failed"))
-    bad = staged(host_verdicts(failed, rules).filter("host_rejected").select(F.col("source").alias("_host")), "rejected")
-    kept = docs.filter(~measure(text_of(), rules)["base_failed"])
-    return kept.join(bad, kept.source.eqNullSafe(bad._host), "left_anti")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)], F.col("source").alias("source"), measure(text_of(), rules).alias("m"))
+    base = F.col("m.base_failed")
+    rows = rows.select("source", base.alias("base_failed"), F.col("m.rule_failed").alias("rule_failed"), *[F.when(~base, F.col(o)).alias(o) for o in own])
+    rows = staged(rows, "judged")
+    hosts = host_verdicts(rows, rules).select(F.col("source").alias("_host"), "host_rejected", "host_trusted")
+    kept = rows.filter("NOT base_failed").join(hosts, F.col("source").eqNullSafe(F.col("_host"))).filter(_verdict())
+    return kept.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])

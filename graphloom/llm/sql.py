@@ -33,16 +33,19 @@ with d as (
   from m
 ), h as (
   select source, count(*) as n, count(*) filter (where base_failed or other_failed) as bad from f group by source
-), mean as (
-  select sum(bad)::double / sum(n) as m from h
+), sums as (
+  select sum(n) as docs, sum(bad)::double / sum(n) as m, sum(n::double * n) as squares, sum(bad::double * bad / n) as own, count(*) as k from h
 ), prior as (
-  select m, least(1000, greatest(1, case when v > 0 then m * (1 - m) / v - 1 else 1000 end)) as k
-  from (select any_value(m) as m, sum(n * (bad::double / n - m) * (bad::double / n - m)) / sum(n) as v from h, mean)
+  select m, case when m * (1 - m) > 0 and free > 0 and rho > 0 then least(1000, greatest(4, 1 / rho - 1)) else 1000 end as strength
+  from (select *, (own - docs * m * m - (k - 1) * (m * (1 - m))) / nullif(m * (1 - m) * free, 0) as rho
+        from (select *, docs - squares / docs - (k - 1) as free from sums))
 ), verdict as (
-  select source, (bad + m * k) / (n + k) > 0.5 as rejected from h, prior
+  select source, (bad + m * strength) / (n + strength) > 0.5 as rejected,
+         (bad + m * strength) / (n + strength) < m - 0.67::double * sqrt(m * (1 - m) / (strength + 1)) as trusted
+  from h, prior
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not rejected as kept
+       not base_failed and not rejected and (not other_failed or trusted) as kept
 from f join verdict on f.source is not distinct from verdict.source
 """
 
@@ -106,20 +109,18 @@ OP7 = r"""
 with d as (
   select row_number() over () as r, doc_id, source, text, string_split(text, chr(10)) as l from documents
 ), u as (
-  select r, source, unnest(l) as line, generate_subscripts(l, 1) as i from d where text is not null
-), n as (
-  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from u
+  select r, unnest(l) as line, generate_subscripts(l, 1) as i from d where text is not null
+), t as (
+  select min(source) as site, string_split(text, chr(10)) as l from documents where text is not null and source is not null group by text
 ), b as (
-  select line from n where words >= 5 group by line having count(distinct source) >= 10
+  select line from (select site, unnest(l) as line from t) where regexp_matches(line, '[^\x20\x09-\x0D]') group by line having count(distinct site) >= 10
 ), s as (
-  select r, count(*) as n_lines, count(*) filter (where line in (from b)) as hits, sum(words) as words,
-         coalesce(sum(words) filter (where line not in (from b)), 0) as rest,
+  select r, count(*) as n_lines, count(*) filter (where line in (from b)) as hits,
          string_agg(line, chr(10) order by i) filter (where line not in (from b)) as kept
-  from n group by r
+  from u group by r
 )
-select doc_id, case when s.r is null then null when hits = 0 or 2 * rest < words then text else coalesce(kept, '') end as text,
-       coalesce(n_lines, 0)::bigint as n_lines, case when coalesce(2 * rest < words, false) then 0 else coalesce(hits, 0) end::bigint as n_removed,
-       coalesce(hits > 0 and 2 * rest < words, false) as whole_copy
+select doc_id, case when s.r is null then null when hits = 0 then text else coalesce(kept, '') end as text,
+       coalesce(n_lines, 0)::bigint as n_lines, coalesce(hits, 0)::bigint as n_removed
 from d left join s using (r)
 """
 

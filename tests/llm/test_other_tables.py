@@ -33,7 +33,12 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in got[c].turns] == [(r[2] or "", r[3] or "") for r in own]
         assert got[c].loss_text == "".join(r[3] or "" for r in own if r[2] == "assistant")
     text = chat.formatted(df).filter("conv_id = 52").first()
-    assert text.formatted.count("### ") == 1 and len(text.loss_spans) == 1
+    assert text.formatted.count("### ") == 1 and len(text.loss_spans) == 3000
+    plain = lambda t: t.replace("\\l", "<").replace("\\h", "#").replace("\\e", "\\")
+    for r in chat.formatted(df).collect():
+        own = sorted((x for x in rows if x[0] == r.conv_id), key=key)
+        assert [plain(r.formatted[s.start - 1 : s.start - 1 + s.length]) for s in r.loss_spans] == [x[3] or "" for x in own if x[2] == "assistant"]
+        assert all(r.formatted[s.start - 1 + s.length :].startswith(("<next>", "</turn>")) for s in r.loss_spans)
     assert chat.formatted(df.limit(0)).collect() == []
 
 
