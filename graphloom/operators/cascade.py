@@ -76,13 +76,68 @@ def report(records: DataFrame) -> DataFrame:
 
 
 def oracle_teacher(workload: DataFrame, truth: DataFrame, entities: DataFrame, error_percent: int = 0, seed: str = "0") -> DataFrame:
-    """(head, relation, answers, correct): the truth, or for error_percent of the pairs, by a hash, one wrong entity, the one with the smallest hash."""
+    """(head, relation, answers, correct): the truth, or for error_percent of the pairs, by a hash, one wrong entity, the one with the smallest hash.
+
+    The entities in the order of their hashes are cut to a prefix that is longer
+    than any answer by two, so that one that is neither right nor the head is
+    always in it; nothing where every entity is right.  Empty tables give no
+    rows.
+    """
     pair = workload.select("head", "relation").distinct().join(truth, ["head", "relation"], "left")
     roll = F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), "head", "relation")), 1, 8), 16, 10).cast("long") % 100
-    pool = entities.orderBy(F.md5(F.concat_ws("\t", F.lit(seed), "id")), "id").limit(64).agg(F.collect_list("id").alias("_pool"))
+    most = truth.agg(F.max(F.size("tails"))).first()[0] or 0
+    hashed = entities.select("id").distinct().orderBy(F.md5(F.concat_ws("\t", F.lit(seed), "id")), "id").limit(most + 2)
+    pool = hashed.agg(F.array_sort(F.collect_list(F.struct(F.md5(F.concat_ws("\t", F.lit(seed), "id")).alias("h"), "id"))).alias("_pool"))
+    pool = pool.select(F.transform("_pool", lambda x: x["id"]).alias("_pool"))
     wrong = F.slice(F.filter(F.array_except("_pool", F.coalesce("tails", none())), lambda x: x != F.col("head")), 1, 1)
     bad = roll < error_percent
-    return pair.join(F.broadcast(pool)).select("head", "relation", F.when(bad, wrong).otherwise(F.coalesce("tails", none())).alias("answers"), (~bad).alias("correct"))
+    return pair.crossJoin(pool).select("head", "relation", F.when(bad, wrong).otherwise(F.coalesce("tails", none())).alias("answers"), (~bad).alias("correct"))  # one row of pool
+
+
+def composition_teacher(pairs: DataFrame, templates: DataFrame) -> DataFrame:
+    """pairs(head, relation) with the question to put: templates(relation, template) with {head} for the head; the relation's words where there is none."""
+    plain = F.concat(F.lit("What is the "), F.replace("relation", F.lit("_"), F.lit(" ")), F.lit(" of "), F.col("head"), F.lit("?"))
+    return pairs.join(templates.dropDuplicates(["relation"]), "relation", "left").withColumn("question", F.coalesce(F.replace("template", F.lit("{head}"), F.col("head")), plain)).drop("template")
+
+
+def rotated(calls: DataFrame, n: int, cooling: DataFrame | None = None) -> DataFrame:
+    """calls(idx) with the teacher, 0 to n - 1, that takes each: in turn by idx, past those that cooling(teacher, from_idx, to_idx) rests then; null if all do."""
+    turn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.col("idx") + k) % n)
+    if cooling is None:
+        return calls.withColumn("teacher", F.get(turn, F.lit(0)).cast("int"))
+    rest = calls.select("idx").distinct().join(cooling, F.col("idx").between(F.col("from_idx"), F.col("to_idx"))).groupBy("idx").agg(F.collect_set(F.col("teacher").cast("long")).alias("_rest"))
+    free = F.filter(turn, lambda t: ~F.array_contains(F.coalesce("_rest", F.array().cast("array<bigint>")), t.cast("long")))
+    return calls.join(rest, "idx", "left").withColumn("teacher", F.get(free, F.lit(0)).cast("int")).drop("_rest")
+
+
+def read_usage(calls: DataFrame, column: str = "usage") -> DataFrame:
+    """calls with prompt_tokens, completion_tokens, reasoning_tokens, cost and cost_in_usd_ticks from usage as JSON, each under the first of its names that is there."""
+    field = lambda *names: F.coalesce(*[F.get_json_object(column, f"$.{n}") for n in names])
+    long = lambda *names: field(*names).cast("long")
+    return (
+        calls.withColumn("prompt_tokens", long("prompt_tokens", "input_tokens", "promptTokenCount"))
+        .withColumn("completion_tokens", long("completion_tokens", "output_tokens", "candidatesTokenCount"))
+        .withColumn("reasoning_tokens", long("reasoning_tokens", "completion_tokens_details.reasoning_tokens", "thoughtsTokenCount"))
+        .withColumn("cost", field("cost").cast("double"))
+        .withColumn("cost_in_usd_ticks", long("cost_in_usd_ticks"))
+    )
+
+
+def metered(calls: DataFrame, prices: DataFrame, key: str = "model") -> DataFrame:
+    """calls(idx, model, usage) with usd and usd_so_far, the running total within key by idx."""
+    from graphloom.operators.evaluation import running_sum
+
+    return running_sum(costs(read_usage(calls), prices), "usd", "idx", key, "usd_so_far")
+
+
+def k_samples(log: DataFrame, k: int) -> DataFrame:
+    """(head, relation, answers) by majority of the first k samples of a log(head, relation, sample, answers); a pair with fewer raises."""
+    from graphloom.operators.mining import majority
+
+    n = log.filter(F.col("sample") < k).groupBy("head", "relation").agg(F.countDistinct("sample").alias("_n"))
+    short = F.raise_error(F.concat(F.lit("too few samples for "), F.col("head"), F.lit(" "), F.col("relation"))).cast("boolean")
+    whole = n.filter(F.when(F.col("_n") < k, short).otherwise(True)).select("head", "relation")
+    return majority(log.filter(F.col("sample") < k).join(whole, ["head", "relation"]), k)
 
 
 def call_teacher(pairs: DataFrame, fn) -> DataFrame:
@@ -119,8 +174,9 @@ def costs(usage: DataFrame, prices: DataFrame, ticks: float = 1e-10) -> DataFram
 
 def within_budget(calls: DataFrame, cap: float, key: str | None = None) -> DataFrame:
     """The calls(idx, cost) made until the cap is passed, that one included."""
-    w = Window.partitionBy(key or F.lit(0)).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent_before", F.coalesce(F.sum("cost").over(w), F.lit(0.0))).filter(F.col("spent_before") <= cap)
+    from graphloom.operators.evaluation import running_sum
+
+    return running_sum(calls, "cost", "idx", key, "spent_before", before=True).filter(F.col("spent_before") <= cap)
 
 
 def narrated(records: DataFrame) -> DataFrame:
@@ -141,7 +197,10 @@ class Session:
     """A graph with rules, asked in batches: what the teacher says is written back, and relations are mined once enough heads are complete.
 
     With batches of one query this is the sequential cascade; larger ones hold
-    the state still within a batch.
+    the state still within a batch.  learn turns the write-back and the mining
+    off; with embed, tier 2 answers from embeddings that warmup fits and
+    consolidate refits on the graph and what the teacher said, candidates and
+    gates by relations (RELATION_SCHEMA) where it is given.
     """
 
     facts: DataFrame
@@ -149,50 +208,223 @@ class Session:
     teacher: object
     tiers: Tiers = Tiers()
     trigger: int = 10
+    learn: bool = True
+    embed: bool = False
+    nodes: DataFrame | None = None
+    relations: DataFrame | None = None
+    dim: int = 16
+    rounds: int = 4
     synthesised: set = field(default_factory=set)
     history: list = field(default_factory=list)
-    complete: set = field(default_factory=set)
+    said: DataFrame | None = None
     closed: DataFrame | None = None
+    model: tuple[DataFrame, DataFrame] | None = None
+    temperature: float = 1.0
+
+    def warmup(self, calibration: DataFrame | None = None) -> None:
+        """Closure, embeddings of the graph, and with calibration(head, relation, tail) the temperature of tier 2."""
+        from graphloom.operators import link
+        from graphloom.plans.stage import staged
+
+        self.closed = closure(self.facts, self.rules)
+        if not self.embed:
+            return
+        self.model = link.fitted(self.facts, self.dim, self.rounds)
+        if calibration is not None:
+            gold = calibration.select(F.concat_ws("\t", "head", "relation").alias("q"), "head", "relation", "tail")
+            scored = staged(link.scores(gold.select("q", "head", "relation").distinct(), *self.model, self._candidates()))
+            best = link.calibrate(scored, gold.select("q", "tail")).orderBy("nll", "temperature").first()
+            self.temperature = best.temperature if best else 1.0
 
     def consolidate(self) -> None:
+        """Derive anew, and refit the embeddings from where they are on the graph with what was written back."""
+        from graphloom.operators import link
+
         self.closed = closure(self.facts, self.rules)
+        if self.embed:
+            self.model = link.fitted(self.facts, self.dim, 1, self.model)
+
+    def _candidates(self) -> DataFrame | None:
+        from graphloom.operators.graph import candidates
+
+        return None if self.relations is None or self.nodes is None else candidates(self.nodes, self.relations.select("name", "range"))
+
+    def predicted(self, open_: DataFrame) -> DataFrame:
+        """(head, relation, tail, confidence, allowed) of tier 2 for open_(head, relation)."""
+        from graphloom.operators import link
+        from graphloom.operators.ontology import allows
+
+        if self.model is None:
+            return open_.sparkSession.createDataFrame([], "head string, relation string, tail string, confidence double, allowed boolean")
+        q = open_.select(F.concat_ws("\t", "head", "relation").alias("q"), "head", "relation").distinct()
+        best = link.predictions(link.scores(q, *self.model, self._candidates()), self.temperature).join(q, "q").select("head", "relation", "tail", "confidence")
+        if self.relations is None or self.nodes is None:
+            return best.withColumn("allowed", F.lit(True))
+        edges = best.select(F.col("head").alias("src"), F.col("relation").alias("rel"), F.col("tail").alias("dst"), "confidence")
+        return allows(edges, self.nodes, self.facts, self.relations).select(F.col("src").alias("head"), F.col("rel").alias("relation"), F.col("dst").alias("tail"), "confidence", "allowed")
 
     def ask(self, workload: DataFrame) -> DataFrame:
-        from graphloom.operators.mining import mine, to_rule
+        from graphloom.operators.mining import synthesise, teacher_facts
+        from graphloom.plans.fixpoint import with_facts
         from graphloom.plans.stage import staged
 
         if self.closed is None:
-            self.consolidate()
+            self.warmup()
         spark = workload.sparkSession
-        open_ = answers(self.closed, workload).filter(~F.col("answered"))
-        said = staged(call_teacher(open_, self.teacher))
-        nobody = spark.createDataFrame([], "head string, relation string, tail string, confidence double, allowed boolean")
-        out = staged(ask(workload, self.closed, nobody, said, self.tiers))
+        open_ = staged(answers(self.closed, workload).filter(~F.col("answered")).select("head", "relation").distinct())
+        guess = staged(self.predicted(open_))
+        sure = guess.filter(F.col("allowed") & (F.col("confidence") >= self.tiers.accept))
+        said = staged(call_teacher(open_.join(sure, ["head", "relation"], "left_anti"), self.teacher))
+        out = staged(ask(workload, self.closed, guess, said, self.tiers))
         self.history.append(out)
-        new = staged(said.select(F.col("head").alias("src"), F.col("relation").alias("rel"), F.explode("answers").alias("dst")))
+        if not self.learn:
+            return out
+        new = staged(teacher_facts(said))
         self.facts = staged(self.facts.select("src", "rel", "dst").union(new).distinct())
-        done = said.select("head", "relation").distinct().collect()  # one batch of questions
-        self.complete |= {(r.relation, r.head) for r in done}
-        learned = False
-        for rel in sorted({r for r, _ in self.complete} - self.synthesised):
-            heads = [h for r, h in self.complete if r == rel]
-            if len(heads) >= self.trigger:
-                self.synthesised.add(rel)
-                ids = spark.createDataFrame([(h,) for h in heads], "id string")
-                have = {r.name for r in self.rules}
-                for row in mine(self.facts, rel, ids).collect():
-                    if row["name"] not in have:
-                        self.rules.append(to_rule(row, rel))
-                        learned = True
-        if learned:
-            self.consolidate()
-        else:
-            from graphloom.plans.fixpoint import with_facts
-
-            self.closed = staged(with_facts(self.closed, new))
+        self.said = said if self.said is None else staged(self.said.union(said).dropDuplicates(["head", "relation"]))
+        done = spark.createDataFrame([(r,) for r in sorted(self.synthesised)], "relation string")
+        found = synthesise(self.facts, self.said, done, trigger=self.trigger)
+        self.synthesised |= set(found)
+        have = {r.name for r in self.rules}
+        fresh = [r for rules in found.values() for r in rules if r.name not in have]
+        self.rules = [*self.rules, *fresh]
+        self.closed = closure(self.facts, self.rules) if fresh else staged(with_facts(self.closed, new))
         return out
 
 
+def run_stream(session: Session, workload: DataFrame, batch: int = 50) -> DataFrame:
+    """The records of a whole workload(idx, head, relation), asked batch by batch in order of idx, with a consolidation after each."""
+    from functools import reduce
+
+    low, high = workload.agg(F.min("idx"), F.max("idx")).first()
+    if low is None:
+        return ask_nothing(workload)
+    for at in range(low, high + 1, batch):
+        part = workload.filter((F.col("idx") >= at) & (F.col("idx") < at + batch))
+        session.ask(part)
+        if session.learn:
+            session.consolidate()
+    return reduce(DataFrame.unionByName, session.history)
+
+
+def ask_nothing(workload: DataFrame) -> DataFrame:
+    """The records of an empty workload."""
+    return workload.select("*", F.lit(0).alias("tier"), none().alias("answers"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("latency_ms"))
+
+
+# Compliance arms: cases(idx, case_id, atoms) with atoms a sorted array, teacher(case_id, verdict, articles, usd)
+
+
+def _told(cases: DataFrame, teacher: DataFrame) -> DataFrame:
+    return cases.join(teacher, "case_id", "left")
+
+
+def arm_llm_only(cases: DataFrame, teacher: DataFrame) -> DataFrame:
+    """(idx, case_id, verdict, articles, usd, teacher_call): every case is put to the teacher."""
+    return _told(cases, teacher).select("idx", "case_id", "verdict", "articles", "usd", F.lit(True).alias("teacher_call"))
+
+
+def arm_cache(cases: DataFrame, teacher: DataFrame) -> DataFrame:
+    """As arm_llm_only, but a case with the atoms of an earlier one takes that one's answer at no cost."""
+    first = cases.groupBy("atoms").agg(F.min_by(F.struct("idx", "case_id"), "idx").alias("_f")).select("atoms", F.col("_f.idx").alias("_idx"), F.col("_f.case_id").alias("_case"))
+    told = cases.join(first, "atoms").join(teacher.withColumnRenamed("case_id", "_case"), "_case")
+    new = F.col("idx") == F.col("_idx")
+    return told.select("idx", "case_id", "verdict", "articles", F.when(new, F.col("usd")).otherwise(0.0).alias("usd"), new.alias("teacher_call"))
+
+
+def _learned(labelled: DataFrame, min_support: int, confidence_percent: int) -> DataFrame:
+    from graphloom.operators.mining import mine_cases
+
+    atoms = labelled.select("case_id", F.explode("atoms").alias("atom"))
+    targets = labelled.select("case_id", F.explode(F.when(F.col("verdict") == "prohibit", F.col("articles")).when(F.col("verdict") == "permit", F.array(F.lit("permit")))).alias("target"))
+    return mine_cases(atoms, targets, min_support, confidence_percent)
+
+
+def by_rules(cases: DataFrame, found: DataFrame, max_atoms: int = 3) -> DataFrame:
+    """(case_id, verdict, articles) of cases(case_id, atoms) by mined patterns(pattern, target): subsets of the atoms meet the patterns by equality."""
+    one = cases.select("case_id", "atoms", F.array().cast("array<string>").alias("s"), F.lit(0).alias("next"))
+    subsets, level = None, one
+    for _ in range(max_atoms):
+        level = level.select("case_id", "atoms", "s", F.posexplode("atoms").alias("pos", "a"), "next").filter("pos >= next").select("case_id", "atoms", F.concat("s", F.array("a")).alias("s"), (F.col("pos") + 1).alias("next"))
+        subsets = level if subsets is None else subsets.union(level)
+    hit = subsets.join(found.select(F.col("pattern").alias("s"), "target"), "s")
+    derived = hit.select(F.col("case_id").alias("src"), F.when(F.col("target") == "permit", "permit").otherwise("violates").alias("rel"), F.col("target").alias("dst")).distinct()
+    return compliance_answers(derived, cases)
+
+
+def arm_compile_once(cases: DataFrame, teacher: DataFrame, prefix: int, min_support: int = 5, confidence_percent: int = 90) -> DataFrame:
+    """The first prefix cases go to the teacher and are mined once; later ones are answered by these rules or go to the teacher."""
+    from graphloom.plans.stage import staged
+
+    told = _told(cases, teacher)
+    found = staged(_learned(told.filter(F.col("idx") < prefix), min_support, confidence_percent))
+    ruled = by_rules(cases.filter(F.col("idx") >= prefix), found).filter("verdict <> 'abstain'").select("case_id", F.col("verdict").alias("_v"), F.col("articles").alias("_a"))
+    free = F.col("_v").isNotNull()
+    out = told.join(ruled, "case_id", "left")
+    return out.select("idx", "case_id", F.coalesce("_v", "verdict").alias("verdict"), F.when(free, F.col("_a")).otherwise(F.col("articles")).alias("articles"), F.when(free, 0.0).otherwise(F.col("usd")).alias("usd"), (~free).alias("teacher_call"))
+
+
+def arm_full(cases: DataFrame, teacher: DataFrame, cuts: list[int], min_support: int = 5, confidence_percent: int = 90) -> DataFrame:
+    """Rules first, then the cache of equal atoms, then the teacher; what it said is mined anew at each of the cuts in idx.
+
+    The rules hold still between cuts, where cases are answered together.
+    """
+    from functools import reduce
+
+    from graphloom.plans.stage import staged
+
+    out, told, found = [], None, None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        block = cases.filter((F.lit(low is None) | (F.col("idx") >= (low or 0))) & (F.lit(high is None) | (F.col("idx") < (high or 0))))
+        if found is not None:
+            ruled = staged(by_rules(block, found).filter("verdict <> 'abstain'"))
+            hit = block.select("idx", "case_id").join(ruled, "case_id").select("idx", "case_id", "verdict", "articles", F.lit(0.0).alias("usd"), F.lit(False).alias("teacher_call"))
+            rest = block.join(ruled.select("case_id"), "case_id", "left_anti").select(*cases.columns)
+        else:
+            hit, rest = None, block
+        if told is not None:
+            known = told.groupBy("atoms").agg(F.min_by(F.struct("verdict", "articles"), "idx").alias("_k"))
+            cached_ = rest.join(known, "atoms").select("idx", "case_id", "_k.verdict", "_k.articles", F.lit(0.0).alias("usd"), F.lit(False).alias("teacher_call"))
+            hit = cached_ if hit is None else hit.unionByName(cached_)
+            rest = rest.join(known, "atoms", "left_anti").select(*cases.columns)
+        asked = staged(arm_cache(rest, teacher))
+        out.append(staged(asked if hit is None else hit.unionByName(asked)))
+        new = asked.filter("teacher_call").select("idx", "case_id", "verdict", "articles").join(cases.select("case_id", "atoms"), "case_id")
+        told = staged(new if told is None else told.unionByName(new))
+        found = staged(_learned(told, min_support, confidence_percent))
+    return reduce(DataFrame.unionByName, out)
+
+
+def arm_retrieved(cases: DataFrame, teacher: DataFrame, weak: DataFrame, tau: float = 0.5) -> DataFrame:
+    """cases(idx, case_id, v) by retrieval: one whose vector is within cosine tau of an earlier case that the teacher answered gets the answer of weak(case_id, verdict, articles, usd); others go to the teacher and join the memory.
+
+    A case is covered by what came before it, so that the memory is built up
+    level by level: those without an earlier neighbour are in it, those within
+    reach of one of these are not, and what is left is looked at again.
+    """
+    from graphloom.operators.link import dot
+    from graphloom.plans.stage import staged
+
+    unit = F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v"))))
+    u = staged(cases.select("idx", "case_id", unit.alias("v")))
+    a, b = u.select(F.col("idx").alias("i"), F.col("v").alias("_a")), u.select(F.col("idx").alias("j"), F.col("v").alias("_b"))
+    near = staged(a.join(b, F.col("j") < F.col("i")).filter(dot(F.col("_a"), F.col("_b")) >= tau).select("i", "j"))
+    left, memory, covered = u.select("idx"), None, None
+    while not left.isEmpty():
+        open_ = near.join(left.select(F.col("idx").alias("i")), "i", "left_semi").join(left.select(F.col("idx").alias("j")), "j", "left_semi")
+        fresh = staged(left.join(open_.select(F.col("i").alias("idx")), "idx", "left_anti"))
+        near_ = staged(near.join(fresh.select(F.col("idx").alias("j")), "j", "left_semi").select(F.col("i").alias("idx")).distinct())
+        memory = fresh if memory is None else staged(memory.union(fresh))
+        covered = near_ if covered is None else staged(covered.union(near_).distinct())
+        left = staged(left.join(fresh, "idx", "left_anti").join(near_, "idx", "left_anti"))
+    known = cases.sparkSession.createDataFrame([], "idx long") if covered is None else covered
+    w = weak.select("case_id", F.col("verdict").alias("_v"), F.col("articles").alias("_a"), F.col("usd").alias("_u"))
+    out = _told(cases, teacher).join(w, "case_id", "left").join(known.withColumn("_c", F.lit(True)), "idx", "left")
+    use = F.coalesce(F.col("_c") & F.col("_v").isin("permit", "prohibit"), F.lit(False))
+    extra = F.when(F.coalesce("_c", F.lit(False)), F.coalesce("_u", F.lit(0.0))).otherwise(0.0)
+    return out.select("idx", "case_id", F.when(use, F.col("_v")).otherwise(F.col("verdict")).alias("verdict"), F.when(use, F.col("_a")).otherwise(F.col("articles")).alias("articles"), (extra + F.when(use, 0.0).otherwise(F.col("usd"))).alias("usd"), (~use).alias("teacher_call"))
+
+
 def recorded(stream: DataFrame, log: DataFrame) -> DataFrame:
     """stream(idx, head, relation) with the answers and cost of a log(head, relation, answers, cost) of paid calls, one each pair; only the first use of a pair is paid.
 
@@ -210,6 +442,12 @@ def valid_requests(requests: DataFrame, chars: int = 1000, most: int = 1000) ->
     return requests.filter(short(F.col("head")) & short(F.col("relation")) & (F.size("answers") <= most) & F.forall("answers", short))
 
 
+def valid_ingests(requests: DataFrame, chars: int = 1000, most: int = 10_000) -> DataFrame:
+    """requests(triples array of (src, rel, dst)) within the limits of the service."""
+    short = lambda x: F.length(x) <= chars
+    return requests.filter((F.size("triples") <= most) & F.forall("triples", lambda t: short(t["src"]) & short(t["rel"]) & short(t["dst"])))
+
+
 def grid(spark, runs: dict[str, list], fn, schema: str) -> DataFrame:
     """fn(parameters) -> list of rows for each combination of run parameters, spread over the workers."""
     from itertools import product

@@ -66,7 +66,18 @@ class CausalModel:
         domain = spark.createDataFrame([(x,) for x in self.variables[target].domain], ["value"])
         out = domain.join(counts, "value", "left").select("value", F.coalesce("count", F.lit(0)).alias("n"))
         total = out.agg(F.sum("n").alias("total"))
-        return out.join(F.broadcast(total)).select("value", "n", (F.col("n") / F.nullif("total", F.lit(0))).alias("probability"))
+        return out.crossJoin(total).select("value", "n", (F.col("n") / F.nullif("total", F.lit(0))).alias("probability"))
+
+    def probability(self, spark: SparkSession, target: str, value, n: int = 5000, evidence: dict | None = None, do: dict | None = None) -> DataFrame:
+        """One row (probability, n): the share of draws that fit the evidence in which target has the value; null without any."""
+        return self.sample(spark, n, evidence, do).agg(F.avg((F.col(target) == value).cast("double")).alias("probability"), F.count("*").alias("n"))
+
+    def estimands(self, spark: SparkSession, x: str, y: str, n: int = 5000) -> DataFrame:
+        """(estimand, value) for binary x and y: association, P(y = 1 | x = 1), the same under do(x = 1) and do(x = 0), and their difference."""
+        named = lambda name, df: df.select(F.lit(name).alias("estimand"), F.col("probability").alias("value"))
+        one, zero = (self.probability(spark, y, 1, n, do={x: v}) for v in (1, 0))
+        effect = one.select(F.col("probability").alias("a")).crossJoin(zero.select(F.col("probability").alias("b"))).select(F.lit("average_effect").alias("estimand"), (F.col("a") - F.col("b")).alias("value"))
+        return named("association", self.probability(spark, y, 1, n, evidence={x: 1})).union(named("do_1", one)).union(named("do_0", zero)).union(effect)
 
     def counterfactual(self, spark: SparkSession, evidence: dict, do: dict, target: str, n: int = 5000) -> DataFrame:
         """(value, n) of target had do been so: rows whose factual values fit the evidence are replayed with the same noise."""
@@ -124,4 +135,4 @@ def adjusted(rows: DataFrame, x: str, y: str, z: list[str]) -> DataFrame:
     n = rows.agg(F.count("*").alias("total"))
     pz = rows.groupBy(*z).agg(F.count("*").alias("nz"))
     py = rows.groupBy(x, *z).agg(F.avg(F.col(y).cast("double")).alias("p"))
-    return py.join(pz, z).join(F.broadcast(n)).groupBy(x).agg(F.sum(F.col("p") * F.col("nz") / F.col("total")).alias("effect"))
+    return py.join(pz, z).crossJoin(n).groupBy(x).agg(F.sum(F.col("p") * F.col("nz") / F.col("total")).alias("effect"))

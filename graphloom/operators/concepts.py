@@ -14,9 +14,12 @@ def context(edges: DataFrame, min_support: int = 1, max_attributes: int | None =
     counts = e.groupBy("rel", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
     if max_attributes is not None:
         counts = counts.orderBy(F.desc("n"), "rel", "dst").limit(max_attributes)
-    # concept enumeration is exponential in attributes, so that a context has few of them
-    attrs = counts.withColumn("attr", F.row_number().over(Window.orderBy(F.desc("n"), "rel", "dst")) - 1).select("attr", "rel", "dst", "n")
-    return attrs, e.join(F.broadcast(attrs), ["rel", "dst"]).select(F.col("src").alias("obj"), "attr")
+    # numbered by count first: attributes of one count are numbered among themselves, after all with a higher one
+    counts = staged(counts)
+    sizes = counts.groupBy("n").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("n").orderBy("rel", "dst")) - 1
+    attrs = counts.withColumn("_own", own).join(sizes, "n").select((F.col("_before") + F.col("_own")).cast("int").alias("attr"), "rel", "dst", "n")
+    return attrs, e.join(attrs, ["rel", "dst"]).select(F.col("src").alias("obj"), "attr")
 
 
 def objects_of(incidence: DataFrame, intent: list[int]) -> DataFrame:
@@ -30,17 +33,21 @@ def attributes_of(incidence: DataFrame, attrs: DataFrame, extent: DataFrame) ->
     """Attributes that all objects of extent have; all attributes for an empty one."""
     n = extent.select("obj").distinct().agg(F.count("*").alias("total"))
     have = incidence.join(extent.select("obj").distinct(), "obj", "left_semi").groupBy("attr").agg(F.countDistinct("obj").alias("k"))
-    return attrs.select("attr").join(have, "attr", "left").join(F.broadcast(n)).filter(F.coalesce("k", F.lit(0)) == F.col("total")).select("attr")
+    return attrs.select("attr").join(have, "attr", "left").crossJoin(n).filter(F.coalesce("k", F.lit(0)) == F.col("total")).select("attr")
 
 
 def concepts(incidence: DataFrame, attrs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(intent, extent) of all concepts: intents are the meets of object intents, with the set of all attributes."""
+    """(intent, extent) of all concepts: intents are the meets of object intents, with the set of all attributes.
+
+    Each round meets new intents with every distinct object intent: the result
+    itself can be exponential in the attributes, so that contexts have few.
+    """
     own = staged(incidence.groupBy("obj").agg(F.array_sort(F.collect_set("attr")).alias("intent")))
     rows = staged(own.select("intent").distinct())
     every = attrs.agg(F.array_sort(F.collect_set("attr")).alias("intent"))
     known = new = rows
     for _ in range(max_rounds):
-        meets = new.select(F.col("intent").alias("i")).join(F.broadcast(rows)).select(F.array_sort(F.array_intersect("i", "intent")).alias("intent")).distinct()
+        meets = new.select(F.col("intent").alias("i")).crossJoin(rows).select(F.array_sort(F.array_intersect("i", "intent")).alias("intent")).distinct()
         new = staged(meets.join(known, "intent", "left_anti"))
         if new.isEmpty():
             break
@@ -71,19 +78,57 @@ def signatures(edges: DataFrame) -> DataFrame:
 def induce_types(edges: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members(cluster, id), types(cluster, signature)): k-means over presence vectors; a signature has what half of the members have."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
-    sig = staged(signatures(edges))
-    names = sorted(r.s for r in sig.select(F.explode("signature").alias("s")).distinct().collect())  # two for each relation
-    vec = F.array(*[F.array_contains("signature", n).cast("double") for n in names])
-    model = KMeans(k=k, seed=seed, featuresCol="f", predictionCol="cluster").fit(sig.select("id", array_to_vector(vec).alias("f")))
-    members = model.transform(sig.select("id", "signature", array_to_vector(vec).alias("f"))).select("cluster", "id", "signature")
+    rows = _as_vectors(_presence(edges)[1])
+    model = KMeans(k=k, seed=seed, featuresCol="f", predictionCol="cluster").fit(rows)
+    members = model.transform(rows).select("cluster", "id", "signature")
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))
     share = members.select("cluster", F.explode("signature").alias("s")).groupBy("cluster", "s").count().join(size, "cluster")
     types = share.filter(2 * F.col("count") >= F.col("n")).groupBy("cluster").agg(F.array_sort(F.collect_set("s")).alias("signature"))
     return members.select("cluster", "id"), types
 
 
+def described(signature: str, most: int = 5):
+    """The first few of a sorted signature as text."""
+    return F.array_join(F.slice(F.array_sort(signature), 1, most), ", ")
+
+
+def lattice_summary(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: concepts, edges, and the sizes of the largest extent and intent."""
+    c = found.agg(F.count("*").alias("concepts"), F.max(F.size("extent")).cast("long").alias("largest_extent"), F.max(F.size("intent")).cast("long").alias("largest_intent"))
+    return c.crossJoin(edges.agg(F.count("*").alias("edges")))  # a row each
+
+
+def induce_types_by_elbow(edges: DataFrame, max_k: int = 8, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """induce_types with the number of clusters that the elbow of the training costs gives."""
+    from pyspark.ml.clustering import KMeans
+
+    vectors = staged(_presence(edges)[1])
+    kinds = vectors.select("signature").distinct().count()
+    costs = [KMeans(k=k, seed=seed, featuresCol="f").fit(_as_vectors(vectors)).summary.trainingCost for k in range(2, min(max_k, kinds) + 1)]
+    one = _one_cluster_cost(vectors)
+    return induce_types(edges, max(2, elbow([one, *costs])), seed)
+
+
+def _presence(edges: DataFrame) -> tuple[list[str], DataFrame]:
+    """(names, rows(id, signature, a)): a has 1 where the node has the name."""
+    sig = staged(signatures(edges))
+    names = sorted(r.s for r in sig.select(F.explode("signature").alias("s")).distinct().collect())  # two for each relation
+    return names, sig.select("id", "signature", F.array(*[F.array_contains("signature", n).cast("double") for n in names]).alias("a"))
+
+
+def _as_vectors(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return rows.select("id", "signature", array_to_vector("a").alias("f"))
+
+
+def _one_cluster_cost(rows: DataFrame) -> float:
+    """Sum of squared distances to the mean."""
+    per = rows.select(F.posexplode("a").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.avg("x")).alias("c"))
+    return per.agg(F.sum("c")).first()[0] or 0.0
+
+
 def elbow(costs: list[float]) -> int:
     """Number of clusters before the first drop of less than 30 % of the cost; costs[i] belongs to i + 1 clusters."""
     for i in range(1, len(costs)):

@@ -25,10 +25,31 @@ def summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), F.sum("cost").alias("total_cost"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("latency_ms").alias("avg_latency_ms"), *tiers)
 
 
+def running_sum(rows: DataFrame, value: str, order: str, key: str | None, name: str, before: bool = False, width: int = 10_000) -> DataFrame:
+    """rows with name, the sum of value up to the row in the order of a numeric column, that row left out with before.
+
+    Rows are summed in blocks of width of the order column first, so that no
+    key, nor the whole log where none is given, is sorted in one task; the blocks
+    of a key are few.
+    """
+    keys = [key] if key else []
+    block = F.floor(F.col(order) / width)
+    sums = rows.groupBy(*keys, block.alias("_b")).agg(F.sum(value).alias("_s"))
+    over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    out = rows.withColumn("_b", block).withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return out.join(sums, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_own")).select(*rows.columns, name)
+
+
 def running_cost(records: DataFrame, key: str | None = None) -> DataFrame:
-    """records with cost_so_far in order of idx, within key."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("cost_so_far", F.sum("cost").over(w))
+    """records with cost_so_far in order of idx, within key; rows of equal idx are added one after the other."""
+    return running_sum(records, "cost", "idx", key, "cost_so_far")
+
+
+def by_class(records: DataFrame, key: str = "relation") -> DataFrame:
+    """(key, n, cost, accuracy) of records(key, cost, correct)."""
+    return records.groupBy(key).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
 def block_means(records: DataFrame, width: int = 50) -> DataFrame:
@@ -36,10 +57,30 @@ def block_means(records: DataFrame, width: int = 50) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """p50 interpolated; p95 and p99 the element at min(n - 1, floor(q n)) of the sorted values; mean and n."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    at = lambda q: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q))), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.avg(value).alias("mean"))
+    """(keys, n, p50, p95, p99, mean): p50 interpolated; p95 and p99 the element at min(n - 1, floor(q n)) of the sorted values.
+
+    Equal values are counted first, and the counts of a key are kept as its
+    histogram, so that a hot key isn't sorted row by row.  Nulls are left out.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.percentile("_v", F.lit(0.5), F.col("_c")).alias("p50"))
+    upto = running_ranks(counts, keys)
+    placed = upto.join(n, keys) if keys else upto.crossJoin(n)
+    at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q)))
+    pick = lambda q: F.max(F.when((F.col("_from") <= at(q)) & (at(q) < F.col("_from") + F.col("_c")), F.col("_v")))
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.max("p50").alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.max("mean").alias("mean"))
+
+
+def running_ranks(counts: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
+    """counts(keys, _v, _c) with _from, the rows of the key with a smaller value: in ranges of values cut at quantiles, never a key in one task."""
+    cuts = counts.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000))).alias("_cuts"))
+    c = counts.join(cuts, keys) if keys else counts.crossJoin(cuts)
+    c = c.withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    sums = c.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return c.withColumn("_own", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(sums, [*keys, "_b"]).withColumn("_from", F.col("_before") + F.col("_own"))
 
 
 def t_summary(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -61,14 +102,16 @@ def wilson(k: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
 def bootstrap(values: DataFrame, draws: int = 1000, seed: str = "12345", level: float = 0.95) -> DataFrame:
     """One row (mean, low, high): percentiles of means of draws with replacement, picked by hashes.
 
-    values(i, v) with i from 0 to n - 1 is the per-run table, a few hundred rows.
+    values(i, v) with i from 0 to n - 1.  Draws are draws * n rows that meet the
+    values by an equi-join; nulls without values.
     """
     n = values.count()
-    grid = values.sparkSession.range(draws).select(F.col("id").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("j"))
+    grid = values.sparkSession.range(draws * n).select(F.floor(F.col("id") / max(n, 1)).alias("d"), (F.col("id") % max(n, 1)).alias("j"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "d", "j")), 1, 8), 16, 10).cast("long")
-    means = grid.withColumn("i", F.pmod(u, F.lit(max(n, 1)))).join(F.broadcast(values), "i").groupBy("d").agg(F.avg("v").alias("m"))
+    means = grid.withColumn("i", F.pmod(u, F.lit(max(n, 1)))).join(values, "i").groupBy("d").agg(F.avg("v").alias("m"))
     tail = (1 - level) / 2
-    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).join(F.broadcast(values.agg(F.avg("v").alias("mean")))).select("mean", "low", "high")
+    ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return values.agg(F.avg("v").alias("mean")).crossJoin(ends)  # a row each
 
 
 def crossing(points: DataFrame, level: float, keys: list[str]) -> DataFrame:
@@ -126,7 +169,7 @@ def proof_metrics(workload_answers: DataFrame, checked: DataFrame) -> DataFrame:
     tails = workload_answers.select(F.col("head").alias("src"), F.col("relation").alias("rel"), F.explode("answers").alias("dst")).distinct()
     valid = tails.join(checked.select("src", "rel", "dst", "grounded"), ["src", "rel", "dst"]).agg(F.avg(F.col("grounded").cast("double")).alias("validity"))
     n = workload_answers.agg(F.count("*").alias("asked"), F.count(F.when(F.col("answered"), 1)).alias("answered"))
-    return n.join(F.broadcast(valid)).select("asked", "answered", (F.col("answered") / F.nullif("asked", F.lit(0))).alias("coverage"), "validity")
+    return n.crossJoin(valid).select("asked", "answered", (F.col("answered") / F.nullif("asked", F.lit(0))).alias("coverage"), "validity")
 
 
 def repeat_profile(stream: DataFrame, key: str) -> DataFrame:
@@ -138,7 +181,7 @@ def repeat_profile(stream: DataFrame, key: str) -> DataFrame:
 def mean_trajectories(runs: DataFrame, key: str = "system") -> DataFrame:
     """(key, pos, mean) of runs(key, run, trajectory), as far as the shortest run of the key goes."""
     shortest = runs.groupBy(key).agg(F.min(F.size("trajectory")).alias("least"))
-    each = runs.select(key, F.posexplode("trajectory").alias("pos", "v")).join(F.broadcast(shortest), key).filter("pos < least")
+    each = runs.select(key, F.posexplode("trajectory").alias("pos", "v")).join(shortest, key).filter("pos < least")
     return each.groupBy(key, "pos").agg(F.avg("v").alias("mean"))
 
 
@@ -161,6 +204,109 @@ def verdict(percent_saved: Column) -> Column:
     return F.when(percent_saved.isNull(), "none").when(percent_saved >= 20, "reduces").when(percent_saved >= 0, "neutral").otherwise("costs")
 
 
+def cell_valid(accuracy_delta: Column, tolerance: float = 0.02) -> Column:
+    """Whether an arm's accuracy is at most the tolerance under the base's; null without a figure."""
+    return accuracy_delta >= -tolerance
+
+
+def error_rates(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_seeds, mean_saved, n_installed, p_installed, low, high, mean_accuracy_delta, n_invalid, verdict) of sweep cells.
+
+    cells(keys, seed, calls_saved_pct, rule_installed, accuracy_delta,
+    cell_valid); low and high are the score interval of the share of cells that
+    installed a rule.  Means leave nulls out.
+    """
+    k = F.sum(F.col("rule_installed").cast("long"))
+    out = cells.groupBy(*keys).agg(
+        F.count("*").alias("n_seeds"),
+        F.avg("calls_saved_pct").alias("mean_saved"),
+        k.alias("n_installed"),
+        F.avg("accuracy_delta").alias("mean_accuracy_delta"),
+        F.count(F.when(~F.col("cell_valid"), 1)).alias("n_invalid"),
+    )
+    low, high = wilson(F.col("n_installed").cast("double"), F.col("n_seeds").cast("double"))
+    return out.withColumn("p_installed", F.col("n_installed") / F.col("n_seeds")).withColumn("low", low).withColumn("high", high).withColumn("verdict", verdict(F.col("mean_saved")))
+
+
+def oracle_cells(cells: DataFrame) -> DataFrame:
+    """(gamma, error_rate, n_seeds, arm_accuracy, sub_gold_accuracy, p_install, low, high, mean_saved, mean_precision, n_invalid)."""
+    out = cells.groupBy("gamma", "error_rate").agg(
+        F.count("*").alias("n_seeds"),
+        F.avg("cache_accuracy").alias("arm_accuracy"),
+        F.avg("teacher_answer_accuracy").alias("sub_gold_accuracy"),
+        F.sum((F.size(F.coalesce("synthesised_rules", F.array().cast("array<string>"))) > 0).cast("long")).alias("_k"),
+        F.avg("calls_saved_pct").alias("mean_saved"),
+        F.avg("rule_world_precision").alias("mean_precision"),
+        F.count(F.when(~F.col("cell_valid"), 1)).alias("n_invalid"),
+    )
+    low, high = wilson(F.col("_k").cast("double"), F.col("n_seeds").cast("double"))
+    return out.select("gamma", "error_rate", "n_seeds", "arm_accuracy", "sub_gold_accuracy", (F.col("_k") / F.col("n_seeds")).alias("p_install"), low.alias("low"), high.alias("high"), "mean_saved", "mean_precision", "n_invalid")
+
+
+def experiments(runs: DataFrame) -> DataFrame:
+    """(experiment, name, value, n, mean, sd, half_width) of runs(experiment, system, tag, total_cost, accuracy, avg_latency_ms).
+
+    E1 goes by system and has the latency too, E3 and E4 by tag, E5 and E6 by
+    system and tag.
+    """
+    e = F.col("experiment")
+    name = F.when(e == "E1", F.col("system")).when(e.isin("E3", "E4"), F.col("tag")).when(e.isin("E5", "E6"), F.concat_ws("|", "system", "tag"))
+    values = F.array(*[F.struct(F.lit(v).alias("value"), F.col(c).alias("x")) for v, c in (("cost", "total_cost"), ("accuracy", "accuracy"), ("latency_ms", "avg_latency_ms"))])
+    each = runs.filter(name.isNotNull()).select("experiment", name.alias("name"), F.explode(values).alias("v")).select("experiment", "name", "v.value", "v.x").filter((F.col("value") != "latency_ms") | (F.col("experiment") == "E1"))
+    return t_summary(each, "x", ["experiment", "name", "value"])
+
+
+def main_table(summary_: DataFrame, shares: DataFrame) -> DataFrame:
+    """(system, cost, half_width, accuracy, latency_ms, percent_without_llm) from experiments and tier_shares: the share of tiers 1 and 2."""
+    e1 = summary_.filter("experiment = 'E1'")
+    pick = lambda v, c: F.max(F.when(F.col("value") == v, F.col(c)))
+    rows = e1.groupBy(F.col("name").alias("system")).agg(pick("cost", "mean").alias("cost"), pick("cost", "half_width").alias("half_width"), pick("accuracy", "mean").alias("accuracy"), pick("latency_ms", "mean").alias("latency_ms"))
+    free = shares.filter(F.col("tier").isin(1, 2)).groupBy("system").agg((100 * F.sum("share")).alias("percent_without_llm"))
+    return rows.join(free, "system", "left").fillna({"percent_without_llm": 0.0})
+
+
+def ablation_table(summary_: DataFrame, order: list[str]) -> DataFrame:
+    """(place, tag, cost, accuracy) of E4 in a fixed order; tags that weren't run are left out."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("name"))
+    pick = lambda v: F.max(F.when(F.col("value") == v, F.col("mean")))
+    return summary_.filter("experiment = 'E4'").groupBy(place.alias("place"), F.col("name").alias("tag")).agg(pick("cost").alias("cost"), pick("accuracy").alias("accuracy")).filter("place > 0")
+
+
+def teacher_matrix(runs: DataFrame, base: str = "llm_only") -> DataFrame:
+    """(teacher, arm, n, factor_mean, factor_sd, accuracy, f1) of runs(teacher, seed, arm, cost, accuracy, f1): factor is what the base arm of the same seed costs over the arm."""
+    b = runs.filter(F.col("arm") == base).select("teacher", "seed", F.col("cost").alias("_base"))
+    each = runs.join(b, ["teacher", "seed"], "left").withColumn("factor", F.col("_base") / F.nullif("cost", F.lit(0.0)))
+    return each.groupBy("teacher", "arm").agg(F.count("*").alias("n"), F.avg("factor").alias("factor_mean"), F.coalesce(F.stddev_samp("factor"), F.lit(0.0)).alias("factor_sd"), F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"))
+
+
+def matrix_totals(runs: DataFrame) -> DataFrame:
+    """One row (distinct_patterns, spend) of runs(distinct_patterns, spend): the rounded mean and the sum."""
+    return runs.agg(F.round(F.avg("distinct_patterns")).cast("long").alias("distinct_patterns"), F.sum("spend").alias("spend"))
+
+
+def sweep(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (keys, seed, cache_calls, full_calls, calls_saved_pct, cache_accuracy, full_accuracy, accuracy_delta, cell_valid) of outcomes(keys, seed, arm, tier, correct).
+
+    arm is cache or full; calls are those of tier 3; 0 % saved where the cache
+    arm made none.
+    """
+    arm = lambda a, x: F.when(F.col("arm") == a, x)
+    calls = lambda a: F.count(arm(a, F.when(F.col("tier") == 3, 1)))
+    right = lambda a: F.avg(arm(a, F.col("correct").cast("double")))
+    out = outcomes.groupBy(*keys, "seed").agg(calls("cache").alias("cache_calls"), calls("full").alias("full_calls"), right("cache").alias("cache_accuracy"), right("full").alias("full_accuracy"))
+    out = out.withColumn("calls_saved_pct", F.coalesce(100 * (F.col("cache_calls") - F.col("full_calls")) / F.nullif("cache_calls", F.lit(0)), F.lit(0.0)))
+    out = out.withColumn("accuracy_delta", F.col("full_accuracy") - F.col("cache_accuracy"))
+    return out.withColumn("cell_valid", cell_valid(F.col("accuracy_delta")))
+
+
+def teacher_accuracy(said: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row (n, accuracy): of the distinct pairs with gold(head, relation, tails) that said(head, relation, answers) has, those with an answer and nothing but gold."""
+    g = gold.filter(F.size("tails") > 0)
+    each = said.dropDuplicates(["head", "relation"]).join(g, ["head", "relation"])
+    ok = (F.size("answers") > 0) & (F.size(F.array_except("answers", "tails")) == 0)
+    return each.agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("accuracy"))
+
+
 def saving(costs: DataFrame, keys: list[str], base: str, arm: str) -> DataFrame:
     """(keys, factor, percent_saved, verdict) of costs(keys, system, cost): base over arm, 0 saved where base is free."""
     both = costs.groupBy(*keys).agg(F.sum(F.when(F.col("system") == base, F.col("cost"))).alias("b"), F.sum(F.when(F.col("system") == arm, F.col("cost"))).alias("a"))
@@ -184,6 +330,15 @@ def stride_sample(values: DataFrame, column: str, n: int = 200) -> DataFrame:
     parts = staged(parts)
     before = parts.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
     place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
-    out = parts.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("place", F.col("_b") + F.col("_i"))
+    out = parts.withColumn("_i", place).join(before, "_p").withColumn("place", F.col("_b") + F.col("_i"))
     step = max(1, total // n)
     return out.filter((F.col("place") % step == 0) & (F.col("place") < step * n)).select(column, "place")
+
+
+def parameter_grid(spark, values: dict[str, list]) -> list[dict]:
+    """Each combination of parameter values, the plan of a grid of runs."""
+    out = None
+    for k, xs in values.items():
+        one = spark.createDataFrame([(x,) for x in xs], [k])
+        out = one if out is None else out.crossJoin(one)
+    return [r.asDict() for r in out.orderBy(*values).collect()]

@@ -50,6 +50,42 @@ def incoming(edges: DataFrame, ids: DataFrame, rel: str | None = None) -> DataFr
     return outgoing(edges.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")), ids, rel)
 
 
+def in_relations(edges: DataFrame) -> DataFrame:
+    """(id, relations): as out_relations, against the edges."""
+    return out_relations(edges.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
+
+
+def entities(nodes: DataFrame) -> DataFrame:
+    """Distinct (id)."""
+    return nodes.select("id").distinct()
+
+
+def relations(edges: DataFrame) -> DataFrame:
+    """Distinct (rel)."""
+    return edges.select("rel").distinct()
+
+
+def types(nodes: DataFrame) -> DataFrame:
+    """(type, n): the types and how many nodes have each."""
+    return nodes.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def nodes_of_type(nodes: DataFrame, type_: str) -> DataFrame:
+    """(id) of one type."""
+    return nodes.filter(F.col("type") == type_).select("id")
+
+
+def has_nodes(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asked(id) with found and the node's type, null where there is none; null ids are never found."""
+    return asked.join(nodes.select("id", "type").dropDuplicates(["id"]), "id", "left").withColumn("found", F.col("type").isNotNull())
+
+
+def has_edges(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """asked(src, rel, dst) with found."""
+    here = edges.select("src", "rel", "dst").distinct().withColumn("_here", F.lit(True))
+    return asked.join(here, ["src", "rel", "dst"], "left").withColumn("found", F.coalesce("_here", F.lit(False))).drop("_here")
+
+
 def out_relations(edges: DataFrame) -> DataFrame:
     """(id, relations): a map from relation to the sorted set of neighbours."""
     each = edges.groupBy(F.col("src").alias("id"), "rel").agg(F.array_sort(F.collect_set("dst")).alias("n"))
@@ -97,3 +133,9 @@ def last_assertion(log: DataFrame) -> DataFrame:
     """One row a triple: the last by seq."""
     w = Window.partitionBy("src", "rel", "dst").orderBy(F.desc("seq"))
     return log.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i")
+
+
+def with_truth(edges: DataFrame, truth: DataFrame) -> DataFrame:
+    """Distinct edges and those that truth(head, relation, tails) says: what rules are scored on."""
+    true = truth.select(F.col("head").alias("src"), F.col("relation").alias("rel"), F.explode("tails").alias("dst"))
+    return edges.select("src", "rel", "dst").union(true).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -111,3 +112,60 @@ def type_new_ends(edges: DataFrame, nodes: DataFrame, relations: DataFrame, defa
     best = both.join(n_uses, "id").filter("count = uses").groupBy("id").agg(F.min("type").alias("type"))
     new = uses.select("id").distinct().join(nodes, "id", "left_anti")
     return new.join(best, "id", "left").select("id", F.coalesce("type", F.lit(default)).alias("type"))
+
+
+@dataclass(frozen=True)
+class RelationType:
+    """What a relation may connect; * takes any type."""
+
+    name: str
+    domain: tuple[str, ...] = ("*",)
+    range: tuple[str, ...] = ("*",)
+    symmetric: bool = False
+    transitive: bool = False
+    functional: bool = False
+    inverse_of: str | None = None
+
+
+@dataclass(frozen=True)
+class Ontology:
+    """Node types with their required properties, and relation types; adding gives a new ontology, a later entry of a name replaces the earlier one."""
+
+    node_types: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    relation_types: dict[str, RelationType] = field(default_factory=dict)
+
+    def with_node_type(self, name: str, required: tuple[str, ...] = ()) -> Ontology:
+        return replace(self, node_types={**self.node_types, name: required})
+
+    def with_relation_type(self, r: RelationType) -> Ontology:
+        return replace(self, relation_types={**self.relation_types, r.name: r})
+
+    def relation(self, name: str) -> RelationType | None:
+        return self.relation_types.get(name)
+
+    def tables(self, spark) -> tuple[DataFrame, DataFrame]:
+        """(node_types(name, required_props), relations) as the gates take them."""
+        rows = [(r.name, list(r.domain), list(r.range), r.symmetric, r.transitive, r.functional, r.inverse_of) for r in self.relation_types.values()]
+        return spark.createDataFrame([(n, list(p)) for n, p in self.node_types.items()], "name string, required_props array<string>"), spark.createDataFrame(rows, RELATION_SCHEMA)
+
+    def ends(self) -> dict[str, tuple[set[str], set[str]]]:
+        """{relation: (domain, range)} for rule_consistent."""
+        return {r.name: (set(r.domain), set(r.range)) for r in self.relation_types.values()}
+
+
+def revised(relations: DataFrame, proposals: DataFrame) -> DataFrame:
+    """relations with the proposals(name, r1, r2, ...) that have a new name: a path of two goes from the domain of the first to the range of the second.
+
+    Nothing that is there is changed; a proposal over an undeclared relation is
+    left out.
+    """
+    r = relations.select(F.col("name").alias("r1"), "domain")
+    q = relations.select(F.col("name").alias("r2"), "range")
+    new = proposals.select("name", "r1", "r2").dropDuplicates(["name"]).join(relations.select("name"), "name", "left_anti").join(r, "r1").join(q, "r2")
+    no = F.lit(False)
+    return relations.unionByName(new.select("name", "domain", "range", no.alias("symmetric"), no.alias("transitive"), no.alias("functional"), F.lit(None).cast("string").alias("inverse_of")))
+
+
+def revised_node_types(node_types: DataFrame, induced: DataFrame) -> DataFrame:
+    """node_types(name) with induced(name) that are new."""
+    return node_types.select("name").union(induced.select("name").distinct().join(node_types, "name", "left_anti"))

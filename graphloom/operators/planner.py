@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from graphloom.plans.rules import Pattern, is_var
+from graphloom.plans.rules import Pattern, Rule, is_var
 
 Fact = tuple[str, str, str]
 
@@ -65,20 +65,42 @@ def satisfied(goal: list[Pattern], facts: frozenset[Fact]) -> bool:
     return all(any(match(g, f, {}) is not None for f in facts) for g in goal)
 
 
-def plan(start: set[Fact], goal: list[Pattern], actions: list[Action], max_depth: int = 6, max_nodes: int = 5000) -> tuple[float, list[str]] | None:
-    """(cost, steps) of a cheapest plan, or None within the bounds."""
-    first = frozenset(start)
+def closed(facts: frozenset[Fact], rules: list[Rule]) -> frozenset[Fact]:
+    """The facts of one state and all that the rules derive from them; states are small, graphs are closed by plans.fixpoint."""
+    known, new = set(facts), set(facts)
+    while new and rules:
+        found = set()
+        for r in rules:
+            for i in range(len(r.body)):  # one premise is new
+                rows = [b for f in new if (b := match(r.body[i], f, {})) is not None]
+                for j in (j for j in range(len(r.body)) if j != i):
+                    rows = [b2 for b in rows for f in known if (b2 := match(r.body[j], f, b)) is not None]
+                found |= {fill(r.head, b) for b in rows if all(b.get(x, x) != b.get(y, y) for x, y in r.distinct)}
+        new = found - known
+        known |= new
+    return frozenset(known)
+
+
+def plan(start: set[Fact], goal: list[Pattern], actions: list[Action], max_depth: int = 6, max_nodes: int = 5000, rules: list[Rule] | None = None, entities: set[str] | None = None) -> tuple[float, list[str]] | None:
+    """(cost, steps) of a cheapest plan, or None within the bounds.
+
+    It starts from the closure of the start under the rules, and the goal is
+    tested on the closure of a state.  Free variables of effects take the given
+    entities beside those of the facts.
+    """
+    rules = rules or []
+    first = closed(frozenset(start), rules)
     queue, best, n, tried = [(0.0, 0, first, [])], {first: 0.0}, 0, 0
     while queue and tried < max_nodes:
         cost, _, facts, steps = heapq.heappop(queue)
-        if satisfied(goal, facts):
+        if satisfied(goal, closed(facts, rules)):
             return cost, steps
         tried += 1
         if len(steps) == max_depth or cost > best[facts]:
             continue
-        entities = sorted({x for s, _, o in facts for x in (s, o)})
+        names = sorted({x for s, _, o in facts for x in (s, o)} | (entities or set()))
         for a in actions:
-            for b in ground(a, facts, entities):
+            for b in ground(a, facts, names):
                 nxt = (facts - {fill(p, b) for p in a.removes}) | {fill(p, b) for p in a.adds}
                 if cost + a.cost < best.get(nxt, float("inf")):
                     best[nxt] = cost + a.cost

@@ -32,19 +32,19 @@ def instants(edges: DataFrame, times: DataFrame, bucket: float | None = None) ->
     """
     t = times.select("instant").distinct()
     if bucket is None:
-        return edges.join(F.broadcast(t), valid_at(F.col("instant")))
+        return edges.join(t, valid_at(F.col("instant")))
     span = edges.filter(F.col("valid_from").isNotNull() & F.col("valid_to").isNotNull())
     rest = edges.filter(F.col("valid_from").isNull() | F.col("valid_to").isNull())
     cell = lambda c: F.floor(c / bucket)
     cells = span.withColumn("_b", F.explode(F.sequence(cell(F.col("valid_from")), cell(F.col("valid_to")))))
     hit = cells.join(t.withColumn("_b", cell(F.col("instant"))), "_b").filter(valid_at(F.col("instant"))).drop("_b")
-    return hit.unionByName(rest.join(F.broadcast(t), valid_at(F.col("instant"))))
+    return hit.unionByName(rest.join(t, valid_at(F.col("instant"))))
 
 
 def history(edges: DataFrame, rules: list[Rule], workload: DataFrame, times: DataFrame, bucket: float | None = None) -> DataFrame:
     """workload(head, relation) at each instant with its answers: one fixpoint for all instants."""
     closed = closure(instants(edges, times, bucket).select("instant", "src", "rel", "dst"), rules, by=["instant"])
-    asked = workload.select("head", "relation").distinct().join(F.broadcast(times.select("instant").distinct()))
+    asked = workload.select("head", "relation").distinct().crossJoin(times.select("instant").distinct())  # every pair is asked at every instant
     tails = closed.select("instant", F.col("src").alias("head"), F.col("rel").alias("relation"), "dst")
     found = asked.join(tails, ["instant", "head", "relation"], "left").groupBy("instant", "head", "relation").agg(F.array_sort(F.collect_set("dst")).alias("answers"))
     return found.withColumn("answered", F.size("answers") > 0)
@@ -115,3 +115,31 @@ def quads(rows: DataFrame, origin: str = "2014-01-01", last_write: bool = False)
     if last_write:
         out = out.groupBy("src", "rel", "dst").agg(F.max("valid_from").alias("valid_from")).withColumn("valid_to", F.lit(None).cast("double"))
     return out
+
+
+def temporal_edge(src: Column, rel: Column, dst: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """An edge as a struct with its interval; null bounds are open."""
+    bound = lambda c: F.lit(None).cast("double") if c is None else c.cast("double")
+    return F.struct(src.alias("src"), rel.alias("rel"), dst.alias("dst"), bound(start).alias("valid_from"), bound(end).alias("valid_to"))
+
+
+def snapshot(edges: DataFrame, t: float) -> DataFrame:
+    """Distinct triples first asserted up to t: what a trajectory holds at t."""
+    return edges.filter(F.col("valid_from").isNull() | (F.col("valid_from") <= t)).select("src", "rel", "dst").distinct()
+
+
+def events_at(edges: DataFrame, t: float, step: float = 1.0) -> DataFrame:
+    """The assertions in (t, t + step]."""
+    return edges.filter((F.col("valid_from") > t) & (F.col("valid_from") <= t + step))
+
+
+def transition(edges: DataFrame, t: float, step: float = 1.0) -> DataFrame:
+    """(src, rel, dst, side): the triples of the snapshots before and after, and the events between."""
+    side = lambda df, name: df.select("src", "rel", "dst", F.lit(name).alias("side"))
+    return side(snapshot(edges, t), "before").union(side(events_at(edges, t, step), "event")).union(side(snapshot(edges, t + step), "after"))
+
+
+def first_days(edges: DataFrame, days: int) -> DataFrame:
+    """The edges of the first days on which anything is asserted."""
+    keep = edges.select(F.floor("valid_from").alias("_d")).filter(F.col("_d").isNotNull()).distinct().orderBy("_d").limit(days)
+    return edges.withColumn("_d", F.floor("valid_from")).join(keep, "_d", "left_semi").drop("_d")

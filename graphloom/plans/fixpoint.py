@@ -30,6 +30,8 @@ def closure(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, by: list
     by = by or []
     key = [*by, *KEY]
     spark = facts.sparkSession
+    if rules and not by and (strata := _strata(rules)):
+        return _in_one_plan(facts, rules, strata)
     premises = "array<struct<src:string,rel:string,dst:string>>"
     base = facts.select(*key).distinct()
     used = sorted({p[1] for r in rules for p in r.body} | {r.head[1] for r in rules})
@@ -56,6 +58,46 @@ def closure(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, by: list
     return out.unionByName(spark.read.schema(schema).parquet(*found)) if found else out
 
 
+def _strata(rules: list[Rule]) -> list[str]:
+    """Head relations, each after those that its rules need; empty if a relation needs itself."""
+    needs = {h: {p[1] for r in rules if r.head[1] == h for p in r.body} for h in {r.head[1] for r in rules}}
+    out: list[str] = []
+    while left := [h for h in needs if h not in out]:
+        free = sorted(h for h in left if not needs[h] & set(left))
+        if not free:
+            return []
+        out += free
+    return out
+
+
+def _in_one_plan(facts: DataFrame, rules: list[Rule], strata: list[str]) -> DataFrame:
+    """closure without recursion: one plan, a relation at a time, in place of rounds.
+
+    The round of a fact is one more than that of its latest premise; of several
+    derivations that of the earliest round counts.
+    """
+    premises = "array<struct<src:string,rel:string,dst:string>>"
+    base = facts.select(*KEY).distinct()
+    known = base.withColumn("round", F.lit(0))
+    out = known.select(*KEY, "round", F.lit(None).cast("string").alias("rule"), F.lit(None).cast(premises).alias("premises"))
+    for h in strata:
+        each = []
+        for k, r in enumerate(rules):
+            if r.head[1] == h:
+                b = heads(join_body([known] * len(r.body), r.body, premises=True), r)
+                n = F.greatest(*[F.col(f"_p{i}_round") for i in range(len(r.body))]) if len(r.body) > 1 else F.col("_p0_round")
+                each.append(b.select(*KEY, (n + 1).alias("round"), F.lit(k).alias("order"), F.array(*[F.col(f"_p{i}") for i in range(len(r.body))]).alias("premises"), F.lit(r.name).alias("rule")))
+        first = reduce(DataFrame.unionByName, each).groupBy(*KEY).agg(F.min(F.struct("round", "order", "premises", "rule")).alias("d"))
+        if not base.filter(F.col("rel") == h).isEmpty():
+            first = first.join(base.filter(F.col("rel") == h), KEY, "left_anti")
+        new = first.select(*KEY, "d.round", "d.rule", F.col("d.premises").cast(premises).alias("premises"))
+        if any(p[1] == h for r in rules for p in r.body):
+            new = staged(new)
+        known = known.unionByName(new.select(*KEY, "round"))
+        out = out.unionByName(new)
+    return out
+
+
 def _derive(rule: Rule, order: int, known: DataFrame, fresh: DataFrame, by: list[str], start: bool) -> list[DataFrame]:
     """Heads with at least one premise that is new since the last round; one join for each place it can stand."""
     out = []

@@ -49,7 +49,7 @@ def rules_from_json(text: str) -> list[Rule]:
 
 
 def atom(facts: DataFrame, pattern: Pattern, premise: str | None = None) -> DataFrame:
-    """Bindings of one pattern over facts(src, rel, dst): a column per variable, and the fact itself as a struct if premise names it."""
+    """Bindings of one pattern over facts(src, rel, dst): a column per variable, and the fact itself as a struct, with its round where facts have one, if premise names it."""
     s, r, o = pattern
     rows = facts.filter(F.col("rel") == r)
     if not is_var(s):
@@ -60,7 +60,8 @@ def atom(facts: DataFrame, pattern: Pattern, premise: str | None = None) -> Data
         rows = rows.filter(F.col("src") == F.col("dst"))
     cols = {x: c for x, c in ((o, "dst"), (s, "src")) if is_var(x)}
     out = [F.col(c).alias(x) for x, c in cols.items()]
-    return rows.select(*out, *([F.struct("src", "rel", "dst").alias(premise)] if premise else []))
+    fact = [F.struct("src", "rel", "dst").alias(premise)] if premise else []
+    return rows.select(*out, *fact, *([F.col("round").alias(f"{premise}_round")] if premise and "round" in rows.columns else []))
 
 
 def in_order(body: tuple[Pattern, ...], first: int = 0) -> list[int]:
@@ -74,11 +75,11 @@ def in_order(body: tuple[Pattern, ...], first: int = 0) -> list[int]:
     return order
 
 
-def join_body(sources: list[DataFrame], body: tuple[Pattern, ...], first: int = 0, premises: bool = False, seed: DataFrame | None = None) -> DataFrame:
+def join_body(sources: list[DataFrame], body: tuple[Pattern, ...], first: int = 0, premises: bool = False, seed: DataFrame | None = None, products: bool = False) -> DataFrame:
     """Bindings of a body; sources[i] has the facts for its i-th pattern.
 
-    seed restricts variables to given rows first.  Patterns that share no
-    variable with those before make a product, as the rule says.
+    seed restricts variables to given rows first.  A pattern that shares no
+    variable with those before makes a product, which has to be allowed.
     """
     parts = [(atom(sources[i], body[i], f"_p{i}" if premises else None), {x for x in body[i] if is_var(x)}) for i in in_order(body, first)]
     if seed is not None:
@@ -87,6 +88,8 @@ def join_body(sources: list[DataFrame], body: tuple[Pattern, ...], first: int =
     def step(acc, part):
         (left, bound), (right, own) = acc, part
         keys = sorted(bound & own)
+        if not keys and own and not products:
+            raise ValueError(f"{body}: a pattern shares no variable with the others; say products=True for their product")
         return (left.join(right, keys) if keys else left.crossJoin(right)), bound | own
 
     return reduce(step, parts[1:], parts[0])[0]
@@ -98,3 +101,42 @@ def heads(bindings: DataFrame, rule: Rule) -> DataFrame:
     for a, b in rule.distinct:
         bindings = bindings.filter(value(a) != value(b))
     return bindings.select(value(rule.head[0]).alias("src"), F.lit(rule.head[1]).alias("rel"), value(rule.head[2]).alias("dst"), *[c for c in bindings.columns if c.startswith("_p")])
+
+
+def composed(edges: DataFrame, legs: list[tuple[str, bool]], most: int | None = 25) -> DataFrame:
+    """(x, ys): the other ends of paths along legs(relation, backwards), without x itself; ends with more than most answers are left out."""
+    def leg(rel: str, back: bool, a: str, b: str) -> DataFrame:
+        e = edges.filter(F.col("rel") == rel)
+        return e.select(F.col("dst" if back else "src").alias(a), F.col("src" if back else "dst").alias(b)).distinct()
+
+    out = leg(*legs[0], "x", "m")
+    for rel, back in legs[1:]:
+        out = out.join(leg(rel, back, "m", "y"), "m").select("x", F.col("y").alias("m")).distinct()
+    got = out.filter("x <> m").groupBy("x").agg(F.array_sort(F.collect_set("m")).alias("ys"))
+    return got if most is None else got.filter(F.size("ys") <= most)
+
+
+def named_paths(edges: DataFrame, recipes: dict[str, list[tuple[str, bool]]], most: int | None = 25) -> DataFrame:
+    """(relation, x, ys) of derived relations by their recipes: legs(relation, backwards) under a name."""
+    parts = [composed(edges, legs, most).select(F.lit(name).alias("relation"), "x", "ys") for name, legs in recipes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+class RuleBook:
+    """Rules by name: a name that is there, and a rule that no typing of the relations allows, are refused."""
+
+    def __init__(self, relations: dict | None = None) -> None:
+        self.rules: list[Rule] = []
+        self.relations = relations or {}
+
+    def add(self, rule: Rule) -> bool:
+        from graphloom.operators.ontology import rule_consistent
+
+        if rule.name in self.names() or not rule_consistent(rule, self.relations):
+            return False
+        self.rules.append(rule)
+        return True
+
+    def names(self, axioms: list[Rule] | None = None) -> set[str]:
+        """Names of all rules that a proof may rest on."""
+        return {r.name for r in [*self.rules, *(axioms or [])]}

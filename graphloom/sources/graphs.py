@@ -23,7 +23,7 @@ def write_json(nodes: DataFrame, edges: DataFrame, path: str, name: str = "graph
     """The inverse of read_json, as one file: for graphs that one task can hold; write_tables has no such bound."""
     n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "type"))).alias("nodes"))
     e = edges.agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("rel").alias("relation"), F.col("dst").alias("target")))).alias("edges"))
-    n.join(F.broadcast(e)).select(F.lit(name).alias("name"), "nodes", "edges").coalesce(1).write.mode("overwrite").json(path)
+    n.crossJoin(e).select(F.lit(name).alias("name"), "nodes", "edges").coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -50,10 +50,18 @@ def read_triples(spark: SparkSession, path: str, sep: str = "\t", limit: int | N
     return rows if limit is None else rows.limit(limit)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_splits(spark: SparkSession, root: str) -> DataFrame:
-    """Triples of train.txt, valid.txt and test.txt with split."""
+    """Triples of train.txt, valid.txt and test.txt with split; an error names the splits that are missing."""
+    names = ("train", "valid", "test")
+    if missing := [s for s in names if not exists(spark, f"{root}/{s}.txt")]:
+        raise FileNotFoundError(f"{root} lacks {', '.join(f'{s}.txt' for s in missing)}")
     out = None
-    for s in ("train", "valid", "test"):
+    for s in names:
         rows = read_triples(spark, f"{root}/{s}.txt").withColumn("split", F.lit(s))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -63,7 +71,7 @@ def dataset_stats(triples: DataFrame) -> DataFrame:
     """One row: distinct entities over heads and tails, relations, and the size of each split."""
     ents = triples.select(F.col("src").alias("e")).union(triples.select("dst")).agg(F.countDistinct("e").alias("entities"))
     sizes = triples.agg(F.countDistinct("rel").alias("relations"), *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in ("train", "valid", "test")])
-    return ents.join(F.broadcast(sizes))
+    return ents.crossJoin(sizes)  # a row each
 
 
 def read_kb(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +103,17 @@ def parse_atoms(representation):
     return F.transform(z, lambda a: F.struct(term(a["s"]).alias("s"), a["r"].alias("r"), term(a["o"]).alias("o"), (a["p"] == "+").alias("positive")))
 
 
+def expressible(theories: DataFrame) -> DataFrame:
+    """The theories that rules can express."""
+    return theories.filter("expressible")
+
+
+def read_theory_split(spark: SparkSession, root: str, depth: int, split: str = "test", limit: int | None = None) -> DataFrame:
+    """read_theories of root/depth-N/meta-SPLIT.jsonl; limit takes the first by id."""
+    rows = read_theories(spark, f"{root}/depth-{depth}/meta-{split}.jsonl")
+    return rows if limit is None else rows.orderBy("id").limit(limit)
+
+
 def read_theories(spark: SparkSession, path: str) -> DataFrame:
     """(id, facts, rules, questions, expressible) of JSON lines: a ~ in a rule makes a theory inexpressible, which is counted, not dropped."""
     rep = "map<string,struct<representation:string>>"
@@ -107,17 +126,43 @@ def read_theories(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", facts.alias("facts"), F.transform(reps("rules"), rule).alias("rules"), questions.alias("questions"), expressible.alias("expressible"))
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow stream or file, read by the driver and handed over as it is."""
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of Arrow files or streams, one or a folder of them, with the columns of schema; each file is read by a task of its own."""
+    return arrow_rows(spark.read.format("binaryFile").load(path).select("content"), schema)
+
+
+def arrow_rows(blobs: DataFrame, schema: str) -> DataFrame:
+    """Rows of blobs(content), each an Arrow file or stream, with the columns of schema."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    with pa.memory_map(path) as f:
-        try:
-            got = pa.ipc.open_file(f).read_all()
-        except pa.ArrowInvalid:
-            f.seek(0)
-            got = pa.ipc.open_stream(f).read_all()
-        return spark.createDataFrame(got)
+    empty = blobs.sparkSession.createDataFrame([], schema)
+    names, target = empty.columns, to_arrow_schema(empty.schema)
+
+    def run(batches):
+        for b in batches:
+            for raw in b.column(0):
+                buffer = pa.py_buffer(raw.as_py())
+                try:
+                    got = pa.ipc.open_file(buffer).read_all()
+                except pa.ArrowInvalid:
+                    got = pa.ipc.open_stream(buffer).read_all()
+                yield from got.select(names).cast(target).to_batches()
+
+    return blobs.mapInArrow(run, schema)
+
+
+def case_slots(cases: DataFrame, slots: list[str], key: str = "case_id") -> DataFrame:
+    """(key, slot, value) of cases with an array of strings for each slot: trimmed, lower-cased, distinct and sorted; none where a slot is null or empty."""
+    clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != ""))))
+    some = lambda c: F.when(F.size(F.coalesce(clean(c), F.array().cast("array<string>"))) == 0, F.array(F.lit("none"))).otherwise(clean(c))
+    each = F.array(*[F.struct(F.lit(s).alias("slot"), some(F.col(s)).alias("values")) for s in slots])
+    return cases.select(key, F.explode(each).alias("s")).select(key, "s.slot", F.explode("s.values").alias("value"))
+
+
+def case_ontology(slots: list[str]) -> list[tuple]:
+    """Rows of relation types (RELATION_SCHEMA) for case graphs: has_SLOT from Case to Value, and the two verdicts."""
+    return [(f"has_{s}", ["Case"], ["Value"], False, False, False, None) for s in slots] + [("violates", ["Case"], ["Article"], False, False, False, None), ("permit", ["Case"], ["Verdict"], False, False, True, None)]
 
 
 def case_edges(cases: DataFrame) -> DataFrame:
@@ -126,38 +171,45 @@ def case_edges(cases: DataFrame) -> DataFrame:
     return c.select(F.col("case_id").alias("src"), F.concat(F.lit("has_"), F.col("slot")).alias("rel"), F.concat_ws(":", "slot", "category").alias("dst")).distinct()
 
 
-def save_state(path: str, edges: DataFrame, rules_json: str, episodes: DataFrame | None = None) -> None:
+def save_state(path: str, edges: DataFrame, rules_json: str, episodes: DataFrame | None = None, nodes: DataFrame | None = None) -> None:
     """All that a session knows, one folder a table; loading replaces."""
     spark = edges.sparkSession
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     spark.createDataFrame([(rules_json,)], "rules string").write.mode("overwrite").parquet(f"{path}/rules")
-    if episodes is not None:
-        episodes.write.mode("overwrite").parquet(f"{path}/episodes")
+    for name, df in (("episodes", episodes), ("nodes", nodes)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/rules").first()[0]
+def load_state(spark: SparkSession, path: str) -> dict:
+    """{edges, rules, episodes, nodes}: what was saved; None for a table that wasn't."""
+    table = lambda name: spark.read.parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else None
+    return {"edges": table("edges"), "rules": table("rules").first()[0], "episodes": table("episodes"), "nodes": table("nodes")}
 
 
 def round_robin(pool: DataFrame, n: int) -> DataFrame:
     """n rows of pool(head, relation) with idx, one of each relation in turn."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("relation").orderBy(F.md5(F.concat_ws("|", "head", "relation")), "head")
-    return pool.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= n).orderBy("turn", "relation").limit(n)
+    by = [F.md5(F.concat_ws("|", "head", "relation")), F.col("head")]
+    # the first n of each bucket, then of a relation: no relation is sorted whole in one task
+    few = pool.withColumn("turn", F.row_number().over(Window.partitionBy("relation", F.pmod(F.xxhash64("head"), F.lit(64))).orderBy(*by))).filter(F.col("turn") <= n)
+    return few.withColumn("turn", F.row_number().over(Window.partitionBy("relation").orderBy(*by))).filter(F.col("turn") <= n).orderBy("turn", "relation").limit(n)
 
 
-def zipf(pool: DataFrame, n: int, a: float = 1.4, seed: str = "0") -> DataFrame:
+def zipf(pool: DataFrame, n: int, a: float = 1.4, seed: str = "0", cells: int = 4096) -> DataFrame:
     """(idx, item) of n draws from pool(rank, item), rank from 1, with weights 1 / rank ** a; uniforms come from hashes.
 
-    The pool of distinct questions is a driver-sized table.
+    The distribution is summed up in blocks of ranks, and draws meet the items
+    by the cell of [0, 1) that they fall in: an equi-join.
     """
-    from pyspark.sql import Window
+    from graphloom.operators.evaluation import running_sum
 
-    w = F.pow(F.col("rank").cast("double"), F.lit(-a))
-    total = pool.agg(F.sum(w).alias("t")).first()[0] or 1.0
-    upto = F.sum(w).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / total
-    cdf = pool.select("item", "rank", upto.alias("hi"))
-    cdf = cdf.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0))).withColumn("hi", F.when(F.col("hi") > 1 - 1e-12, 1.0).otherwise(F.col("hi")))
+    w = pool.select("item", "rank", F.pow(F.col("rank").cast("double"), F.lit(-a)).alias("w"))
+    total = w.agg(F.sum("w")).first()[0] or 1.0
+    cdf = running_sum(w, "w", "rank", None, "upto", before=True).select("item", "rank", (F.col("upto") / total).alias("lo"), F.least((F.col("upto") + F.col("w")) / total, F.lit(1.0)).alias("hi"))
+    cell = lambda c: F.least(F.lit(cells - 1), F.floor(c * cells)).cast("int")
+    wide = cdf.withColumn("_c", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
     draws = pool.sparkSession.range(n).select(F.col("id").alias("idx"), (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "id")), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("u"))
-    return draws.join(F.broadcast(cdf), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("idx", "item")
+    hit = draws.withColumn("_c", cell(F.col("u"))).join(wide, "_c").filter((F.col("lo") <= F.col("u")) & ((F.col("u") < F.col("hi")) | (F.col("hi") >= 1 - 1e-12)))
+    return hit.groupBy("idx").agg(F.min_by("item", "rank").alias("item"))

@@ -1,6 +1,7 @@
 """Operators on the small cases of the blueprint."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,11 +59,18 @@ def test_files(spark, tmp_path):
     n2, e2 = S.read_tables(spark, str(tmp_path / "tables"))
     assert n2.count() == 2 and rows(e2.select("src", "rel", "dst")) == [("a", "r", "b")]
     S.save_state(str(tmp_path / "state"), edges, "[]")
-    e3, rules = S.load_state(spark, str(tmp_path / "state"))
-    assert e3.count() == 1 and rules == "[]"
+    back = S.load_state(spark, str(tmp_path / "state"))
+    assert back["edges"].count() == 1 and back["rules"] == "[]" and back["nodes"] is None and back["episodes"] is None
+    S.save_state(str(tmp_path / "state"), edges, "[]", nodes, nodes)
+    back = S.load_state(spark, str(tmp_path / "state"))
+    assert rows(back["nodes"].select("id", "type")) == rows(nodes.select("id", "type")) and rows(back["episodes"].select("id", "type")) == rows(nodes.select("id", "type"))
     for s in ("train", "valid", "test"):
         (tmp_path / f"{s}.txt").write_text("a\tr\tb\n" * (2 if s == "train" else 1))
     assert rows(S.dataset_stats(S.read_splits(spark, str(tmp_path)))) == [(2, 1, 2, 1, 1)]
+    (tmp_path / "half").mkdir()
+    (tmp_path / "half" / "valid.txt").write_text("a\tr\tb\n")
+    with pytest.raises(FileNotFoundError, match="train.txt, test.txt"):
+        S.read_splits(spark, str(tmp_path / "half"))
 
 
 def test_arrow_and_theories(spark, tmp_path):
@@ -72,7 +80,9 @@ def test_arrow_and_theories(spark, tmp_path):
     for name, writer in (("f", pa.ipc.new_file), ("s", pa.ipc.new_stream)):
         with pa.OSFile(str(tmp_path / name), "wb") as f, writer(f, t.schema) as w:
             w.write_table(t)
-        assert rows(S.read_arrow(spark, str(tmp_path / name))) == [(1, ["x"]), (2, [])]
+        assert rows(S.read_arrow(spark, str(tmp_path / name), "b array<string>, a long")) == [(["x"], 1), ([], 2)]
+    cases = spark.createDataFrame([("c1", [" A", "a", None, ""], None), ("c2", [], ["b", "A "])], "case_id string, x array<string>, y array<string>")
+    assert rows(S.case_slots(cases, ["x", "y"])) == [("c1", "x", "a"), ("c1", "y", "none"), ("c2", "x", "none"), ("c2", "y", "a"), ("c2", "y", "b")]
     (tmp_path / "p.jsonl").write_text(
         r'{"id": "t1", "triples": {"a": {"representation": "(\"bob\" \"is\" \"kind\" \"+\")"}}, "rules": {"r": {"representation": "(((\"someone\" \"is\" \"kind\" \"+\")) -> (\"someone\" \"is\" \"nice\" \"+\"))"}}, "questions": {"q": {"question": "?", "representation": "(\"bob\" \"is\" \"nice\" \"-\")", "answer": false, "QDep": 1}}}' + "\n"
         r'{"id": "t2", "triples": {}, "rules": {"r": {"representation": "(((\"x\" \"is\" \"kind\" \"~\")) -> (\"x\" \"is\" \"nice\" \"+\"))"}}, "questions": {}}' + "\n"
@@ -272,14 +282,15 @@ def test_proof_metrics(spark):
 
 def test_links(spark):
     triples = [(f"a{i}", "r", f"b{i % 4}") for i in range(24)] + [(f"b{i}", "in", "c") for i in range(4)]
-    model = link.train(triples, dim=8, epochs=150)
-    ents, rels = link.as_tables(spark, model)
+    edges = spark.createDataFrame(triples, E)
+    ents, rels = link.fitted(edges, dim=8, rounds=3, passes=60, shard_rows=14)
     q = spark.createDataFrame([(str(i), f"a{i}", "r") for i in range(24)] + [("x", "nobody", "r")], "q string, head string, relation string")
     p = {r.q: r for r in link.predictions(link.scores(q, ents, rels)).collect()}
     assert len(p) == 24 and sum(p[str(i)].tail == f"b{i % 4}" for i in range(24)) >= 20
     assert all(0 < r.confidence <= 1 and len(r.ranking) == 5 for r in p.values())
-    more = link.train([*triples, ("new", "r", "b0")], dim=8, epochs=5, start=model)
-    assert "new" in more["entities"] and len(more["entities"]) == len(model["entities"]) + 1
+    more, _ = link.fitted(edges.union(spark.createDataFrame([("new", "r", "b0")], E)), dim=8, rounds=1, start=(ents, rels))
+    assert more.count() == ents.count() + 1 and more.filter("id = 'new'").count() == 1
+    assert link.fitted(edges.limit(0), dim=4)[0].collect() == []
     one = spark.createDataFrame([([1.0], [2.0], [0.5], [-1.0], [3.0], [1.0])], "a array<double>, b array<double>, c array<double>, d array<double>, e array<double>, f array<double>")
     z = (1 + 2j) * (0.5 - 1j) * (3 - 1j)
     assert one.select(link.complex_score(*[F.col(c) for c in "abcdef"])).first()[0] == pytest.approx(z.real)
@@ -392,3 +403,109 @@ def test_trained_covers_all_edges(spark):
     d = "/root/testdata/sf0.001"
     heads = {r.src for r in queries.kg(spark, d, "part_of", "lives_in").select("src").distinct().collect()}
     assert {r.q for r in queries.k2_trained(spark, d).select("q").collect()} == heads
+
+
+# what the later queries don't show
+
+
+def test_answer_log(spark, tmp_path):
+    from graphloom.sources.answers import AnswerLog
+
+    rows_ = lambda *h: spark.createDataFrame([(x, "r", [x], 0.1) for x in h], "head string, relation string, answers array<string>, cost double")
+    book = AnswerLog(spark, str(tmp_path / "log"), {"model": "m"})
+    assert book.read().collect() == []
+    book.append(0, rows_("a"))
+    book.append(1, rows_("b", "c"))
+    (tmp_path / "log" / "batches" / "batch=2").mkdir()  # a crash left it half written
+    again = AnswerLog(spark, str(tmp_path / "log"), {"model": "m"})
+    assert {r.head for r in again.read().collect()} == {"a", "b", "c"} and again.batches() == [0, 1]
+    with pytest.raises(ValueError, match="recorded under"):
+        AnswerLog(spark, str(tmp_path / "log"), {"model": "other"})
+    book.append(4, rows_("d"))
+    with pytest.raises(ValueError, match="lacks batches"):
+        book.read()
+
+
+def test_path_sizes_equal_listed_pairs(spark):
+    rng = random.Random(4)
+    e = [(f"x{rng.randint(0, 30)}", rng.choice("rs"), f"m{rng.randint(0, 4)}") for _ in range(120)]
+    f = [(f"m{rng.randint(0, 5)}", rng.choice("tu"), f"x{rng.randint(0, 30)}") for _ in range(60)]
+    first = spark.createDataFrame([(r, x, m) for x, r, m in e], "r1 string, x string, m string")
+    second = spark.createDataFrame(f, "m string, r2 string, y string")
+    want = {}
+    for x, r1, m in set(e):
+        for m2, r2, y in set(f):
+            if m == m2:
+                want.setdefault((r1, r2), set()).add((x, y))
+    got = {(r.r1, r.r2): r.pairs for r in mining.path_sizes(first, second, ["r1"], ["r2"]).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+    labels = [(f"x{i}", lab) for i in range(31) for lab in "ab" if (i + ord(lab)) % 3]
+    got = {(r.r1, r.r2, r.label): r.pairs for r in mining.path_sizes(first, second, ["r1"], ["r2"], spark.createDataFrame(labels, "x string, label string")).collect()}
+    assert got == {(*k, lab): n for k, v in want.items() for lab in "ab" if (n := sum((x, lab) in labels for x, _ in v))}
+    goal = spark.createDataFrame([(f"x{i}", f"x{j}") for i in range(31) for j in range(31) if (i * j) % 7 == 1], "x string, y string")
+    have = {(r.x, r.y) for r in goal.collect()}
+    got = {(r.r1, r.r2): r.hits for r in mining.path_hits(first, second, ["r1"], ["r2"], goal).collect()}
+    assert got == {k: n for k, v in want.items() if (n := len(v & have))}
+
+
+def test_no_silent_folder_on_a_cluster(monkeypatch):
+    from graphloom.plans import stage
+
+    class Option:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://somewhere:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Option()})()})()
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stage.shared_dir(type("Spark", (), {"sparkContext": Context()})())
+
+
+def test_masking_patterns(spark):
+    """A number split by any white space is masked; one word character more is not."""
+    seen = ["call +49 30 1234 5678 now", "call 49\t30\n1234 5678", "call 555.123.4567", "card 1234567890123", "card 12345678901234"]
+    d = spark.createDataFrame(list(enumerate(seen)), "doc_id int, text string")
+    got = [r.text for r in text.redacted(d).orderBy("doc_id").collect()]
+    assert got[:3] == ["call +<PHONE_1> now", "call <PHONE_1>", "call <PHONE_1>"] and got[4] == "card <CC_1>" and "CC" not in got[3]
+
+
+def test_one_plan_equals_rounds(spark):
+    """Rules without recursion give the same facts, rounds, rules and premises as rounds do."""
+    from graphloom.plans.fixpoint import closure
+
+    e = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c"), ("a", "q", "c"), ("a", "t", "c"), ("d", "q", "c"), ("a", "p", "d")], E)
+    rules = [Rule("one", (("?x", "p", "?y"), ("?y", "q", "?z")), ("?x", "t2", "?z")), Rule("two", (("?x", "t2", "?z"),), ("?x", "t", "?z")), Rule("three", (("?x", "q", "?z"),), ("?x", "t", "?z"))]
+    key = lambda df: sorted(((*r[:4], r.rule, [tuple(p) for p in r.premises or []]) for r in df.select("src", "rel", "dst", "round", "rule", "premises").collect()), key=repr)
+    slow = closure(e.withColumn("w", F.lit(1)), rules, by=["w"]).drop("w")
+    assert key(closure(e, rules)) == key(slow)
+
+
+def test_planner_closes_states(spark):
+    from graphloom.operators.planner import Action
+
+    go = Action("go", (("?x", "at", "?a"), ("?a", "road", "?b")), (("?x", "at", "?b"),), (("?x", "at", "?a"),))
+    start = {("c", "at", "a"), ("a", "road", "b")}
+    rule = Rule("home", (("?x", "at", "b"),), ("?x", "is", "home"))
+    assert planner.plan(start, [("c", "is", "home")], [go]) is None
+    assert planner.plan(start, [("c", "is", "home")], [go], rules=[rule]) == (1.0, ["go(a, b, c)"])
+    call = Action("call", (), (("?w", "is", "called"),))
+    assert planner.plan(start, [("z", "is", "called")], [call]) is None and planner.plan(start, [("z", "is", "called")], [call], entities={"z"})[0] == 1.0
+
+
+def test_compliance_arms(spark):
+    cases = spark.createDataFrame([(i, f"c{i}", ["a=1", f"b={i % 2}"]) for i in range(40)], "idx long, case_id string, atoms array<string>")
+    told = spark.createDataFrame([(f"c{i}", "prohibit" if i % 2 else "permit", ["art5"] if i % 2 else [], 0.5) for i in range(40)], "case_id string, verdict string, articles array<string>, usd double")
+    for out, calls in ((cascade.arm_llm_only(cases, told), 40), (cascade.arm_cache(cases, told), 2), (cascade.arm_compile_once(cases, told, 20), 20), (cascade.arm_full(cases, told, [10, 20]), 2)):
+        got = {r.idx: r for r in out.collect()}
+        assert len(got) == 40 and sum(r.teacher_call for r in got.values()) == calls and math.isclose(sum(r.usd for r in got.values()), calls / 2)
+        assert all((r.verdict, r.articles) == (("prohibit", ["art5"]) if i % 2 else ("permit", [])) for i, r in got.items())
+    v = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.1, 0.9], [1.0, 0.05]]
+    cases = spark.createDataFrame([(i, f"c{i}", x) for i, x in enumerate(v)], "idx long, case_id string, v array<double>")
+    weak = told.filter("case_id <> 'c4'")
+    got = {r.idx: r.teacher_call for r in cascade.arm_retrieved(cases, told, weak, 0.9).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True}

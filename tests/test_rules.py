@@ -126,10 +126,12 @@ def test_rules_are_checked():
 
 def test_bodies(spark):
     e = edges(spark, ("a", "r", "a"), ("a", "r", "b"), ("b", "s", "c"), ("x", "s", "y"))
-    rows = lambda *body: {tuple(sorted(r.asDict().items())) for r in join_body([e] * len(body), body).collect()}
+    rows = lambda *body: {tuple(sorted(r.asDict().items())) for r in join_body([e] * len(body), body, products=True).collect()}
     assert rows(("?x", "r", "?x")) == {(("?x", "a"),)}
     assert rows(("?x", "r", "?y"), ("?y", "s", "c")) == {(("?x", "a"), ("?y", "b"))}
     assert len(rows(("?x", "r", "?y"), ("?p", "s", "?q"))) == 4
+    with pytest.raises(ValueError, match="shares no variable"):
+        join_body([e, e], (("?x", "r", "?y"), ("?p", "s", "?q")))
     rule = Rule("d", (("?x", "r", "?y"),), ("?y", "t", "k"), (("?x", "?y"),))
     assert triples(heads(join_body([e], rule.body), rule)) == {("b", "t", "k")}
 
