@@ -1,15 +1,20 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text.  A classifier gives each block a cost for
-being content and one for being boilerplate; they become the capacities to the
-two terminals.  Blocks that follow each other, and more so blocks under the same
-element, are tied by smoothness edges.  The minimum cut labels all blocks of the
-page at once.
+A page is cut into blocks of text.  A linear classifier over what a block says,
+its length, links, ending and tag, gives it a cost for being content and one for
+being boilerplate; they become the capacities to the two terminals.  Elements
+whose tag or name says what they hold are nodes too, each at its terminal.
+Blocks are tied to the nearest such element, less so the deeper they lie in it,
+to the block before them, and to the one before them under the same container,
+weakly where a region ends.  The minimum cut labels all blocks of the page at
+once: a short line in an article is content, and a whole sentence in an advert
+isn't, by what they are tied to and not by themselves.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -39,33 +44,42 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-STRONG, WEAK = 8.0, 1.0
-TIE_NEXT, TIE_PARENT = 0.4, 0.8
+#: Weights of the classifier: share of linked text, length, an end like that of a sentence, a paragraph or heading, the copyright sign, any block.
+LINKED, LENGTH, SENTENCE, PARAGRAPH, COPYRIGHT, BIAS = -2.0, 1.0, 0.5, 0.5, -2.0, -0.5
+#: Words of a block of neutral length.
+NEUTRAL = 10
+#: Smoothness between blocks in a row, under the same element, and between a block and its region; what is left between regions, and of a content region a level further down.
+TIE_NEXT, TIE_PARENT, TIE_REGION, ACROSS, FADE = 1.0, 1.0, 3.0, 0.25, 0.9
+#: Capacity of a region to its terminal: more than all ties of a page.
+CERTAIN = 1e9
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre body #root".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "hint", "depth", "hidden")
+    __slots__ = ("tag", "parent", "hint", "region", "depth", "hidden")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str) -> None:
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
-        above = parent.hint if parent else 0.0
-        self.hint = above + (hint(tag, attrs, above) if tag not in ("html", "body") else 0.0)
-        self.hint = max(-STRONG, min(STRONG, self.hint))
+        above = parent.hint if parent else 0
+        own = hint(tag, attrs, above) if parent and tag not in ("html", "body") else 0
+        # the region is the nearest element that says anything
+        self.region = self if own or not parent else parent.region
+        self.hint = own or above
 
 
-def hint(tag: str, attrs: str, above: float) -> float:
-    """What an element says of the text in it, over what stands above it: positive for content."""
+def hint(tag: str, attrs: str, above: int) -> int:
+    """What an element says of the text in it, over what stands above it: 1 for content, -1 for boilerplate, 0 for nothing."""
     names = {w.lower() for m in _NAMES.finditer(attrs) for w in _WORD.findall(m.group(1))} if attrs else set()
     boiler, content = names & BOILER_NAMES, names & CONTENT_NAMES
     if boiler and not content or tag in BOILER_TAGS:
-        return -2 * STRONG
+        return -1
     if tag == "header":
-        return 0.0 if above > 0 else -2 * STRONG
+        return 0 if above > 0 else -1
     if tag in CONTENT_TAGS or content and not boiler:
-        return 2 * STRONG if above >= 0 else 0.0
-    return 0.0
+        return 1 if above >= 0 else 0
+    return 0
 
 
 class Block:
@@ -148,19 +162,24 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """(cost of calling it boilerplate, cost of calling it content)."""
-    score = b.parent.hint
+def score(b: Block) -> float:
+    """How much speaks for content by the block alone."""
     words = b.text.count(" ") + 1
-    share = b.linked / max(1, len(b.text))
-    score += WEAK * (min(words, 40) / 20 - 0.5) - 3 * WEAK * share
+    length = max(-1.0, min(1.0, math.log((1 + words) / (1 + NEUTRAL)) / math.log(1 + NEUTRAL)))
+    out = BIAS + LINKED * min(1.0, b.linked / len(b.text)) + LENGTH * length
     if b.text[-1] in ".!?…\"'”»":
-        score += 0.5 * WEAK
-    if b.parent.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
-        score += 0.5 * WEAK
+        out += SENTENCE
+    if b.parent.tag in TEXT_TAGS:
+        out += PARAGRAPH
     if b.text[0] == "©":
-        score -= 2 * WEAK
-    return max(score, 0.0), max(-score, 0.0)
+        out += COPYRIGHT
+    return out
+
+
+def costs(b: Block) -> tuple[float, float]:
+    """(cost of calling it boilerplate, cost of calling it content)."""
+    x = score(b)
+    return max(x, 0.0), max(-x, 0.0)
 
 
 def min_cut(content: list[float], boiler: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -227,24 +246,37 @@ def min_cut(content: list[float], boiler: list[float], ties: list[tuple[int, int
                     cap[e ^ 1] += push
 
 
-def main_text(source: str) -> str:
-    found = blocks(source)
-    if not found:
-        return ""
-    both = [costs(b) for b in found]
-    ties = []
+def graph(found: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """(capacities from the source, to the sink, smoothness edges) of the blocks and, after them, their regions."""
+    content, boiler = (list(x) for x in zip(*[costs(b) for b in found])) if found else ([], [])
+    ties: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
+    regions: dict[int, int] = {}
     for i, b in enumerate(found):
-        if i:
-            a = found[i - 1]
-            ties.append((i - 1, i, TIE_NEXT / (1 + abs(a.parent.depth - b.parent.depth))))
-        # the block before under the same container, wherever it stands
-        home = id(b.parent.parent or b.parent)
-        if home in last:
-            ties.append((last[home], i, TIE_PARENT))
+        home, region = id(b.parent.parent or b.parent), b.parent.region
+        for j, tie in ((i - 1, TIE_NEXT), (last.get(home, -1), TIE_PARENT)):
+            if j >= 0:
+                ties.append((j, i, tie if found[j].parent.region is region else tie * ACROSS))
         last[home] = i
-    keep = min_cut([a for a, _ in both], [b for _, b in both], ties)
-    return " ".join(b.text for b, k in zip(found, keep) if k)
+        if region.hint:
+            if id(region) not in regions:
+                regions[id(region)] = len(content)
+                content.append(CERTAIN if region.hint > 0 else 0.0)
+                boiler.append(CERTAIN if region.hint < 0 else 0.0)
+            ties.append((i, regions[id(region)], TIE_REGION * (FADE ** (b.parent.depth - region.depth) if region.hint > 0 else 1.0)))
+    return content, boiler, ties
+
+
+def labelled(source: str) -> list[tuple[str, bool, bool]]:
+    """(text, content by itself, content by the cut) of each block of a page."""
+    found = blocks(source)
+    content, boiler, ties = graph(found)
+    keep = min_cut(content, boiler, ties)
+    return [(b.text, content[i] > boiler[i], keep[i]) for i, b in enumerate(found)]
+
+
+def main_text(source: str) -> str:
+    return " ".join(text for text, _, keep in labelled(source) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

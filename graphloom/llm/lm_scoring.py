@@ -2,10 +2,11 @@
 
 A small network sees the tokens in a window on both sides of a position and
 predicts the one in the middle; the log-probabilities of all tokens of a
-document add up to its score.  Tokens are words: the most frequent ones of the
-whole corpus, and classes of the others by their ending and length.  A word of a
-class adds its log share of the class, from the counts of all words of the
-corpus.
+document add up to its score.  Tokens are words: the 2,048 most frequent ones of
+the whole corpus, and classes of the others by their ending and length.  A token
+is predicted in two steps, first its group of 256 words or its class, then the
+word in the group.  A word of a class adds its log share of the class, from the
+counts of all words of the corpus.
 
 Every position of every document is a training window in one of the rounds, so
 they grow with the corpus.  Documents are dealt out to replicas by doc_id; in
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import staged, tuned
 
-#: Tokens: padding, frequent words, classes of other words.
-FREQUENT, CLASSES = 95, 32
+#: Tokens: padding, frequent words in groups, classes of other words.
+GROUPS, GROUP, CLASSES = 8, 256, 32
+FREQUENT = GROUPS * GROUP
 TOKENS = 1 + FREQUENT + CLASSES
-SIDE, HIDDEN = 3, 24
+SIDE, HIDDEN = 3, 16
 ROUNDS = 3
 WINDOWS = 1 << 18  # of one replica
-#: Tokens that are scored at once.
-BLOCK = 1 << 11
+#: Windows of a training step, and tokens that are scored at once.
+BATCH, BLOCK = 1 << 10, 1 << 13
 #: Shares of words that are one in KNOWN of all or more are broadcast, KNOWN at most; those of all others are joined.  Rows of such words that leave a worker at once.
 KNOWN, ROWS = 1 << 16, 50_000
 
@@ -61,83 +63,131 @@ class Ids(dict):
         i = self[w] = 1 + FREQUENT + (w[-1] * 7 + (w[-2] * 3 if len(w) > 1 else 0) + min(len(w), 11) // 4) % CLASSES
         return i
 
-    def of(self, text: str) -> np.ndarray:
-        words = split(text)
-        return np.fromiter(map(self.__getitem__, words), np.uint8, len(words))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
+
+
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """z less the logarithm of the sum of its exponentials, row by row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities of each row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 @dataclass
 class Net:
-    """tanh of a sum of embeddings, one table for each place in the window, then a softmax over all tokens."""
+    """tanh of a sum of embeddings, scaled by the place in the window; then a softmax over groups and classes, and one over the words of the group."""
 
-    table: np.ndarray  # place, token, hidden
+    table: np.ndarray  # token, hidden
+    scale: np.ndarray  # place, hidden
     bias: np.ndarray
-    out: np.ndarray
+    out: np.ndarray  # hidden, groups and classes
     out_bias: np.ndarray
+    word: np.ndarray  # group, hidden, word
+    word_bias: np.ndarray
 
     @classmethod
     def fresh(cls, seed: int = 1) -> Net:
         rng = np.random.default_rng(seed)
         f = lambda *s: rng.standard_normal(s).astype(np.float32) * np.float32(0.1)
-        return cls(f(2 * SIDE, TOKENS, HIDDEN), np.zeros(HIDDEN, np.float32), f(HIDDEN, TOKENS), np.zeros(TOKENS, np.float32))
+        zero = lambda *s: np.zeros(s, np.float32)
+        return cls(f(TOKENS, HIDDEN), 1 + f(2 * SIDE, HIDDEN), zero(HIDDEN), f(HIDDEN, GROUPS + CLASSES), zero(GROUPS + CLASSES), f(GROUPS, HIDDEN, GROUP), zero(GROUPS, GROUP))
+
+    def params(self) -> list[np.ndarray]:
+        return [getattr(self, f.name) for f in fields(self)]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in (self.table, self.bias, self.out, self.out_bias)])
+        return np.concatenate([p.ravel() for p in self.params()])
 
     @classmethod
     def of_flat(cls, x: np.ndarray) -> Net:
-        like, at, parts = cls.fresh(), 0, []
-        for p in (like.table, like.bias, like.out, like.out_bias):
+        at, parts = 0, []
+        for p in cls.fresh().params():
             parts.append(x[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
         return cls(*parts)
 
-    def hidden(self, windows: np.ndarray) -> np.ndarray:
-        """From the tokens on both sides; the one in the middle isn't looked at."""
-        sides = [k for k in range(2 * SIDE + 1) if k != SIDE]
-        h = self.table[0].take(windows[:, sides[0]], axis=0)
-        for t, k in zip(self.table[1:], sides[1:]):
-            h += t.take(windows[:, k], axis=0)
+    def hidden(self, sides: np.ndarray) -> np.ndarray:
+        """From the tokens on both sides."""
+        h = self.table.take(sides[:, 0], axis=0) * self.scale[0]
+        for k in range(1, 2 * SIDE):
+            h += self.table.take(sides[:, k], axis=0) * self.scale[k]
         h += self.bias
         return np.tanh(h, out=h)
 
     def log_probs(self, windows: np.ndarray) -> np.ndarray:
-        z = self.hidden(windows) @ self.out
+        h, middle = self.hidden(windows[:, SIDES]), windows[:, SIDE].astype(np.int64) - 1
+        z = h @ self.out
         z += self.out_bias
-        # |tanh| < 1 bounds every logit, so that no maximum need be taken off each row
-        z -= np.float32(np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() - 80)
-        right = z[np.arange(len(z)), windows[:, SIDE]].astype(np.float64)
-        return right - np.log((np.exp(z, out=z) @ np.ones(TOKENS, np.float32)).astype(np.float64))
-
-    def train(self, windows: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 256) -> None:
+        first, each = _first(middle), np.arange(len(z))
+        right = _log_sums(z)[each, first].astype(np.float64)
+        for g, at in _by_group(first):
+            z = h[at] @ self.word[g]
+            z += self.word_bias[g]
+            right[at] += _log_sums(z)[np.arange(len(at)), middle[at] % GROUP]
+        return right
+
+    def train(self, windows: np.ndarray, rng: np.random.Generator, rate: float, batch: int = BATCH) -> None:
         """One pass of AdaGrad in random order."""
-        params = (self.table, self.bias, self.out, self.out_bias)
-        seen = [np.full_like(p, 1e-2) for p in params]
+        seen = [np.full_like(p, 1e-2) for p in self.params()]
         order = rng.permutation(len(windows))
-        sides = [k for k in range(2 * SIDE + 1) if k != SIDE]
-        first = TOKENS * np.arange(2 * SIDE)
+        cell = np.arange(HIDDEN)
         for at in range(0, len(order), batch):
             w = windows[order[at : at + batch]]
-            h = self.hidden(w)
-            z = h @ self.out + self.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(w)), w[:, SIDE]] -= 1
-            z /= len(w)
-            dh = (z @ self.out.T) * (1 - h * h)
-            hot = np.zeros((2 * SIDE * TOKENS, len(w)), np.float32)
-            hot[(w[:, sides] + first).T, np.arange(len(w))] = 1
-            table = (hot @ dh).reshape(self.table.shape)
-            for p, s, g in zip(params, seen, (table, dh.sum(axis=0), h.T @ z, z.sum(axis=0))):
+            sides, middle = w[:, SIDES].astype(np.int64), w[:, SIDE].astype(np.int64) - 1
+            n, h, first = np.float32(len(w)), self.hidden(sides), _first(middle)
+            z = _softmax(h @ self.out + self.out_bias)
+            z[np.arange(len(w)), first] -= 1
+            z /= n
+            grads = [np.zeros_like(p) for p in (self.word, self.word_bias)]
+            dh = z @ self.out.T
+            for g, rows in _by_group(first):
+                hg = h[rows]
+                y = _softmax(hg @ self.word[g] + self.word_bias[g])
+                y[np.arange(len(rows)), middle[rows] % GROUP] -= 1
+                y /= n
+                grads[0][g], grads[1][g] = hg.T @ y, y.sum(axis=0)
+                dh[rows] += y @ self.word[g].T
+            dh *= 1 - h * h
+            # places share the table: all of them are added up at once
+            scale = np.einsum("bh,bkh->kh", dh, self.table.take(sides, axis=0))
+            table = np.bincount((sides[:, :, None] * HIDDEN + cell).ravel(), (dh[:, None, :] * self.scale).ravel(), TOKENS * HIDDEN).reshape(TOKENS, HIDDEN).astype(np.float32)
+            for p, s, g in zip(self.params(), seen, (table, scale, dh.sum(axis=0), h.T @ z, z.sum(axis=0), *grads)):
                 s += g * g
                 p -= np.float32(rate) * g / np.sqrt(s)
 
 
+#: Places of a window but the middle.
+SIDES = [k for k in range(2 * SIDE + 1) if k != SIDE]
+
+
+def _first(middle: np.ndarray) -> np.ndarray:
+    """The group or, after the groups, the class of tokens less 1."""
+    return np.where(middle < FREQUENT, middle // GROUP, middle - FREQUENT + GROUPS)
+
+
+def _by_group(first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, its rows) of the rows whose token is a frequent word."""
+    order = np.argsort(first, kind="stable")
+    ends = np.searchsorted(first[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if ends[g] < ends[g + 1]:
+            yield g, order[ends[g] : ends[g + 1]]
+
+
 def contexts(ids: np.ndarray) -> np.ndarray:
     """A window for each position, padded by token 0; no windows without tokens."""
     if not len(ids):
-        return np.empty((0, 2 * SIDE + 1), np.uint8)
-    pad = np.zeros(SIDE, np.uint8)
+        return np.empty((0, 2 * SIDE + 1), np.uint16)
+    pad = np.zeros(SIDE, np.uint16)
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, ids, pad]), 2 * SIDE + 1)
 
 
@@ -173,22 +223,22 @@ def _class_counts(frequent: list[bytes]):
     return run
 
 
-def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, float], list[float]]:
-    """({word: log share of its token} of the most frequent words, log count of each token)."""
+def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, tuple[int, float]], list[float]]:
+    """({word: (count, log share of its token)} of the most frequent words, log count of each token)."""
     totals, total = np.ones(TOKENS), 0
     for r in counts.mapInArrow(_class_counts(frequent), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0").collect():
         totals[r.token] = r.n
         total += r.n
     logs, ids = np.log(totals).tolist(), Ids(frequent)
     best = counts.filter(F.col("n") >= total / KNOWN).collect()
-    return {bytes(r.word): math.log(r.n) - logs[ids[bytes(r.word)]] for r in best}, logs
+    return {bytes(r.word): (r.n, math.log(r.n) - logs[ids[bytes(r.word)]]) for r in best}, logs
 
 
 def _tokens(frequent: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(frequent)
         for b in batches:
-            blobs = [ids.of(t.as_py() or "").tobytes() for t in b.column(1)]
+            blobs = [ids.of(split(t.as_py() or "")).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], ["doc_id", "replica", "ids"])
 
     return run
@@ -205,7 +255,7 @@ def _trained(start: np.ndarray, round_: int):
             w = np.concatenate(held)[round_::ROUNDS]
             held.clear()
             net = Net.of_flat(start)
-            net.train(w, np.random.default_rng([round_, now]), 0.1 / (1 + round_))
+            net.train(w, np.random.default_rng([round_, now]), 0.2 / (1 + round_))
             n += len(w)
             np.add(total, net.flat().astype(np.float64) * len(w), out=total)
 
@@ -214,7 +264,7 @@ def _trained(start: np.ndarray, round_: int):
                 if now is not None and r != now and held:
                     train()
                 now = r
-                held.append(contexts(np.frombuffer(x.as_py(), np.uint8)))
+                held.append(contexts(np.frombuffer(x.as_py(), np.uint16)))
         if held:
             train()
         if n:
@@ -223,6 +273,15 @@ def _trained(start: np.ndarray, round_: int):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, 0.0
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+            n, total = n + k, total + x.values.to_numpy(zero_copy_only=False)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], ["n", "params"])
+
+
 def fitted(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[bytes], Net]:
     """(the most frequent words, ties by byte order; network) from all documents, with their word_counts."""
     counts = word_counts(docs) if counts is None else counts
@@ -231,50 +290,62 @@ def fitted(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[bytes
     replicas = max(1, -(-total // WINDOWS))
     replica = F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).alias("replica")
     gathered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), replica).mapInArrow(_tokens(frequent), "doc_id long, replica long, ids binary")
-    gathered = staged(gathered.filter(F.length("ids") > 0).repartition("replica").sortWithinPartitions("replica", "doc_id", "ids"), "tokens")
+    # a replica lies in one file, in order, and each round reads it as it lies
+    gathered = staged(gathered.filter(F.length("ids") > 0).repartition("replica").sortWithinPartitions("replica", "doc_id", "ids"), "tokens").select("replica", "ids")
     params = Net.fresh().flat()
     for r in range(ROUNDS):
-        dealt = gathered.select("replica", "ids", "doc_id").repartition("replica").sortWithinPartitions("replica", "doc_id", "ids").select("replica", "ids")
-        each = dealt.mapInArrow(_trained(params, r), "n long, params array<double>")
-        # one row a parameter reaches the driver, however many replicas there are
-        mean = each.select("n", F.posexplode("params").alias("at", "x")).groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"))
-        found = sorted((m.at, m.x) for m in mean.collect())
+        each = gathered.mapInArrow(_trained(params, r), "n long, params array<double>")
+        # each task has one sum; four sums of these reach the driver, however many replicas there are
+        found = each.repartition(4).mapInArrow(_summed, "n long, params array<double>").collect()
         if not found:
             break
-        params = np.array([x for _, x in found], np.float32)
+        params = (np.sum([x.params for x in found], axis=0) / sum(x.n for x in found)).astype(np.float32)
     return frequent, Net.of_flat(params)
 
 
-def log_likelihood(text: str, ids: Ids, net: Net) -> tuple[int, float]:
-    """(tokens, sum of their conditional log-probabilities) of a whole text."""
-    windows = contexts(ids.of(text))
+def log_likelihood(words: list[bytes], ids: Ids, net: Net) -> tuple[int, float]:
+    """(tokens, sum of their conditional log-probabilities) of the words of a whole text."""
+    windows = contexts(ids.of(words))
     total = 0.0
     for at in range(0, len(windows), BLOCK):
         total += float(net.log_probs(windows[at : at + BLOCK]).sum())
     return len(windows), total
 
 
+def log_likelihoods(texts: list[list[bytes]], ids: Ids, net: Net) -> list[float]:
+    """log_likelihood of several texts, whose windows are scored together."""
+    windows = [contexts(ids.of(t)) for t in texts]
+    every = np.concatenate(windows)
+    each = np.concatenate([net.log_probs(every[at : at + BLOCK]) for at in range(0, len(every), BLOCK)] or [np.empty(0)])
+    ends = np.cumsum([0, *map(len, windows)])
+    sums = np.concatenate([[0.0], np.cumsum(each)])
+    return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+
+
 def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, word_log_likelihood, mean_log_prob), one row per row of docs.
+    """(doc_id, n_tokens, log_likelihood, word_log_likelihood, mean_log_prob, unseen_words, unseen_share), one row per row of docs.
 
     log_likelihood sums log P(token | context).  word_log_likelihood adds log
-    P(word | token) of every word, and mean_log_prob is its mean.
+    P(word | token) of every word, and mean_log_prob is its mean.  unseen_words
+    are the running words that the corpus has in this row alone: what a model of
+    all other rows has never seen, so that texts that occur twice have none.
 
-    Null and empty texts have no tokens, log-likelihood 0 and a null mean.
-    Documents that repeat count as often as they are there.  Other columns are
-    ignored; an empty table gives no rows.
+    Null and empty texts have no tokens, log-likelihood 0 and a null mean and
+    share.  Documents that repeat count as often as they are there.  Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = tuned(docs.sparkSession)
     counts = word_counts(docs)
     frequent, net = fitted(docs, counts)
     shared = spark.sparkContext.broadcast((frequent, net.flat(), *shares(counts, frequent)))
+    names = ("doc_id", "n_tokens", "token", "word", "alone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with head for each document, and one for each of its words that are not known here."""
         words, flat, known, logs = shared.value
         ids, net = Ids(words), Net.of_flat(flat)
         row = TaskContext.get().partitionId() << 40
-        kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token", pa.float64()), ("word", pa.float64())])
+        kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token", pa.float64()), ("word", pa.float64()), ("alone", pa.int64())])
         out: list[tuple] = []
 
         def rows() -> pa.RecordBatch:
@@ -282,28 +353,43 @@ def scored(docs: DataFrame) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(head, kind)], ["row", "word", "n", "head"])
 
+        def document(i, text: list[bytes], token: float) -> None:
+            nonlocal row
+            share, alone = 0.0, 0
+            for w, k in Counter(text).items():
+                p = known.get(w)
+                if p is None:
+                    share -= k * logs[ids[w]]
+                    out.append((row, w, k, None))
+                else:
+                    share += k * p[1]
+                    alone += k * (p[0] == k)
+            # no word has a space: heads meet no count, and are dealt evenly
+            out.append((row, b" %d" % row, 0, dict(zip(names, (i, len(text), token, share, alone)))))
+            row += 1
+
         for b in batches:
+            held: list[tuple] = []
+            size = 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                text = t.as_py() or ""
-                n, token = log_likelihood(text, ids, net)
-                share = 0.0
-                for w, k in Counter(split(text)).items():
-                    p = known.get(w)
-                    if p is None:
-                        p = -logs[ids[w]]
-                        out.append((row, w, k, None))
-                    share += k * p
-                # no word has a space: heads meet no count, and are dealt evenly
-                out.append((row, b" %d" % row, 0, {"doc_id": i, "n_tokens": n, "token": token, "word": share}))
-                row += 1
+                held.append((i, split(t.as_py() or "")))
+                size += len(held[-1][1])
+                if size > 4 * BLOCK:
+                    for (j, text), token in zip(held, log_likelihoods([x for _, x in held], ids, net)):
+                        document(j, text, token)
+                    held, size = [], 0
                 if len(out) > ROWS:
                     yield rows()
+            for (j, text), token in zip(held, log_likelihoods([x for _, x in held], ids, net)) if held else ():
+                document(j, text, token)
             if out:
                 yield rows()
 
-    each = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, word binary, n long, head struct<doc_id long, n_tokens long, token double, word double>")
+    each = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, word binary, n long, head struct<doc_id long, n_tokens long, token double, word double, alone long>")
     each = each.join(counts.withColumnRenamed("n", "count"), "word", "left")
-    each = each.select("row", F.coalesce(F.col("head.word"), F.col("n") * F.log("count")).alias("share"), "head.doc_id", "head.n_tokens", "head.token")
-    sums = each.groupBy("row").agg(F.sum("share").alias("share"), *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "token")])
+    alone = F.coalesce(F.col("head.alone"), F.when(F.col("n") == F.col("count"), F.col("n")).otherwise(0))
+    each = each.select("row", F.coalesce(F.col("head.word"), F.col("n") * F.log("count")).alias("share"), alone.alias("alone"), "head.doc_id", "head.n_tokens", "head.token")
+    sums = each.groupBy("row").agg(F.sum("share").alias("share"), F.sum("alone").alias("alone"), *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "token")])
     whole = F.col("token") + F.col("share")
-    return sums.select("doc_id", "n_tokens", F.col("token").alias("log_likelihood"), whole.alias("word_log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_prob"))
+    some = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
+    return sums.select("doc_id", "n_tokens", F.col("token").alias("log_likelihood"), whole.alias("word_log_likelihood"), some(whole).alias("mean_log_prob"), F.col("alone").alias("unseen_words"), some(F.col("alone")).alias("unseen_share"))

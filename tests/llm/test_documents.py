@@ -483,7 +483,7 @@ def test_lm_scoring(docs, empty):
         if not r.n_tokens:
             assert r.log_likelihood == 0 and r.mean_log_prob is None
         elif r.n_tokens < 100:
-            assert math.isclose(r.log_likelihood, brute_score(ids.of(d[1]), net), rel_tol=1e-4)
+            assert math.isclose(r.log_likelihood, brute_score(ids.of(lm_scoring.split(d[1])), net), rel_tol=1e-4)
     assert lm_scoring.scored(empty).collect() == []
 
 
@@ -493,19 +493,52 @@ def brute_score(ids, net):
     padded = [0] * s + ids.tolist() + [0] * s
     for i in range(len(ids)):
         around = padded[i : i + s] + padded[i + s + 1 : i + 2 * s + 1]
-        h = np.tanh(sum(net.table[k, x].astype(float) for k, x in enumerate(around)) + net.bias)
+        h = np.tanh(sum(net.table[x].astype(float) * net.scale[k] for k, x in enumerate(around)) + net.bias)
         z = h @ net.out.astype(float) + net.out_bias
-        total += z[ids[i]] - np.log(np.exp(z).sum())
+        t = int(ids[i]) - 1
+        group = t // lm_scoring.GROUP if t < lm_scoring.FREQUENT else lm_scoring.GROUPS + t - lm_scoring.FREQUENT
+        total += z[group] - np.log(np.exp(z).sum())
+        if t < lm_scoring.FREQUENT:
+            y = h @ net.word[group].astype(float) + net.word_bias[group]
+            total += y[t % lm_scoring.GROUP] - np.log(np.exp(y).sum())
     return total
 
 
+def test_lm_gradient(spark):
+    """A step against the numeric gradient, and finite scores whatever the weights."""
+    rng = np.random.default_rng(2)
+    w = rng.integers(1, lm_scoring.TOKENS, (40, 2 * lm_scoring.SIDE + 1)).astype(np.uint16)
+    w[:, lm_scoring.SIDE] = rng.choice([3, 5, 300, lm_scoring.FREQUENT + 4], 40)
+    net = lm_scoring.Net.fresh()
+    before = net.log_probs(w).sum()
+    for _ in range(20):
+        net.train(w, rng, 0.1)
+    assert net.log_probs(w).sum() > before + 40
+    for p, at in ((net.table, (int(w[0, 0]), 2)), (net.scale, (1, 3)), (net.out, (4, 0)), (net.word, (0, 5, 2)), (net.word_bias, (1, 5)), (net.bias, (7,))):
+        fresh = lm_scoring.Net.of_flat(net.flat())
+        one = [x for x, y in zip(fresh.params(), net.params()) if y is p][0]
+        up, down = [], []
+        for out, e in ((up, 1e-2), (down, -1e-2)):
+            keep = one[at]
+            one[at] = keep + e
+            out.append(fresh.log_probs(w).sum())
+            one[at] = keep
+        slope = (up[0] - down[0]) / 2e-2 / len(w)
+        stepped = lm_scoring.Net.of_flat(net.flat())
+        stepped.train(w, np.random.default_rng(0), 1e-3)
+        move = [x for x, y in zip(stepped.params(), net.params()) if y is p][0][at] - p[at]
+        assert math.isclose(move, 1e-3 * slope / math.sqrt(1e-2 + slope * slope), rel_tol=0.1, abs_tol=2e-6)
+    big = lm_scoring.Net(*[p * 40 for p in net.params()])
+    assert np.isfinite(big.log_probs(w)).all()
+
+
 def test_lm_learns(spark):
     """Shuffled words score lower than the text they come from."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     frequent, net = lm_scoring.fitted(df)
     ids, fresh = lm_scoring.Ids(frequent), lm_scoring.Net.fresh()
     texts = [r.text for r in df.limit(200).collect()]
-    mean = lambda n, ts: sum(lm_scoring.log_likelihood(t, ids, n)[1] for t in ts) / sum(len(words(t)) for t in ts)
+    mean = lambda n, ts: sum(lm_scoring.log_likelihood(lm_scoring.split(t), ids, n)[1] for t in ts) / sum(len(words(t)) for t in ts)
     rng = random.Random(1)
     mixed = [" ".join(rng.sample(words(t), len(words(t)))) for t in texts]
     assert mean(net, texts) > mean(fresh, texts) + 0.3
@@ -518,7 +551,7 @@ def test_lm_trains_on_every_position(spark, docs):
 
     texts = [r[1] for r in made() if r[1]]
     ids = lm_scoring.Ids(lm_scoring.fitted(docs)[0])
-    rows = [ids.of(t).tobytes() for t in texts]
+    rows = [ids.of(lm_scoring.split(t)).tobytes() for t in texts]
     batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array(rows, pa.binary())], ["replica", "ids"])
     start = lm_scoring.Net.fresh().flat()
     seen = sum(b.column(0)[0].as_py() for k in range(lm_scoring.ROUNDS) for b in lm_scoring._trained(start, k)(iter([batch])))
@@ -528,17 +561,21 @@ def test_lm_trains_on_every_position(spark, docs):
 
 
 @pytest.mark.parametrize("known", [1 << 16, 120])
-def test_lm_scores_every_word(docs, monkeypatch, known):
+def test_lm_scores_every_word(spark, monkeypatch, known):
     """A word of a class counts with its share of the class, whether its count is broadcast or joined."""
     monkeypatch.setattr(lm_scoring, "KNOWN", known)
-    counts = Counter(w for r in made() for w in lm_scoring.split(r[1] or ""))
+    rows = made() + [(3000 + i, " ".join(f"w{k}" for k in range(40 * i, 40 * i + 60)), "en", "a", 1) for i in range(70)]
+    docs = spark.createDataFrame(rows, DOCS)
+    counts = Counter(w for r in rows for w in lm_scoring.split(r[1] or ""))
     ids = lm_scoring.Ids(sorted(counts, key=lambda w: (-counts[w], w))[: lm_scoring.FREQUENT])
     totals = Counter()
     for w, n in counts.items():
         totals[ids[w]] += n
     share = lambda t: sum(math.log(counts[w] / totals[ids[w]]) for w in lm_scoring.split(t or ""))
-    want = Counter((r[0], round(share(r[1]), 3) + 0.0) for r in made())
+    want = Counter((r[0], round(share(r[1]), 3) + 0.0) for r in rows)
     got = lm_scoring.scored(docs).collect()
     assert Counter((r.doc_id, round(r.word_log_likelihood - r.log_likelihood, 3) + 0.0) for r in got) == want
     assert all(math.isclose(r.mean_log_prob * r.n_tokens, r.word_log_likelihood) for r in got if r.n_tokens)
     assert sum(x < -1 for _, x in want) > 20
+    alone = lambda t: sum(n for w, n in Counter(lm_scoring.split(t or "")).items() if counts[w] == n)
+    assert Counter((r.doc_id, r.unseen_words) for r in got) == Counter((r[0], alone(r[1])) for r in rows) and sum(r.unseen_words > 0 for r in got) > 3
