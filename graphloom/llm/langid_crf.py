@@ -25,8 +25,8 @@ from graphloom.llm.common import tuned
 BUCKETS = 1 << 16
 #: Words of one sequence; longer texts are several sequences.
 SEQUENCE = 64
-#: Bounds of the labelled sample that the model is fitted on.
-SAMPLE_DOCS = 1200
+#: Bounds of the labelled sample that the model is fitted on: documents in all, of one language at least where it has so many, and their characters.
+SAMPLE_DOCS, SAMPLE_EACH = 1200, 60
 SAMPLE_CHARS = 20_000
 LEXICON = 200
 UNKNOWN = "und"
@@ -227,14 +227,29 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """About n labelled texts of at most chars characters that aren't held out, chosen by a hash of doc_id."""
-    learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    total = learn.select("doc_id").count()
-    part = int(min(1.0, n / max(1, total)) * (1 << 30))
-    chosen = learn.filter((F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1 << 30)) <= part) & (F.length("text") <= chars))
-    rows = chosen.select(F.col("doc_id").cast("string").alias("i"), "text", F.col("lang").cast("string").alias("lang")).limit(3 * n).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.i or "", r.text, r.lang))]
+def sample(docs: DataFrame, n: int = SAMPLE_DOCS, least: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """Labelled texts of at most chars characters that aren't held out, by a hash of doc_id and text, so that reruns agree.
+
+    A language gets its share of n, and least at the least, or all that it has;
+    the languages with the most documents come first where there are more of
+    them than n / least.  The texts of the smallest hashes are taken.
+    """
+    learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= chars))
+    lang = F.col("lang").cast("string").alias("lang")
+    # one row a language reaches the driver
+    counts = learn.groupBy(lang).count().orderBy(F.desc("count"), "lang").limit(max(1, n // least)).collect()
+    total = sum(r["count"] for r in counts)
+    if not total:
+        return []
+    want = {r.lang: max(least, round(n * r["count"] / total)) for r in counts}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * want[r.lang] / r["count"] + 20 / r["count"]))])
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit("crf")), F.lit(1 << 30))
+    # about twice as many as are wanted of each language, in one pass; the smallest hashes of these are kept
+    few = learn.select(lang, "text", h.alias("h")).filter(F.col("h") < F.try_element_at(share, "lang") * float(1 << 30)).orderBy("h", "lang", "text").limit(4 * sum(want.values())).collect()
+    out: list[tuple[str, str]] = []
+    for x in sorted(want):
+        out += [(r.text, r.lang) for r in few if r.lang == x][: want[x]]
+    return out
 
 
 def labelled(docs: DataFrame) -> DataFrame:

@@ -439,6 +439,17 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_languages_are_sampled(spark):
+    """A language of one document in a hundred and fifty has a sample of its own, and reruns agree."""
+    rows = [(i, f"text {i}", "xx" if i % 150 == 0 else "en" if i % 2 else "de") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid_crf.sample(df, 200, 20)
+    n = Counter(x for _, x in got)
+    assert n["xx"] == 20 and 80 < n["en"] < 110 and 80 < n["de"] < 110
+    assert got == langid_crf.sample(df.repartition(5), 200, 20)
+    assert all(zlib.crc32(t.split()[1].encode()) % 4 != 2 for t, _ in got)
+
+
 def test_language_id_edges(docs, empty):
     got = langid_crf.labelled(docs).collect()
     assert len(got) == len(made())
