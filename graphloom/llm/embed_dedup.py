@@ -40,7 +40,7 @@ def code_size(n: int) -> tuple[int, int]:
 
 
 def unit(v) -> np.ndarray | None:
-    """v at length 1 in double precision; None where it has no direction."""
+    """v at length 1 in double precision; None where it has no direction.  For one vector at a time; tasks use units."""
     if v is None or not len(v) or any(x is None for x in v):
         return None
     x = np.asarray(v, np.float64)
@@ -88,20 +88,30 @@ class Code:
         return ids
 
 
+def units(flat: np.ndarray, dim: int) -> np.ndarray:
+    """Sound vectors of one dimension, one after the other, each at length 1 in double precision."""
+    x = flat.reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
 def _decoded(m: int, words: int):
+    """(id, v packed, filters) from (id, v); the vectors of a batch are read from its buffer."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
         for b in batches:
-            ids = []
-            for v in b.column(1).to_pylist():
-                x = unit(v)
-                if x is None:
-                    ids.append(None)
-                    continue
-                if len(x) not in codes:
-                    codes[len(x)] = Code(len(x), m, words)
-                ids.append(codes[len(x)].decode(x))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], ["id", "v", "filters"])
+            lists = b.column(1)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            ids, packed = [], []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                dim = e - s
+                if dim not in codes:
+                    codes[dim] = Code(dim, m, words)
+                ids.append(codes[dim].decode(units(flat[s:e], dim)[0]))
+                packed.append(flat[s:e].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], ["id", "v", "filters"])
 
     return run
 
@@ -134,10 +144,9 @@ def _bucket(ids: np.ndarray, x: np.ndarray, times: np.ndarray, lower, side: np.n
     yield from zip(ids[at].tolist(), links.tolist(), label.tolist())
 
 
-def _verified(threshold: float, m: int, words: int):
+def _verified(threshold: float, m: int, words: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by filter and pair of chunks."""
-        held: list[tuple] = []
+        """Rows (dim, filter, pair of chunks, own chunk, id, times, v packed) come sorted by the first four; a group may go on in the next batch."""
         out: list[tuple] = []
         codes: dict[int, Code] = {}
         known: dict[int, np.ndarray] = {}
@@ -151,35 +160,34 @@ def _verified(threshold: float, m: int, words: int):
                 known[id_] = codes[len(x)].decode(x)
             return known[id_]
 
-        def close_group() -> None:
-            (dim, f, i, j), rows = held[0][0], held
+        def group(rows: np.ndarray, raw: bytes) -> None:
             if len(rows) > 1:
-                x = np.array([unit(r[2]) for r in rows])
-                ids, times, side = (np.array([r[k] for r in rows], np.int64) for k in (1, 3, 4))
+                dim, f, i, j = rows[0, :4].tolist()
+                x = units(np.frombuffer(raw, kind), dim)
 
                 def lower(r: int) -> np.ndarray:
-                    own = filters(int(ids[r]), x[r])
+                    own = filters(int(rows[r, 5]), x[r])
                     return own[own < f]
 
-                out.extend(_bucket(ids, x, times, lower, side, i != j, threshold))
-            held.clear()
+                out.extend(_bucket(rows[:, 5], x, rows[:, 6], lower, rows[:, 4], i != j, threshold))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out)) if out else [(), (), ()]
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "links", "root"])
 
+        held, raw = np.empty((0, 7), np.int64), []
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for dim, f, i, j, own, id_, v, times in zip(*cols):
-                key = (dim, f, i, j)
-                if held and held[0][0] != key:
-                    close_group()
-                held.append((key, id_, v, times, own))
+            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
+            v = b.column(7).to_pylist()
+            rows, raw = np.concatenate([held, rows]), raw + v
+            starts = np.concatenate([[0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1, [len(rows)]])
+            for s, e in zip(starts[:-2].tolist(), starts[1:-1].tolist()):
+                group(rows[s:e], b"".join(raw[s:e]))
+            held, raw = rows[starts[-2] :], raw[starts[-2] :]
             if len(out) > 5000:
                 yield flush()
-        if held:
-            close_group()
+        group(held, b"".join(raw))
         yield flush()
 
     return run
@@ -206,16 +214,19 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = 512) -
     keyed = staged(keyed, "keyed")
     classes = staged(keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("v").alias("v")), "classes")
     m, words = code_size(classes.count())
-    kind = classes.schema["v"].dataType.simpleString()
-    found = staged(classes.select("id", "v").mapInArrow(_decoded(m, words), f"id long, v {kind}, filters array<long>"), "decoded")
-    in_filters = found.select(F.size("v").alias("dim"), F.explode("filters").alias("f"), "id", "v")
-    in_filters = in_filters.join(classes.select("id", "times"), "id")
-    large = staged(found.select(F.size("v").alias("dim"), F.explode("filters").alias("f")).groupBy("dim", "f").count().filter(F.col("count") > chunk).select("dim", "f", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "large")
+    single = classes.schema["v"].dataType.elementType.simpleString() == "float"
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
+    plain = classes.select("id", "v" if single else F.col("v").cast("array<double>"))
+    found = staged(plain.mapInArrow(_decoded(m, words), "id long, v binary, filters array<long>"), "decoded")
+    dim = (F.length("v") / width).cast("int").alias("dim")
+    # a packed vector meets its copies in other filters by the shuffle alone
+    in_filters = found.join(classes.select("id", "times"), "id").select(dim, F.explode("filters").alias("f"), "id", "v", "times")
+    large = staged(found.select(dim, F.explode("filters").alias("f")).groupBy("dim", "f").count().filter(F.col("count") > chunk).select("dim", "f", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "large")
     n = F.coalesce("n", F.lit(1))
     dealt = in_filters.join(large, ["dim", "f"], "left").withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("dim", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "times")
+    dealt = dealt.select("dim", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "times", "v")
     dealt = dealt.repartition("dim", "f", "i", "j").sortWithinPartitions("dim", "f", "i", "j")
-    per_filter = staged(dealt.mapInArrow(_verified(threshold, m, words), "id long, links long, root long"), "links")
+    per_filter = staged(dealt.mapInArrow(_verified(threshold, m, words, kind), "id long, links long, root long"), "links")
     links = per_filter.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(per_filter.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, "id", "left").join(roots, classes.id == roots.node, "left")
