@@ -165,7 +165,7 @@ def costs(usage: DataFrame, prices: DataFrame, ticks: float = 1e-10) -> DataFram
     A stated cost comes first, then ticks, then tokens at prices(model,
     prompt_per_1k, completion_per_1k); a model without a price raises.
     """
-    u = usage.join(F.broadcast(prices), "model", "left")
+    u = usage.join(prices, "model", "left")
     extra = F.when(F.coalesce("reasoning_included_in_completion", F.lit(False)), 0).otherwise(F.coalesce("reasoning_tokens", F.lit(0)))
     est = (F.coalesce("prompt_tokens", F.lit(0)) * F.col("prompt_per_1k") + (F.coalesce("completion_tokens", F.lit(0)) + extra) * F.col("completion_per_1k")) / 1000
     known = F.when(F.col("prompt_per_1k").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.col("model"))).cast("double")).otherwise(est)

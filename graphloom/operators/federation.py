@@ -10,7 +10,7 @@ KEY = ["src", "rel", "dst"]
 
 def trust(assertions: DataFrame, writers: DataFrame) -> DataFrame:
     """(src, rel, dst, trust, writers): the best of record trust times writer trust, unknown writers counting 1."""
-    a = assertions.join(F.broadcast(writers.select("writer", F.col("trust").alias("w"))), "writer", "left")
+    a = assertions.join(writers.select("writer", F.col("trust").alias("w")), "writer", "left")
     return a.groupBy(*KEY).agg(F.max(F.col("trust") * F.coalesce("w", F.lit(1.0))).alias("trust"), F.array_sort(F.collect_set("writer")).alias("writers"))
 
 

@@ -116,7 +116,7 @@ def candidates(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     anyone = F.col("range").isNull() | F.array_contains("range", "*")
     wide = ranges.filter(anyone).select(F.col("name").alias("relation"))
     narrow = ranges.filter(~anyone).select(F.col("name").alias("relation"), F.explode("range").alias("type")).distinct()
-    return narrow.join(nodes, "type").select("relation", "id").union(F.broadcast(wide).crossJoin(nodes.select("id")))
+    return narrow.join(nodes, "type").select("relation", "id").union(wide.crossJoin(nodes.select("id")))
 
 
 def split(triples: DataFrame, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 0) -> DataFrame:

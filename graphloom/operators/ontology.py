@@ -27,7 +27,7 @@ def allows(candidates: DataFrame, nodes: DataFrame, edges: DataFrame, relations:
     """
     n = nodes.select("id", "type")
     tails = edges.groupBy("src", "rel").agg(F.collect_set("dst").alias("_tails"))
-    c = candidates.join(F.broadcast(relations).withColumnRenamed("name", "rel").select("rel", "domain", "range", "functional"), "rel", "left")
+    c = candidates.join(relations.withColumnRenamed("name", "rel").select("rel", "domain", "range", "functional"), "rel", "left")
     c = c.join(n.select(F.col("id").alias("src"), F.col("type").alias("_s")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("type").alias("_t")), "dst", "left")
     c = c.join(tails, ["src", "rel"], "left")
     free = ~F.col("functional") | F.col("_tails").isNull() | F.array_contains("_tails", F.col("dst"))
@@ -40,7 +40,7 @@ def validate(nodes: DataFrame, edges: DataFrame, relations: DataFrame, node_type
 
     nodes(id, type, props map); node_types(name, required_props).
     """
-    rel = F.broadcast(relations.withColumnRenamed("name", "rel"))
+    rel = relations.withColumnRenamed("name", "rel")
     unknown = edges.join(rel, "rel", "left_anti").select(F.lit("unknown_relation").alias("kind"), F.concat_ws(" ", "src", "rel", "dst").alias("detail"))
     n = nodes.select("id", "type")
     typed = edges.join(rel, "rel").join(n.select(F.col("id").alias("src"), F.col("type").alias("_s")), "src").join(n.select(F.col("id").alias("dst"), F.col("type").alias("_t")), "dst")
@@ -49,7 +49,7 @@ def validate(nodes: DataFrame, edges: DataFrame, relations: DataFrame, node_type
     parts = [unknown, wrong, many]
     if node_types is not None:
         need = node_types.select(F.col("name").alias("type"), F.explode("required_props").alias("p"))
-        missing = nodes.join(F.broadcast(need), "type").filter(~F.coalesce(F.array_contains(F.map_keys("props"), F.col("p")), F.lit(False)))
+        missing = nodes.join(need, "type").filter(~F.coalesce(F.array_contains(F.map_keys("props"), F.col("p")), F.lit(False)))
         parts.append(missing.select(F.lit("missing_property"), F.concat_ws(" ", "id", "p")))
     return reduce(DataFrame.union, parts)
 
@@ -103,7 +103,7 @@ def rule_consistent(rule: Rule, relations: dict[str, tuple[set[str], set[str]]])
 
 def type_new_ends(edges: DataFrame, nodes: DataFrame, relations: DataFrame, default: str = "Entity") -> DataFrame:
     """(id, type) of ends that aren't nodes yet: the smallest type that every use admits; known nodes keep theirs."""
-    rel = F.broadcast(relations.select(F.col("name").alias("rel"), "domain", "range"))
+    rel = relations.select(F.col("name").alias("rel"), "domain", "range")
     e = edges.join(rel, "rel", "left")
     uses = e.select(F.col("src").alias("id"), F.col("domain").alias("types")).union(e.select("dst", "range"))
     closed = uses.filter(F.col("types").isNotNull() & ~F.array_contains("types", "*"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import cascade, causal, concepts, dynamics, episodes, evaluation, graph, link, mining, ontology, planner, temporal
+from graphloom.operators import cascade, concepts, dynamics, episodes, evaluation, graph, link, mining, ontology, planner, service, temporal
 from graphloom.plans import fixpoint
 from graphloom.plans.rules import Rule, RuleBook, atom, join_body, rules_from_json, rules_to_json
 from graphloom.plans.stage import shared_dir, staged
@@ -501,6 +501,42 @@ def c18_full(spark, sf):
     return out.groupBy("qclass", "tier").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"), F.round(right, 6).alias("accuracy")).withColumn("rules", F.lit(len(s.rules)))
 
 
+@query("select * from (values ('before', (select count(*) from orders), 1), ('retired', 1, 0), ('after', 0, 0), ('ingested', (select count(*) from customer where c_custkey % 10 = 0), 0)) t(step, n, rules)")
+def c21_service(spark, sf):
+    """Asked of every order; told that all answers are wrong, the service retires the rule; then new facts come in by the gates."""
+    lives = kg(spark, sf, "placed_by", "lives_in")
+    s = service.Service(cascade.Session(lives, [ORDER_NATION], Nobody(), learn=False), kg_nodes(spark, sf), relation_types(spark))
+    w = read(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), _id("O", "o_orderkey").alias("head"), F.lit("order_nation").alias("relation"))
+    step = lambda name, n: n.select(F.lit(name).alias("step"), "n").withColumn("rules", F.lit(len(s.session.rules)))
+    answered = lambda df: df.agg(F.count(F.when(F.col("tier") == 1, 1)).alias("n"))
+    out = step("before", answered(s.ask(w)))
+    gone = s.feedback(w.select("head", "relation", F.lit(False).alias("correct")))
+    out = out.union(step("retired", spark.range(1).select(F.lit(len(gone)).cast("long").alias("n"))))
+    out = out.union(step("after", answered(s.ask(w.withColumn("idx", F.col("idx") + 1_000_000_000)))))
+    new = read(spark, sf, "customer").filter("c_custkey % 10 = 0").select(F.lit(0).alias("doc_id"), F.lit(0).alias("n"), F.col("c_custkey").alias("pos"), _id("O", F.col("c_custkey") + 500_000_000).alias("src"), F.lit("placed_by").alias("rel"), _id("C", "c_custkey").alias("dst"))
+    return out.union(step("ingested", s.ingest(new).filter("status = 'added'").agg(F.count("*").alias("n"))))
+
+
+class Nobody:
+    """A teacher that knows nothing."""
+
+    def __call__(self, head: str, relation: str) -> list[str]:
+        return []
+
+
+@query("select * from (values ('0.001,0.01,0.5', 0.7::double, 5, 'a|b')) t(cost, accept, trigger_, models)")
+def c24_settings(spark, sf):
+    """Settings from the session's configuration; it is left as it was."""
+    own = {"graphloom.tier.cost": "0.001,0.01,0.5", "graphloom.tier.accept": "0.7", "graphloom.trigger": "5", "graphloom.models": "a,b"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    got = service.settings(spark)
+    for k in own:
+        spark.conf.unset(k)
+    t = got["tiers"]
+    return spark.createDataFrame([(",".join(map(str, t.cost)), t.accept, got["trigger"], "|".join(got["models"]))], "cost string, accept double, trigger_ int, models string")
+
+
 @query(f"with {LOG}, r as (select idx, idx % 3 as t from log) select t::int as teacher, count(*) as n from (select case when idx % 3 = 1 and idx between 100 and 500 then 2 else idx % 3 end as t from r) group by t")
 def c10_rotation(spark, sf):
     cooling = spark.createDataFrame([(1, 100, 500)], "teacher int, from_idx long, to_idx long")

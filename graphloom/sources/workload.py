@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.evaluation import running_sum
 from graphloom.operators.ontology import RELATION_SCHEMA
 from graphloom.plans.fixpoint import closure
 from graphloom.plans.rules import Rule
@@ -159,13 +160,14 @@ def questions(spark: SparkSession, size: Size, true: DataFrame) -> DataFrame:
     n = can.groupBy("relation").agg(F.count("*").alias("n"))
     asked = d.join(n, "relation").withColumn("at", pick(size, "who", draw, F.col("n")).cast("int")).join(can, ["relation", "at"])
     first = asked.groupBy("head", "relation").agg(F.min(F.struct("draw", "qclass")).alias("f"))
-    distinct = staged(first.select("head", "relation", "f.qclass", F.row_number().over(Window.orderBy("f.draw")).alias("j")))  # as many rows as questions at most
+    placed = first.select("head", "relation", "f.qclass", "f.draw", F.lit(1).alias("one"))
+    distinct = staged(running_sum(placed, "one", "draw", None, "j").select("head", "relation", "qclass", "j"))
     most = max(1, int(size.questions * (1 - size.repeat_rate)))
     distinct = distinct.filter(F.col("j") <= most)
     have = distinct.count()
     rows = spark.range(size.questions).select(F.col("id").alias("idx"))
     again = (F.col("idx") > 0) & (u(size, "again", F.col("idx")) < size.repeat_rate)
-    rows = rows.withColumn("_new", (~again).cast("long")).withColumn("_k", F.sum("_new").over(Window.orderBy("idx")))
+    rows = running_sum(rows.withColumn("_new", (~again).cast("long")), "_new", "idx", None, "_k")
     issued = F.least(F.col("_k"), F.lit(have))
     j = F.when((F.col("_new") == 1) & (F.col("_k") <= have), F.col("_k")).otherwise(1 + pick(size, "repeat", F.col("idx"), issued))
     return rows.withColumn("j", j).join(distinct.withColumn("j", F.col("j").cast("long")), "j").select("idx", "head", "relation", "qclass")
