@@ -4,7 +4,7 @@ A small network sees the tokens in a window on both sides of a position and
 predicts the one in the middle; the log-probabilities of all tokens of a
 document add up to its score.  Tokens are words: the 2,048 most frequent ones of
 the whole corpus, and classes of the others by their ending and length.  A token
-is predicted in two steps, first its group of 256 words or its class, then the
+is predicted in two steps, first its group of 128 words or its class, then the
 word in the group.  A word of a class adds its log share of the class, from the
 counts of all words of the corpus.
 
@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import staged, tuned
 
 #: Tokens: padding, frequent words in groups, classes of other words.
-GROUPS, GROUP, CLASSES = 8, 256, 32
+GROUPS, GROUP, CLASSES = 16, 128, 32
 FREQUENT = GROUPS * GROUP
 TOKENS = 1 + FREQUENT + CLASSES
 SIDE, HIDDEN = 3, 16
 ROUNDS = 3
-WINDOWS = 1 << 18  # of one replica
+WINDOWS = 1 << 20  # of one replica
 #: Windows of a training step, and tokens that are scored at once.
-BATCH, BLOCK = 1 << 10, 1 << 13
-#: Shares of words that are one in KNOWN of all or more are broadcast, KNOWN at most; those of all others are joined.  Rows of such words that leave a worker at once.
+BATCH, BLOCK = 1 << 11, 1 << 13
+#: Shares of the most frequent words are broadcast, KNOWN at most; those of all others are joined.  Rows of such words that leave a worker at once.
 KNOWN, ROWS = 1 << 16, 50_000
 
 
@@ -140,6 +140,8 @@ class Net:
         seen = [np.full_like(p, 1e-2) for p in self.params()]
         order = rng.permutation(len(windows))
         cell = np.arange(HIDDEN)
+        # reused by all steps: arrays of this size are costly to allocate
+        cells, parts = np.empty((batch, 2 * SIDE, HIDDEN), np.int64), np.empty((batch, 2 * SIDE, HIDDEN))
         for at in range(0, len(order), batch):
             w = windows[order[at : at + batch]]
             sides, middle = w[:, SIDES].astype(np.int64), w[:, SIDE].astype(np.int64) - 1
@@ -159,7 +161,10 @@ class Net:
             dh *= 1 - h * h
             # places share the table: all of them are added up at once
             scale = np.einsum("bh,bkh->kh", dh, self.table.take(sides, axis=0))
-            table = np.bincount((sides[:, :, None] * HIDDEN + cell).ravel(), (dh[:, None, :] * self.scale).ravel(), TOKENS * HIDDEN).reshape(TOKENS, HIDDEN).astype(np.float32)
+            cells_, parts_ = cells[: len(w)], parts[: len(w)]
+            np.add((sides * HIDDEN)[:, :, None], cell, out=cells_)
+            np.multiply(dh[:, None, :], self.scale, out=parts_)
+            table = np.bincount(cells_.ravel(), parts_.ravel(), TOKENS * HIDDEN).reshape(TOKENS, HIDDEN).astype(np.float32)
             for p, s, g in zip(self.params(), seen, (table, scale, dh.sum(axis=0), h.T @ z, z.sum(axis=0), *grads)):
                 s += g * g
                 p -= np.float32(rate) * g / np.sqrt(s)
@@ -224,13 +229,22 @@ def _class_counts(frequent: list[bytes]):
 
 
 def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, tuple[int, float]], list[float]]:
-    """({word: (count, log share of its token)} of the most frequent words, log count of each token)."""
-    totals, total = np.ones(TOKENS), 0
+    """({word: (count, log share of its token)} of the most frequent words, log count of each token).
+
+    The least count of a word that is broadcast comes from a histogram of the
+    counts, so that there are KNOWN at most whatever the corpus.
+    """
+    totals = np.ones(TOKENS)
     for r in counts.mapInArrow(_class_counts(frequent), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0").collect():
         totals[r.token] = r.n
-        total += r.n
     logs, ids = np.log(totals).tolist(), Ids(frequent)
-    best = counts.filter(F.col("n") >= total / KNOWN).collect()
+    step = F.ceil(8 * F.log2("n")).cast("int")
+    least, have = 1 << 60, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # eight rows a doubling
+        if (have := have + r["count"]) > KNOWN:
+            break
+        least = r.step
+    best = counts.filter(step >= least).collect()
     return {bytes(r.word): (r.n, math.log(r.n) - logs[ids[bytes(r.word)]]) for r in best}, logs
 
 
@@ -255,7 +269,7 @@ def _trained(start: np.ndarray, round_: int):
             w = np.concatenate(held)[round_::ROUNDS]
             held.clear()
             net = Net.of_flat(start)
-            net.train(w, np.random.default_rng([round_, now]), 0.2 / (1 + round_))
+            net.train(w, np.random.default_rng([round_, now]), 0.4 / (1 + round_))
             n += len(w)
             np.add(total, net.flat().astype(np.float64) * len(w), out=total)
 
