@@ -40,17 +40,27 @@ def path_sizes(first: DataFrame, second: DataFrame, k1: list[str], k2: list[str]
     multiply.  Sets are told apart by their size and two 64-bit hashes.  With
     labels(x, label) there is a row for each label, over its x alone.
     """
+    sets, fan, same = _fans(first, second, k1, k2, labels is not None)
+    if labels is None:
+        return fan.groupBy(*k1, *k2).agg(F.sum(F.col("_xs") * F.col("_ys")).alias("pairs"))
+    return _labelled_sizes(sets, fan, same, [*k1, *k2], labels)
+
+
+def _fans(first: DataFrame, second: DataFrame, k1: list[str], k2: list[str], again: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(sets of middles of each x, ends reached from each distinct set and how many x have it, columns that tell sets apart)."""
     legs_ = first.select(*k1, "x", "m").distinct()
     shape = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64("m")).alias("_h"), F.bit_xor(F.xxhash64(F.lit(7), "m")).alias("_i")]
-    sets = staged(legs_.groupBy(*k1, "x").agg(*shape))
+    sets = legs_.groupBy(*k1, "x").agg(*shape)
+    sets = staged(sets) if again else sets
     same = [*k1, "_n", "_h", "_i"]
-    who = staged(sets.groupBy(*same).agg(F.min("x").alias("_one"), F.count("*").alias("_xs")))
-    fan = who.select(*same, F.col("_one").alias("x")).join(legs_, [*k1, "x"]).join(second, "m")
-    fan = fan.select(*same, *k2, "y").distinct().groupBy(*same, *k2).agg(F.count("*").alias("_ys"))
-    if labels is not None:
-        who = sets.join(labels.distinct(), "x").groupBy(*same, "label").agg(F.count("*").alias("_xs"))
-    key = [*k1, *k2, *(["label"] if labels is not None else [])]
-    return fan.join(who, same).groupBy(*key).agg(F.sum(F.col("_xs") * F.col("_ys")).alias("pairs"))
+    who = sets.groupBy(*same).agg(F.min("x").alias("x"), F.count("*").alias("_xs"))
+    fan = who.join(legs_, [*k1, "x"]).join(second, "m").select(*same, "_xs", *k2, "y").distinct().groupBy(*same, "_xs", *k2).agg(F.count("*").alias("_ys"))
+    return sets, staged(fan) if again else fan, same
+
+
+def _labelled_sizes(sets: DataFrame, fan: DataFrame, same: list[str], key: list[str], labels: DataFrame) -> DataFrame:
+    who = sets.join(labels.distinct(), "x").groupBy(*same, "label").agg(F.count("*").alias("_own"))
+    return fan.join(who, same).groupBy(*key, "label").agg(F.sum(F.col("_own") * F.col("_ys")).alias("pairs"))
 
 
 def path_hits(first: DataFrame, second: DataFrame, k1: list[str], k2: list[str], goal: DataFrame) -> DataFrame:
@@ -138,9 +148,10 @@ def amie(edges: DataFrame, min_support: int = 10, min_pca: float = 0.5, min_head
     """
     e, a, b = _forward(edges)
     head = e.select(F.col("rel").alias("head"), F.col("src").alias("x"), F.col("dst").alias("y"))
-    support = staged(path_hits(a, b, ["r1"], ["r2"], head).withColumnRenamed("hits", "support").filter(F.col("support") >= min_support))
-    size = path_sizes(a, b, ["r1"], ["r2"]).withColumnRenamed("pairs", "body_size")
-    pca = path_sizes(a, b, ["r1"], ["r2"], head.select("x", F.col("head").alias("label"))).select("r1", "r2", F.col("label").alias("head"), F.col("pairs").alias("pca_body"))
+    support = path_hits(a, b, ["r1"], ["r2"], head).withColumnRenamed("hits", "support").filter(F.col("support") >= min_support)
+    sets, fan, same = _fans(a, b, ["r1"], ["r2"], True)
+    size = fan.groupBy("r1", "r2").agg(F.sum(F.col("_xs") * F.col("_ys")).alias("body_size"))
+    pca = _labelled_sizes(sets, fan, same, ["r1", "r2"], head.select("x", F.col("head").alias("label"))).select("r1", "r2", F.col("label").alias("head"), F.col("pairs").alias("pca_body"))
     total = head.groupBy("head").agg(F.count("*").alias("head_size"))
     out = support.join(size, ["r1", "r2"]).join(pca, ["r1", "r2", "head"]).join(total, "head").withColumnsRenamed({"r1": "body1", "r2": "body2"})
     out = out.withColumn("head_coverage", F.col("support") / F.col("head_size")).withColumn("std_confidence", F.col("support") / F.col("body_size")).withColumn("pca_confidence", F.col("support") / F.col("pca_body"))

@@ -88,11 +88,10 @@ def _in_one_plan(facts: DataFrame, rules: list[Rule], strata: list[str]) -> Data
                 n = F.greatest(*[F.col(f"_p{i}_round") for i in range(len(r.body))]) if len(r.body) > 1 else F.col("_p0_round")
                 each.append(b.select(*KEY, (n + 1).alias("round"), F.lit(k).alias("order"), F.array(*[F.col(f"_p{i}") for i in range(len(r.body))]).alias("premises"), F.lit(r.name).alias("rule")))
         first = reduce(DataFrame.unionByName, each).groupBy(*KEY).agg(F.min(F.struct("round", "order", "premises", "rule")).alias("d"))
-        if not base.filter(F.col("rel") == h).isEmpty():
-            first = first.join(base.filter(F.col("rel") == h), KEY, "left_anti")
+        first = first.join(base.filter(F.col("rel") == h), KEY, "left_anti")
         new = first.select(*KEY, "d.round", "d.rule", F.col("d.premises").cast(premises).alias("premises"))
         if any(p[1] == h for r in rules for p in r.body):
-            new = staged(new)
+            new = staged(new)  # read again by the rules that need it
         known = known.unionByName(new.select(*KEY, "round"))
         out = out.unionByName(new)
     return out
