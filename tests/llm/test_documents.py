@@ -479,6 +479,28 @@ def test_code_switching_and_marginals(spark):
     assert np.allclose(model.marginals(e, np.array([0]))[0], total / total.sum(axis=1, keepdims=True), atol=1e-8)
 
 
+def test_document_prediction_by_all_sequences(spark):
+    """Language and score of short documents against every sequence of labels; words by a plain regular expression."""
+    import regex
+
+    rows = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 4000").limit(300).collect()]
+    model = langid_crf.fit([t for t, _ in rows], [x for _, x in rows])
+    k = len(model.langs)
+    texts = [" ".join(t.split()[i : i + 4]) for i, (t, _) in enumerate(rows[:40])] + ["12 34", "", "Él 7 the_und"]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        words_ = regex.findall(r"\p{L}+", text.lower())
+        if not words_:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        each = [langid_crf.words_of([w]) for w in words_]
+        e = np.concatenate([model.emissions(*model.features(w), 1) for w in each])
+        total = np.zeros((len(words_), k))
+        for s in np.ndindex(*[k] * len(words_)):
+            total[np.arange(len(words_)), s] += np.exp(sum(e[i, x] for i, x in enumerate(s)) + sum(model.moves[a, b] for a, b in zip(s, s[1:])))
+        mean = (total / total.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert lang == model.langs[mean.argmax()] and math.isclose(score, mean.max(), abs_tol=1e-6)
+
+
 # LM scoring
 
 
