@@ -42,7 +42,7 @@ def _powers_of(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) <= n:
         with np.errstate(over="ignore"):
-            have = _powers[int(base)] = np.cumprod(np.concatenate([[1], np.full(max(n, 1 << 20), base, np.uint64)]).astype(np.uint64))
+            have = _powers[int(base)] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), base, np.uint64)]), dtype=np.uint64)
     return have
 
 
