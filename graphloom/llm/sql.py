@@ -147,10 +147,40 @@ select vec_id, coalesce(n, 0)::bigint as n_links, least(coalesce(id, vec_id), ve
 from v left join links using (r) left join least_id using (r)
 """
 
+#: CRC-32 of the decimal form, bit by bit: a byte is xored in, then eight shifts (-1).
+_CRC = """xor(4294967295, list_reduce(flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end, 4294967295::bigint))"""
+OP13 = f"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) as t
+  from conversations where conv_id is not null
+), own as (
+  select conv_id, conv_id - conv_id % 100 as base, {_CRC} % 6 as h from (select distinct conv_id from t)
+), rebuilt as (
+  select own.conv_id, t.n, t.t from own join t on t.conv_id = own.base and t.n <= own.h
+  union all
+  select own.conv_id, 1000 + t.n, t.t from own join t using (conv_id) where t.n > own.h
+), convs as (
+  select own.conv_id, coalesce(list(t order by n) filter (where n is not null), []) as ts from own left join rebuilt using (conv_id) group by own.conv_id
+), members as (
+  select conv_id, len(ts) as n, d, ts[1:d] as p from convs, unnest(range(len(ts) + 1)) u(d)
+), nodes as (
+  select p, d, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '')) as ends_sha256 from members group by p, d
+), kids as (
+  select p[1:d - 1] as p, d - 1 as d, count(*) as n_children from nodes where d > 0 group by all
+), own_values as (
+  select nodes.*, coalesce(n_children, 0) as n_children, case when d > 0 then (n_convs - 1) * length(p[d].x) else 0 end as own_saved from nodes left join kids using (p, d)
+), below as (
+  select p[1:u.up] as p, u.up as d, sum((n_children = 0)::bigint) as n_leaves, sum(own_saved) as saved_tokens from own_values, unnest(range(d + 1)) u(up) group by all
+)
+select a.conv_id, a.d as depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children, below.n_leaves::bigint as n_leaves, below.saved_tokens::bigint as saved_tokens, a.ends_sha256
+from own_values a join below using (p, d) left join nodes b on b.d = a.d - 1 and b.p = a.p[1:a.d - 1]
+"""
+
 ORACLE: dict[str, str] = {
     "op2_quality_rules": OP2,
     "op4_mixing": OP4,
     "op6_chat_formatting": OP6,
     "op7_line_dedup": OP7,
     "op10_embedding_dedup": OP10,
+    "op13_conversation_trie": OP13,
 }
