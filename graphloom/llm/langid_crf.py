@@ -28,6 +28,8 @@ SEQUENCE = 64
 #: Bounds of the labelled sample that the model is fitted on: documents in all, of one language at least where it has so many, and their characters.
 SAMPLE_DOCS, SAMPLE_EACH = 1200, 60
 SAMPLE_CHARS = 20_000
+#: Documents of each language where there are very many languages.
+FEW = 12
 LEXICON = 200
 UNKNOWN = "und"
 
@@ -230,17 +232,20 @@ def held_out():
 def sample(docs: DataFrame, n: int = SAMPLE_DOCS, least: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """Labelled texts of at most chars characters that aren't held out, by a hash of doc_id and text, so that reruns agree.
 
-    A language gets its share of n, and least at the least, or all that it has;
-    the languages with the most documents come first where there are more of
-    them than n / least.  The texts of the smallest hashes are taken.
+    Every language is learned: it gets its share of n, and least at the least, or
+    all that it has.  Where there are more than n / least languages, the least is
+    n over their number, but not under FEW.  The texts of the smallest hashes are
+    taken.  So there are at most 2 n texts, or FEW for each language if that is
+    more.
     """
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= chars))
     lang = F.col("lang").cast("string").alias("lang")
     # one row a language reaches the driver
-    counts = learn.groupBy(lang).count().orderBy(F.desc("count"), "lang").limit(max(1, n // least)).collect()
+    counts = learn.groupBy(lang).count().orderBy(F.desc("count"), "lang").collect()
     total = sum(r["count"] for r in counts)
     if not total:
         return []
+    least = max(FEW, min(least, n // len(counts)))
     want = {r.lang: max(least, round(n * r["count"] / total)) for r in counts}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * want[r.lang] / r["count"] + 20 / r["count"]))])
     h = F.pmod(F.xxhash64("doc_id", "text", F.lit("crf")), F.lit(1 << 30))
