@@ -27,6 +27,8 @@ PASSES = 16
 PER_FILTER = 64
 #: Filters that a vector has at least.
 LEAST = 16
+#: Step in which the threshold of a vector with fewer is lowered; scores spread as 1 / sqrt(dimension), and so does the step.
+STEP = 0.24
 MOST_WORDS = 512
 SEED = 20
 
@@ -63,6 +65,7 @@ class Code:
         self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) * np.sqrt(b.shape[1] / dim) for b in books]
         filters = float(words) ** len(books)
         self.least = NormalDist().inv_cdf(1 - min(0.4, PASSES / filters)) / np.sqrt(dim)
+        self.step = STEP / np.sqrt(dim)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Sorted ids of all filters that x passes.
@@ -75,7 +78,7 @@ class Code:
         rest = np.append(np.cumsum([s.max() for s in scores[::-1]])[::-1], 0.0)
         least, enough = self.least, min(LEAST, self.words ** len(scores))
         while len(ids := self._over(scores, rest, least)) < enough:
-            least -= 0.03
+            least -= self.step
         return np.sort(ids)
 
     def _over(self, scores: list[np.ndarray], rest: np.ndarray, least: float) -> np.ndarray:
