@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.fixpoint import answers, closure
+from graphloom.plans.intervals import interval_closure
 from graphloom.plans.rules import Rule
 
 
@@ -42,11 +43,12 @@ def instants(edges: DataFrame, times: DataFrame, bucket: float | None = None) ->
 
 
 def history(edges: DataFrame, rules: list[Rule], workload: DataFrame, times: DataFrame, bucket: float | None = None) -> DataFrame:
-    """workload(head, relation) at each instant with its answers: one fixpoint for all instants."""
-    closed = closure(instants(edges, times, bucket).select("instant", "src", "rel", "dst"), rules, by=["instant"])
-    asked = workload.select("head", "relation").distinct().crossJoin(times.select("instant").distinct())  # every pair is asked at every instant
-    tails = closed.select("instant", F.col("src").alias("head"), F.col("rel").alias("relation"), "dst")
-    found = asked.join(tails, ["instant", "head", "relation"], "left").groupBy("instant", "head", "relation").agg(F.array_sort(F.collect_set("dst")).alias("answers"))
+    """workload(head, relation) at each instant with its answers: one fixpoint over intervals, which instants then look into."""
+    asked = workload.select("head", "relation").distinct()
+    tails = interval_closure(edges, rules).withColumnsRenamed({"src": "head", "rel": "relation"}).join(asked, ["head", "relation"])
+    found = instants(tails, times, bucket).groupBy("instant", "head", "relation").agg(F.array_sort(F.collect_set("dst")).alias("answers"))
+    every = asked.crossJoin(times.select("instant").distinct())  # every pair is asked at every instant
+    found = every.join(found, ["instant", "head", "relation"], "left").withColumn("answers", F.coalesce("answers", F.array().cast("array<string>")))
     return found.withColumn("answered", F.size("answers") > 0)
 
 

@@ -1189,3 +1189,4 @@ def c23_grid(spark, sf):
 
 
 from graphloom import queries_more  # noqa: E402,F401  registers its queries here
+from graphloom import queries_flow  # noqa: E402,F401
