@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.stage import staged
@@ -36,36 +38,116 @@ def attributes_of(incidence: DataFrame, attrs: DataFrame, extent: DataFrame) ->
     return attrs.select("attr").join(have, "attr", "left").crossJoin(n).filter(F.coalesce("k", F.lit(0)) == F.col("total")).select("attr")
 
 
-def concepts(incidence: DataFrame, attrs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(intent, extent) of all concepts: intents are the meets of object intents, with the set of all attributes.
+#: Attributes in one word of a bitset.
+WORD = 62
+
+
+class Bits:
+    """Sets of n attributes as columns of words, under a prefix."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.words = n, max(1, -(-n // WORD))
+
+    def names(self, prefix: str) -> list[str]:
+        return [f"{prefix}{k}" for k in range(self.words)]
+
+    def listed(self, word_of, least: Column | int = 0) -> Column:
+        """The attributes from least on that the words word_of(k) hold, ascending."""
+
+        def part(k: int) -> Column:
+            return F.transform(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(word_of(k), i) == 1), lambda i: i + WORD * k)
+
+        return F.filter(F.concat(*map(part, range(self.words))), lambda j: j >= least)
+
+    def below(self, k: int, attr: Column) -> Column:
+        """A mask over word k: the attributes under attr."""
+        return F.when(attr >= WORD * (k + 1), F.lit((1 << WORD) - 1)).when(attr <= WORD * k, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (attr - WORD * k).cast("int")) - 1)
 
-    Each round meets new intents with every distinct object intent: the result
-    itself can be exponential in the attributes, so that contexts have few.
+    def size(self, prefix: str) -> Column:
+        return reduce(Column.__add__, [F.bit_count(c) for c in self.names(prefix)])
+
+
+def _intents(incidence: DataFrame, bits: Bits) -> DataFrame:
+    """(obj, o0, o1, ...): the attributes of each object as words."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("attr") % WORD).cast("int"))
+    return incidence.groupBy("obj").agg(*[F.bit_or(F.when(F.floor(F.col("attr") / WORD) == k, one).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(bits.names("o"))])
+
+
+def _steps(members: DataFrame, bits: Bits) -> tuple[DataFrame, DataFrame]:
+    """Each concept b of members(b..., o..., y) with one more attribute from y on that some member has: (b..., y, attr, o...) as rows, and (b..., attr, d..., n) with their closure d."""
+    b, o, d = bits.names("b"), bits.names("o"), bits.names("d")
+    more = bits.listed(lambda k: F.col(o[k]).bitwiseAND(F.bitwise_not(F.col(b[k]))), F.col("y"))
+    rows = members.select(*b, *o, F.explode(more).alias("attr"))
+    return rows, rows.groupBy(*b, "attr").agg(*[F.bit_and(x).alias(y) for x, y in zip(o, d)])
+
+
+def closed_sets(incidence: DataFrame, attrs: DataFrame) -> tuple[DataFrame, Bits]:
+    """(b..., o...): every concept that has objects, by its intent, with each distinct object intent it contains; close-by-one.
+
+    A level extends each concept by one attribute after the last one that made
+    it.  The closure is the meet of the members' intents, and counts only if it
+    brings no attribute before the new one: so each concept is made once, by one
+    branch, and none has to be compared with the others.  Members carry their
+    intents along, so that branches meet nothing but their own rows.
+    """
+    bits = Bits(attrs.count())
+    b, o, d = bits.names("b"), bits.names("o"), bits.names("d")
+    rows = staged(_intents(incidence, bits).select(*o).distinct())
+    root = rows.agg(*[F.bit_and(x) for x in o]).first()  # what all objects have
+    now = staged(rows.select(*[F.lit(w).cast("long").alias(y) for w, y in zip(root, b)], *o, F.lit(0).alias("y")))
+    out = [now]
+    while not now.isEmpty():
+        each, closures = _steps(now, bits)
+        first = reduce(Column.__and__, [F.col(x).bitwiseAND(bits.below(k, F.col("attr"))) == F.col(y).bitwiseAND(bits.below(k, F.col("attr"))) for k, (x, y) in enumerate(zip(b, d))])
+        good = closures.filter(first)
+        now = staged(each.join(good, [*b, "attr"]).select(*[F.col(x).alias(y) for x, y in zip(d, b)], *o, (F.col("attr") + 1).cast("int").alias("y")))
+        out.append(now)
+    return reduce(DataFrame.union, out).select(*b, *o), bits
+
+
+def _listed(bits: Bits, prefix: str) -> Column:
+    return bits.listed(lambda k: F.col(bits.names(prefix)[k]))
+
+
+def _all(bits: Bits) -> list[int]:
+    return [(1 << max(0, min(WORD, bits.n - WORD * k))) - 1 for k in range(bits.words)]
+
+
+def concept_sizes(incidence: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(intent, n): all concepts with the number of their objects; the set of all attributes is there whether or not an object has it."""
+    members, bits = closed_sets(incidence, attrs)
+    b, o = bits.names("b"), bits.names("o")
+    times = _intents(incidence, bits).groupBy(*o).agg(F.count("*").alias("times"))
+    found = members.join(times, o).groupBy(*b).agg(F.sum("times").alias("n"))
+    bottom = incidence.sparkSession.range(1).select(*[F.lit(w).cast("long").alias(c) for w, c in zip(_all(bits), b)], F.lit(0).cast("long").alias("n"))
+    return found.unionByName(bottom).groupBy(*b).agg(F.max("n").alias("n")).select(_listed(bits, "b").alias("intent"), "n")
+
+
+def concepts(incidence: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(intent, extent) of all concepts, both as sorted arrays; concept_sizes has the numbers alone, where extents are too long for a row."""
+    members, bits = closed_sets(incidence, attrs)
+    b = bits.names("b")
+    pairs = members.join(_intents(incidence, bits), bits.names("o")).select(*b, "obj")
+    bottom = incidence.sparkSession.range(1).select(*[F.lit(w).cast("long").alias(c) for w, c in zip(_all(bits), b)], F.lit(None).cast(incidence.schema["obj"].dataType).alias("obj"))
+    return pairs.unionByName(bottom).groupBy(*b).agg(F.array_sort(F.collect_set("obj")).alias("extent")).select(_listed(bits, "b").alias("intent"), "extent")
+
+
+def lattice_edges(incidence: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(lower, upper) intents of direct covers: the upper concept has the smaller intent.
+
+    A closure of a concept and one attribute covers it if every attribute that
+    it adds gives the same closure.  Where no member has any other attribute,
+    the set of all attributes is the cover.
     """
-    own = staged(incidence.groupBy("obj").agg(F.array_sort(F.collect_set("attr")).alias("intent")))
-    rows = staged(own.select("intent").distinct())
-    every = attrs.agg(F.array_sort(F.collect_set("attr")).alias("intent"))
-    known = new = rows
-    for _ in range(max_rounds):
-        meets = new.select(F.col("intent").alias("i")).crossJoin(rows).select(F.array_sort(F.array_intersect("i", "intent")).alias("intent")).distinct()
-        new = staged(meets.join(known, "intent", "left_anti"))
-        if new.isEmpty():
-            break
-        known = staged(known.union(new))
-    else:
-        raise RuntimeError("concepts: not closed after max_rounds")
-    intents = known.union(every).distinct()
-    pairs = intents.join(own.select("obj", F.col("intent").alias("has")), F.size(F.array_except("intent", "has")) == 0, "left")
-    none = F.array().cast(own.schema["obj"].dataType.simpleString().join(("array<", ">")))
-    return pairs.groupBy("intent").agg(F.array_sort(F.collect_set("obj")).alias("extent")).withColumn("extent", F.coalesce("extent", none))
-
-
-def lattice_edges(found: DataFrame) -> DataFrame:
-    """(lower, upper) intents of direct covers: the upper concept has the smaller intent."""
-    c = staged(found.select("intent"))
-    below = staged(c.select(F.col("intent").alias("lower")).join(c.select(F.col("intent").alias("upper")), (F.size("upper") < F.size("lower")) & (F.size(F.array_except("upper", "lower")) == 0)))
-    via = below.alias("a").join(below.alias("b"), F.col("a.upper") == F.col("b.lower")).select(F.col("a.lower").alias("lower"), F.col("b.upper").alias("upper")).distinct()
-    return below.join(via, ["lower", "upper"], "left_anti")
+    members, bits = closed_sets(incidence, attrs)
+    b, d = bits.names("b"), bits.names("d")
+    members = staged(members.withColumn("y", F.lit(0)))
+    closures = _steps(members, bits)[1].groupBy(*b, *d).agg(F.count("*").alias("same"))
+    covers = closures.filter(F.col("same") == bits.size("d") - bits.size("b")).select(*d, *b)
+    full = members.groupBy(*b).agg(*[F.bit_or(F.col(x)).alias(y) for x, y in zip(bits.names("o"), d)])
+    same = reduce(Column.__and__, [F.col(x) == F.col(y) for x, y in zip(b, d)])
+    lone = full.filter(same & (bits.size("b") < bits.n)).select(*[F.lit(w).cast("long").alias(c) for w, c in zip(_all(bits), d)], *b)
+    return covers.unionByName(lone).select(_listed(bits, "d").alias("lower"), _listed(bits, "b").alias("upper"))
 
 
 def signatures(edges: DataFrame) -> DataFrame:
@@ -94,8 +176,8 @@ def described(signature: str, most: int = 5):
 
 
 def lattice_summary(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: concepts, edges, and the sizes of the largest extent and intent."""
-    c = found.agg(F.count("*").alias("concepts"), F.max(F.size("extent")).cast("long").alias("largest_extent"), F.max(F.size("intent")).cast("long").alias("largest_intent"))
+    """One row of found(intent, n) and edges: concepts, edges, and the sizes of the largest extent and intent."""
+    c = found.agg(F.count("*").alias("concepts"), F.max("n").alias("largest_extent"), F.max(F.size("intent")).cast("long").alias("largest_intent"))
     return c.crossJoin(edges.agg(F.count("*").alias("edges")))  # a row each
 
 

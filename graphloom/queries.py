@@ -551,15 +551,14 @@ c as (select intent, (select count(*) from i where list_has_all(own, intent)) as
 @query(f"{CTX} select array_to_string(intent, ',') as intent, n from c")
 def m15_concepts(spark, sf):
     attrs, inc = concepts.context(small_context(spark, sf))
-    inc = staged(inc)
-    c = concepts.concepts(inc, staged(attrs))
-    return c.select(F.array_join(F.transform("intent", lambda x: x.cast("string")), ",").alias("intent"), F.size("extent").cast("long").alias("n"))
+    c = concepts.concept_sizes(staged(inc), staged(attrs))
+    return c.select(F.array_join(F.transform("intent", lambda x: x.cast("string")), ",").alias("intent"), "n")
 
 
 @query(f"{CTX}, b as (select l.intent as lower, u.intent as upper from every l join every u on len(u.intent) < len(l.intent) and list_has_all(l.intent, u.intent)) select array_to_string(lower, ',') as lower, array_to_string(upper, ',') as upper from b where not exists (select 1 from b x join b y on x.upper = y.lower where x.lower = b.lower and y.upper = b.upper)")
 def m16_lattice(spark, sf):
     attrs, inc = concepts.context(small_context(spark, sf))
-    edges = concepts.lattice_edges(concepts.concepts(staged(inc), staged(attrs)))
+    edges = concepts.lattice_edges(staged(inc), staged(attrs))
     return edges.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("lower", "upper")])
 
 

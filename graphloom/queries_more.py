@@ -402,8 +402,8 @@ def m16_summary(spark, sf):
     from graphloom.queries import small_context
 
     attrs, inc = concepts.context(small_context(spark, sf))
-    found = staged(concepts.concepts(staged(inc), staged(attrs)))
-    return concepts.lattice_summary(found, concepts.lattice_edges(found))
+    inc, attrs = staged(inc), staged(attrs)
+    return concepts.lattice_summary(concepts.concept_sizes(inc, attrs), concepts.lattice_edges(inc, attrs))
 
 
 CELLS = """cells as (select 'acme_model.' || (user_id % 3) || '_hop2_lim300_s' || (user_id % 5) || case when user_id % 2 = 0 then '_forbid' else '' end as stem, event_id, 'syn:t<=' || case event_id % 4 when 0 then 'a.b' when 1 then 't.~t' when 2 then 'c' else '~a.t' end as rule from events)"""

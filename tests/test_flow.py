@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import federation, mining, temporal
+from graphloom.operators import concepts, federation, mining, temporal
 from graphloom.plans import intervals, maintain
 from graphloom.plans.fixpoint import closure
 from graphloom.plans.rules import Rule
@@ -135,3 +135,29 @@ def test_feedback_stream_and_late_verdicts(spark, tmp_path):
     spark.createDataFrame([("u1", True, at(20))], v).write.mode("append").parquet(paths[1])  # ten hours too late
     again, late = run()
     assert late == 1 and again.count() == batch.count() + 1
+
+
+# concepts
+
+
+def test_concepts_of_many_attributes(spark):
+    """Seventy attributes, two words of bits; against all meets of object intents."""
+    rng = random.Random(8)
+    objects = {f"o{i}": frozenset(rng.sample(range(70), rng.choice([1, 4, 12, 40]))) for i in range(14)}
+    objects |= {"same": objects["o3"], "most": frozenset(range(69))}
+    inc = spark.createDataFrame([(o, a) for o, s in objects.items() for a in s], "obj string, attr int")
+    attrs = spark.createDataFrame([(a,) for a in range(70)], "attr int")
+    intents = set(objects.values())
+    while more := {a & b for a in intents for b in objects.values()} - intents:
+        intents |= more
+    intents.add(frozenset(range(70)))
+    want = {i: sum(i <= s for s in objects.values()) for i in intents}
+    found = concepts.concept_sizes(inc, attrs)
+    assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = [(frozenset(r.intent), r.n) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    below = {(l, u) for l in intents for u in intents if u < l}
+    covers = {(l, u) for l, u in below if not any((l, m) in below and (m, u) in below for m in intents)}
+    assert {(frozenset(r.lower), frozenset(r.upper)) for r in concepts.lattice_edges(inc, attrs).collect()} == covers
+    assert {frozenset(r.intent): frozenset(r.extent) for r in concepts.concepts(inc, attrs).collect()} == {i: frozenset(o for o, s in objects.items() if i <= s) for i in intents}
+    assert concepts.concept_sizes(inc.limit(0), attrs).collect()[0].n == 0

@@ -196,7 +196,7 @@ def test_concepts(spark):
     attrs, inc = concepts.context(spark.createDataFrame(e, E))
     found = concepts.concepts(inc, attrs)
     assert sorted(map(tuple, (r.extent for r in found.collect()))) == [(), ("alice", "bob"), ("alice", "bob", "carol"), ("bob",), ("bob", "carol"), ("carol",)]
-    assert concepts.lattice_edges(found).count() == 7
+    assert concepts.lattice_edges(inc, attrs).count() == 7
     first = attrs.filter("attr = 0").first()
     assert (first.rel, first.dst, first.n) == ("works", "acme", 3)
     assert rows(concepts.objects_of(inc, [0, 1])) == rows(inc.filter("attr = 1").select("obj"))
