@@ -1,12 +1,14 @@
 """Many languages, and embeddings of many dimensions."""
 
+import operator
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from graphloom.llm import embed_dedup, langid_crf
+from graphloom.llm import embed_dedup, html_mincut, langid_crf
 
 
 def test_sixty_languages(spark):
@@ -63,3 +65,63 @@ def test_recall_of_a_table(spark):
     found = sum(n for n, _ in got.values())
     assert 0.9 * len(links) <= found <= len(links)
     assert sum(got[a][1] == got[b][1] for a, b in links) >= 0.9 * len(links)
+
+
+# pages
+
+
+def without_names(page: str, tags: str) -> str:
+    return re.sub(rf"<(/?)({tags})\b[^>]*>", r"<\1div>", page)
+
+
+ALL_TAGS = "nav|article|footer|p|h1|ul|li|div"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/pages.parquet").dropna(subset=["html"])
+
+
+@pytest.fixture(scope="module")
+def weights(pages):
+    return html_mincut.learned(pages)
+
+
+def wrong(pages, weights, change=lambda x: x):
+    """Blocks that a lookup of elements, the classifier and the cut label wrongly; the article element says what is right."""
+    out = [0, 0, 0]
+    for page in pages:
+        truth = [b.parent.article for b in html_mincut.blocks(page)]
+        found = html_mincut.blocks(change(page))
+        x = html_mincut.features(found)
+        cut = html_mincut.min_cut(*html_mincut.graph(found, weights))
+        for k, said in enumerate(([b.parent.region.hint > 0 for b in found], [sum(map(operator.mul, v, weights)) > 0 for v in x], cut)):
+            out[k] += sum(a != b for a, b in zip(said, truth, strict=True))
+    return out
+
+
+def test_cut_beats_lookup_and_classifier(pages, weights):
+    html = [r.html for r in pages.collect()]
+    assert wrong(html, weights)[2] == 0
+    lookup, alone, cut = wrong(html, weights, lambda x: without_names(x, ALL_TAGS))
+    assert cut <= alone < lookup and cut < lookup / 8
+    lookup, alone, cut = wrong(html, html_mincut.PRIOR, lambda x: without_names(x, ALL_TAGS))
+    assert cut < alone < lookup
+
+
+SENTENCE = "word " * 14 + "end."
+
+
+@pytest.mark.parametrize("fit", [False, True])
+def test_unnamed_pages(weights, fit):
+    text = lambda page: html_mincut.main_text(page, weights if fit else html_mincut.PRIOR)
+    assert text(f"<nav><a>Home</a></nav><p>{SENTENCE}</p><footer>copyright</footer>") == SENTENCE
+    assert text(f"<div>Home page</div><p>{SENTENCE}</p><div>Home page</div>") == SENTENCE
+    assert text(f'<article><p>{SENTENCE}</p></article><div class="kommentare"><p>{SENTENCE}</p></div>') == SENTENCE
+    assert text(f"<div>{'<p>' + SENTENCE + '</p>'}</div>" * 3) == " ".join([SENTENCE] * 3)
+
+
+def test_weights_without_articles(spark, pages):
+    assert html_mincut.learned(pages.limit(0)) == html_mincut.PRIOR
+    bare = spark.createDataFrame([("u", "<p>no article here at all.</p>")] * 5, "url string, html string")
+    assert html_mincut.learned(bare) == html_mincut.PRIOR
