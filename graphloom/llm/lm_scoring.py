@@ -9,7 +9,7 @@ word in the group.  A word of a class adds its log share of the class, from the
 counts of all words of the corpus.
 
 Every position of every document is a training window in one of the rounds, so
-they grow with the corpus.  Documents are dealt out to replicas by doc_id; in
+they grow with the corpus.  Documents are dealt out to replicas by hash; in
 each round every replica trains on its share from the common parameters, and the
 mean weighted by windows is the next common state.
 """
@@ -40,6 +40,8 @@ WINDOWS = 1 << 20  # of one replica
 BATCH, BLOCK = 1 << 11, 1 << 13
 #: Shares of the most frequent words are broadcast, KNOWN at most; those of all others are joined.  Rows of such words that leave a worker at once.
 KNOWN, ROWS = 1 << 16, 50_000
+#: Bytes of the words of these shares, and of a word that can be frequent.
+KNOWN_BYTES, LONGEST = 1 << 22, 1 << 18
 
 
 def split(text: str) -> list[bytes]:
@@ -232,16 +234,16 @@ def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, tuple[
     """({word: (count, log share of its token)} of the most frequent words, log count of each token).
 
     The least count of a word that is broadcast comes from a histogram of the
-    counts, so that there are KNOWN at most whatever the corpus.
+    counts, so that there are KNOWN at most, of KNOWN_BYTES, whatever the corpus.
     """
     totals = np.ones(TOKENS)
     for r in counts.mapInArrow(_class_counts(frequent), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0").collect():
         totals[r.token] = r.n
     logs, ids = np.log(totals).tolist(), Ids(frequent)
     step = F.ceil(8 * F.log2("n")).cast("int")
-    least, have = 1 << 60, 0
-    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # eight rows a doubling
-        if (have := have + r["count"]) > KNOWN:
+    least, have, size = 1 << 60, 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum(F.length("word")).alias("bytes")).orderBy(F.desc("step")).collect():  # eight rows a doubling
+        if (have := have + r.k) > KNOWN or (size := size + r.bytes) > KNOWN_BYTES:
             break
         least = r.step
     best = counts.filter(step >= least).collect()
@@ -262,7 +264,7 @@ def _trained(start: np.ndarray, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by replica; (windows, parameters times windows) of all replicas of a task."""
         held: list[np.ndarray] = []
-        now, n, total = None, 0, np.zeros(len(start))
+        now, n, size, total = None, 0, 0, np.zeros(len(start))
 
         def train() -> None:
             nonlocal n
@@ -275,10 +277,12 @@ def _trained(start: np.ndarray, round_: int):
 
         for b in batches:
             for r, x in zip(b.column(0).to_pylist(), b.column(1)):
-                if now is not None and r != now and held:
+                if held and (r != now or size > 2 * WINDOWS):  # a large share is trained on in parts
                     train()
+                    size = 0
                 now = r
                 held.append(contexts(np.frombuffer(x.as_py(), np.uint16)))
+                size += len(held[-1])
         if held:
             train()
         if n:
@@ -300,9 +304,10 @@ def fitted(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[bytes
     """(the most frequent words, ties by byte order; network) from all documents, with their word_counts."""
     counts = word_counts(docs) if counts is None else counts
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    frequent = [bytes(r.word) for r in counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     replicas = max(1, -(-total // WINDOWS))
-    replica = F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).alias("replica")
+    # by what a row holds and where it lies: neither null ids nor copies meet in one replica
+    replica = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id() % 1024), F.lit(replicas)).alias("replica")
     gathered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), replica).mapInArrow(_tokens(frequent), "doc_id long, replica long, ids binary")
     # a replica lies in one file, in order, and each round reads it as it lies
     gathered = staged(gathered.filter(F.length("ids") > 0).repartition("replica").sortWithinPartitions("replica", "doc_id", "ids"), "tokens").select("replica", "ids")
