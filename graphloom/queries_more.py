@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import cascade, concepts, dynamics, episodes, evaluation, graph, link, mining, ontology, planner, service, temporal
+from graphloom.operators import cascade, concepts, dynamics, episodes, evaluation, frontier, graph, link, mining, ontology, planner, service, temporal
 from graphloom.plans import fixpoint
 from graphloom.plans.rules import Rule, RuleBook, atom, join_body, rules_from_json, rules_to_json
 from graphloom.plans.stage import shared_dir, staged
@@ -816,17 +816,12 @@ def p3_plans(spark, sf):
     move = planner.Action("move", (("?a", "at", "?b"), ("?b", "road", "?c")), (("?a", "at", "?c"),), (("?a", "at", "?b"),))
     rules = [Rule("ready", (("?a", "at", "port"),), ("?a", "ready", "yes"))]
 
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for s, n in zip(b["s"], b["n"]):
-                cost, steps = planner.plan({(s, "at", n), (n, "road", "hub"), ("hub", "road", "port")}, [(s, "ready", "yes")], [move], rules=rules)
-                rows.append((s, cost, ",".join(steps)))
-            yield pd.DataFrame(rows, columns=["supplier", "cost", "steps"])
-
-    return read(spark, sf, "supplier").select(_id("S", "s_suppkey").alias("s"), _id("N", "s_nationkey").alias("n")).mapInPandas(run, "supplier string, cost double, steps string")
+    ships = read(spark, sf, "supplier").select(_id("S", "s_suppkey").alias("q"), _id("N", "s_nationkey").alias("n"))
+    fact = lambda s, r, o: F.struct(s.alias("src"), F.lit(r).alias("rel"), o.alias("dst"))
+    starts = ships.select("q", F.array(fact(F.col("q"), "at", F.col("n")), fact(F.col("n"), "road", F.lit("hub")), fact(F.lit("hub"), "road", F.lit("port"))).alias("facts"))
+    goals = ships.select("q", F.col("q").alias("src"), F.lit("ready").alias("rel"), F.lit("yes").alias("dst"))
+    found = frontier.plans(starts, goals, [move], rules, max_depth=3)
+    return found.select(F.col("q").alias("supplier"), "cost", F.array_join("steps", ",").alias("steps"))
 
 
 # Dynamics
