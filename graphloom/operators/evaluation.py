@@ -320,19 +320,22 @@ def ab_summary(records: DataFrame) -> DataFrame:
     return records.groupBy(arm.alias("arm")).agg(F.count("*").alias("n"), F.avg("cost").alias("cost"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
-def stride_sample(values: DataFrame, column: str, n: int = 200) -> DataFrame:
-    """(column, place): n distinct values at equal strides, counted through the values in order by range partitions, not in one task."""
-    d = values.select(column).filter(F.col(column).isNotNull()).distinct()
-    total = d.count()
-    parts = d.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+def placed(values: DataFrame, column: str) -> DataFrame:
+    """(column, place): the distinct values of a column, null left out, numbered in order; by range partitions, not in one task."""
     from graphloom.plans.stage import staged
 
-    parts = staged(parts)
+    d = values.select(column).filter(F.col(column).isNotNull()).distinct()
+    parts = staged(d.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id()))
     before = parts.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
     place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
-    out = parts.withColumn("_i", place).join(before, "_p").withColumn("place", F.col("_b") + F.col("_i"))
-    step = max(1, total // n)
-    return out.filter((F.col("place") % step == 0) & (F.col("place") < step * n)).select(column, "place")
+    return parts.withColumn("_i", place).join(before, "_p").select(column, (F.col("_b") + F.col("_i")).alias("place"))
+
+
+def stride_sample(values: DataFrame, column: str, n: int = 200) -> DataFrame:
+    """(column, place): n distinct values at equal strides, counted through the values in order."""
+    out = placed(values, column)
+    step = max(1, values.filter(F.col(column).isNotNull()).select(column).distinct().count() // n)
+    return out.filter((F.col("place") % step == 0) & (F.col("place") < step * n))
 
 
 def parameter_grid(spark, values: dict[str, list]) -> list[dict]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import federation, temporal
-from graphloom.plans import fixpoint, intervals, maintain
+from graphloom.plans import fixpoint, intervals, maintain, views
 from graphloom.plans.rules import Rule
-from graphloom.plans.stage import staged
-from graphloom.queries import ASSERTIONS, STATES, _id, assertions, query, read
+from graphloom.plans.stage import shared_dir, staged
+from graphloom.queries import ASSERTIONS, KG, MANAGES, STATES, _id, assertions, kg, query, read
+from graphloom.sources import properties, vocabulary
 from graphloom.streaming import state
 
 # Federation
@@ -131,3 +134,67 @@ def c22_feedback_stream(spark, sf):
     says = _events(spark, sf).filter("event_type = 'purchase'").select(head, F.struct(F.col("event_id").alias("said"), (F.col("value") > 5).alias("ok")).alias("correct"), F.col("ts").alias("said_at"))
     pairs, _ = state.marked_run(asks, says, state.folder(spark, "marks"), "6 hours")
     return pairs.select("id", "correct.said", F.col("correct.ok").alias("correct"))
+
+
+# Vocabulary
+
+
+@query("""with d as (select p_name as v, row_number() over (order by p_name) - 1 as place from (select distinct p_name from part)), b as (select *, place // 20 as batch, count(*) over (partition by place // 20) as n, row_number() over (partition by place // 20 order by v) as k from d)
+select v as value, case when batch % 3 = 1 and k = n then 'other' when substr(v, length(v)) = 'y' then 'other' else 'ends_' || substr(v, length(v)) end as category, case when batch % 3 = 0 then 1 else 2 end as asked from b""")
+def s26_vocabulary(spark, sf):
+    """All part names mapped in batches of 20: of three batches one is answered at once, one at the second time, and one falls short twice."""
+    parts = read(spark, sf, "part")
+    names = parts.select(F.concat(F.lit("Ends "), F.substring("p_name", -1, 1)).alias("c")).filter("c <> 'Ends y'")
+    numbers = {r.p_name: r.place for r in vocabulary.placed(parts, "p_name").filter("place % 20 = 0").collect()}  # one name of each batch, for the mock
+
+    class Mock:
+        def __init__(self) -> None:
+            self.asked: dict[str, int] = {}
+
+        def __call__(self, values, categories):
+            kind = numbers[values[0]] // 20 % 3
+            self.asked[values[0]] = n = self.asked.get(values[0], 0) + 1
+            said = ["Ends_" + v[-1] for v in values]
+            return said[:-1] if kind == 1 or kind == 2 and n == 1 else said
+
+    return vocabulary.mapped(parts, "p_name", vocabulary.categories_of(names, "c"), Mock(), 20)
+
+
+# Properties
+
+
+@query("""with e as (select event_id, case when event_id % 50 = 0 then substr(props, 1, length(props) - 1) else props end as p, value, user_id from events)
+select event_id, json_valid(p) = false as malformed, case when json_valid(p) then (p::json->>'k')::double + 0.5 end as k_half, case when json_valid(p) then value end as v, case when json_valid(p) then user_id % 3 end as third from e""")
+def i8_variant(spark, sf):
+    """Properties of all events, nested, written as VARIANT and read back; one text in fifty is no JSON."""
+    e = read(spark, sf, "events").withColumn("text", F.when(F.col("event_id") % 50 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")))
+    whole = F.when(F.try_parse_json("text").isNotNull(), F.concat(F.lit('{"p": '), "text", F.lit(', "in": [{"v": '), F.col("value").cast("string"), F.lit(', "third": '), (F.col("user_id") % 3).cast("string"), F.lit("}]}"))).otherwise(F.col("text"))
+    path = f"{shared_dir(spark)}/variant-{uuid.uuid4().hex}"
+    properties.write(properties.parsed(e.select("event_id", whole.alias("text")), "text").drop("text"), path)
+    back = spark.read.parquet(path)
+    return back.select("event_id", "malformed", (properties.number("props", "$.p.k") + 0.5).alias("k_half"), properties.number("props", "$.in[0].v").alias("v"), F.try_variant_get("props", "$.in[0].third", "bigint").alias("third"))
+
+
+# SQL
+
+
+@query(f"with recursive {KG}, c as (select src, dst from kg where rel = 'manages' union select c.src, k.dst from c join kg k on k.rel = 'manages' and c.dst = k.src) select src, count(*) as n from c group by src")
+def sql_closure(spark, sf):
+    """The closure as a view, in SQL text."""
+    views.register(spark, "staffing", kg(spark, sf, "manages"), rules=MANAGES)
+    return spark.sql("SELECT src, count(*) AS n FROM staffing_closure GROUP BY src")
+
+
+@query(f"with {KG} select a.id, k.rel, k.dst from (select 'N' || n_nationkey as id from nation) a join kg k on k.src = a.id")
+def sql_neighbours(spark, sf):
+    """A table function, joined to the rows that it is asked for, in SQL text."""
+    views.register(spark, "places", kg(spark, sf, "lives_in", "part_of"))
+    read(spark, sf, "nation").createOrReplaceTempView("places_asked")
+    return spark.sql("SELECT a.id, o.rel, o.dst FROM (SELECT concat('N', n_nationkey) AS id FROM places_asked) a, LATERAL places_out(a.id) o")
+
+
+@query(f"with {STATES} select dst, count(*) as n, count(distinct src) as users from states where valid_from <= 1705000000 and (valid_to is null or 1705000000 < valid_to) group by dst")
+def sql_slice(spark, sf):
+    """A slice in time as a table function, in SQL text."""
+    views.register(spark, "history", temporal.states(read(spark, sf, "events")))
+    return spark.sql("SELECT dst, count(*) AS n, count(DISTINCT src) AS users FROM history_at(1705000000D) GROUP BY dst")
