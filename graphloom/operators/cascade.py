@@ -293,15 +293,17 @@ class Session:
 
 
 def run_stream(session: Session, workload: DataFrame, batch: int = 50) -> DataFrame:
-    """The records of a whole workload(idx, head, relation), asked batch by batch in order of idx, with a consolidation after each."""
+    """The records of a whole workload(idx, head, relation), asked in batches of so many idx, in order, with a consolidation after each."""
     from functools import reduce
 
-    low, high = workload.agg(F.min("idx"), F.max("idx")).first()
-    if low is None:
+    from graphloom.operators.evaluation import placed
+
+    cut = placed(workload, "idx").groupBy(F.floor(F.col("place") / batch).alias("b")).agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
+    cuts = cut.orderBy("b").collect()  # one row a batch, each of which is asked by a job of its own
+    if not cuts:
         return ask_nothing(workload)
-    for at in range(low, high + 1, batch):
-        part = workload.filter((F.col("idx") >= at) & (F.col("idx") < at + batch))
-        session.ask(part)
+    for c in cuts:
+        session.ask(workload.filter(F.col("idx").between(c.low, c.high)))
         if session.learn:
             session.consolidate()
     return reduce(DataFrame.unionByName, session.history)
@@ -395,29 +397,50 @@ def arm_full(cases: DataFrame, teacher: DataFrame, cuts: list[int], min_support:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Cases that a round of arm_retrieved looks at on the driver.
+AHEAD = 256
+
+
+def _uncovered(vectors: list[list[float]], tau: float):
+    """Rows (idx, v) that are within cosine tau of none of the unit vectors."""
+
+    def run(batches):
+        import numpy as np
+
+        near = np.array(vectors).T
+        for b in batches:
+            if len(b):
+                yield b[(np.stack(b["v"].to_list()) @ near < tau).all(axis=1)]
+
+    return run
+
+
 def arm_retrieved(cases: DataFrame, teacher: DataFrame, weak: DataFrame, tau: float = 0.5) -> DataFrame:
     """cases(idx, case_id, v) by retrieval: one whose vector is within cosine tau of an earlier case that the teacher answered gets the answer of weak(case_id, verdict, articles, usd); others go to the teacher and join the memory.
 
-    A case is covered by what came before it, so that the memory is built up
-    level by level: those without an earlier neighbour are in it, those within
-    reach of one of these are not, and what is left is looked at again.
+    A case is covered by what came before it.  A round takes the first AHEAD
+    cases that nothing covers so far, finds which of them are in the memory, and
+    looks through all others for those that these cover: so many vectors go to
+    every task, whatever the cases, and no case meets another one that isn't in
+    the memory.
     """
     from graphloom.operators.link import dot
     from graphloom.plans.stage import staged
 
     unit = F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v"))))
-    u = staged(cases.select("idx", "case_id", unit.alias("v")))
-    a, b = u.select(F.col("idx").alias("i"), F.col("v").alias("_a")), u.select(F.col("idx").alias("j"), F.col("v").alias("_b"))
-    near = staged(a.join(b, F.col("j") < F.col("i")).filter(dot(F.col("_a"), F.col("_b")) >= tau).select("i", "j"))
-    left, memory, covered = u.select("idx"), None, None
-    while not left.isEmpty():
-        open_ = near.join(left.select(F.col("idx").alias("i")), "i", "left_semi").join(left.select(F.col("idx").alias("j")), "j", "left_semi")
-        fresh = staged(left.join(open_.select(F.col("i").alias("idx")), "idx", "left_anti"))
-        near_ = staged(near.join(fresh.select(F.col("idx").alias("j")), "j", "left_semi").select(F.col("i").alias("idx")).distinct())
-        memory = fresh if memory is None else staged(memory.union(fresh))
-        covered = near_ if covered is None else staged(covered.union(near_).distinct())
-        left = staged(left.join(fresh, "idx", "left_anti").join(near_, "idx", "left_anti"))
-    known = cases.sparkSession.createDataFrame([], "idx long") if covered is None else covered
+    left = staged(cases.select("idx", unit.alias("v")))
+    memory = []
+    while ahead := left.orderBy("idx").limit(AHEAD).collect():
+        fresh: list[tuple[int, list[float]]] = []
+        for r in ahead:
+            if not any(sum(x * y for x, y in zip(r.v, v)) >= tau for _, v in fresh):
+                fresh.append((r.idx, r.v))
+        memory.append(staged(left.filter(F.col("idx").isin([i for i, _ in fresh])).select("idx")))
+        left = staged(left.filter(F.col("idx") > fresh[0][0]).mapInPandas(_uncovered([v for _, v in fresh], tau), left.schema))
+    covered = cases.select("idx")
+    for m in memory:
+        covered = covered.join(m, "idx", "left_anti")
+    known = covered
     w = weak.select("case_id", F.col("verdict").alias("_v"), F.col("articles").alias("_a"), F.col("usd").alias("_u"))
     out = _told(cases, teacher).join(w, "case_id", "left").join(known.withColumn("_c", F.lit(True)), "idx", "left")
     use = F.coalesce(F.col("_c") & F.col("_v").isin("permit", "prohibit"), F.lit(False))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +62,17 @@ def block_means(records: DataFrame, width: int = 50) -> DataFrame:
 def percentiles(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """(keys, n, p50, p95, p99, mean): p50 interpolated; p95 and p99 the element at min(n - 1, floor(q n)) of the sorted values.
 
-    Equal values are counted first, and the counts of a key are kept as its
-    histogram, so that a hot key isn't sorted row by row.  Nulls are left out.
+    Equal values are counted first, and ranks come from ranges of values, so that
+    no key is sorted or held in one task.  Nulls are left out.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    n = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.percentile("_v", F.lit(0.5), F.col("_c")).alias("p50"))
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
     upto = running_ranks(counts, keys)
     placed = upto.join(n, keys) if keys else upto.crossJoin(n)
     at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q)))
-    pick = lambda q: F.max(F.when((F.col("_from") <= at(q)) & (at(q) < F.col("_from") + F.col("_c")), F.col("_v")))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.max("p50").alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.max("mean").alias("mean"))
+    pick = lambda k: F.max(F.when((F.col("_from") <= k) & (k < F.col("_from") + F.col("_c")), F.col("_v")))
+    half = (pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), half.alias("p50"), pick(at(0.95)).alias("p95"), pick(at(0.99)).alias("p99"), F.max("mean").alias("mean"))
 
 
 def running_ranks(counts: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
@@ -114,6 +118,26 @@ def bootstrap(values: DataFrame, draws: int = 1000, seed: str = "12345", level:
     return values.agg(F.avg("v").alias("mean")).crossJoin(ends)  # a row each
 
 
+#: Poisson(1): the chance of at most 0, 1, 2, ... times.
+POISSON = tuple(sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(12))
+
+
+def poisson_bootstrap(values: DataFrame, draws: int = 1000, seed: str = "12345", level: float = 0.95) -> DataFrame:
+    """One row (mean, low, high) of values(i, v): as bootstrap, with each value taken a Poisson(1) number of times in each draw, by a hash of draw and i.
+
+    One pass: a row gives its share to every draw, and shares are added up
+    before the shuffle, which moves one row a draw and task.  No row meets
+    another, and the number of values need not be known.
+    """
+    each = values.select("i", "v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "d", "i")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = reduce(Column.__add__, [(u >= x).cast("int") for x in POISSON])
+    sums = each.withColumn("w", times).groupBy("d").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w")).filter("w > 0")
+    tail = (1 - level) / 2
+    ends = sums.select((F.col("s") / F.col("w")).alias("m")).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return values.agg(F.avg("v").alias("mean")).crossJoin(ends)  # a row each
+
+
 def crossing(points: DataFrame, level: float, keys: list[str]) -> DataFrame:
     """(keys, x): where y, going by x, first meets level, by linear interpolation; null if it doesn't."""
     w = Window.partitionBy(*keys).orderBy("x")

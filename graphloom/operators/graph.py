@@ -95,7 +95,8 @@ def out_relations(edges: DataFrame) -> DataFrame:
 def degree(edges: DataFrame) -> DataFrame:
     """(id, degree): distinct neighbours out plus distinct neighbours in."""
     sides = edges.select(F.col("src").alias("id"), F.lit("o").alias("side"), F.col("dst").alias("n")).union(edges.select("dst", F.lit("i"), "src"))
-    return sides.distinct().groupBy("id").agg(F.count("*").alias("degree"))
+    # one shuffle by id: what is distinct of an id is counted where it lies
+    return sides.repartition("id").distinct().groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

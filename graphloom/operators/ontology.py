@@ -26,11 +26,14 @@ def allows(candidates: DataFrame, nodes: DataFrame, edges: DataFrame, relations:
     functional relation another tail than the one there is.
     """
     n = nodes.select("id", "type")
-    tails = edges.groupBy("src", "rel").agg(F.collect_set("dst").alias("_tails"))
-    c = candidates.join(relations.withColumnRenamed("name", "rel").select("rel", "domain", "range", "functional"), "rel", "left")
+    rel = relations.withColumnRenamed("name", "rel").select("rel", "domain", "range", "functional")
+    # only edges of functional relations, and no list of tails
+    tails = edges.join(rel.filter("functional").select("rel"), "rel", "left_semi").groupBy("src", "rel").agg(F.min("dst").alias("_low"))
+    here = edges.join(rel.filter("functional").select("rel"), "rel", "left_semi").select("src", "rel", "dst").distinct().withColumn("_here", F.lit(True))
+    c = candidates.join(rel, "rel", "left")
     c = c.join(n.select(F.col("id").alias("src"), F.col("type").alias("_s")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("type").alias("_t")), "dst", "left")
-    c = c.join(tails, ["src", "rel"], "left")
-    free = ~F.col("functional") | F.col("_tails").isNull() | F.array_contains("_tails", F.col("dst"))
+    c = c.join(tails, ["src", "rel"], "left").join(here, ["src", "rel", "dst"], "left")
+    free = ~F.col("functional") | F.col("_low").isNull() | F.col("_here")
     ok = F.col("domain").isNotNull() & F.col("_s").isNotNull() & F.col("_t").isNotNull() & accepts(F.col("domain"), F.col("range"), F.col("_s"), F.col("_t")) & free
     return c.select(*candidates.columns, F.coalesce(ok, F.lit(False)).alias("allowed"))
 
@@ -41,12 +44,14 @@ def validate(nodes: DataFrame, edges: DataFrame, relations: DataFrame, node_type
     nodes(id, type, props map); node_types(name, required_props).
     """
     rel = relations.withColumnRenamed("name", "rel")
-    unknown = edges.join(rel, "rel", "left_anti").select(F.lit("unknown_relation").alias("kind"), F.concat_ws(" ", "src", "rel", "dst").alias("detail"))
     n = nodes.select("id", "type")
-    typed = edges.join(rel, "rel").join(n.select(F.col("id").alias("src"), F.col("type").alias("_s")), "src").join(n.select(F.col("id").alias("dst"), F.col("type").alias("_t")), "dst")
-    wrong = typed.filter(~accepts(F.col("domain"), F.col("range"), F.col("_s"), F.col("_t"))).select(F.lit("domain_range"), F.concat_ws(" ", "src", "rel", "dst"))
-    many = edges.join(rel.filter("functional"), "rel", "left_semi").groupBy("src", "rel").agg(F.countDistinct("dst").alias("n")).filter("n > 1").select(F.lit("functional"), F.concat_ws(" ", "src", "rel"))
-    parts = [unknown, wrong, many]
+    seen = edges.join(rel, "rel", "left").join(n.select(F.col("id").alias("src"), F.col("type").alias("_s")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("type").alias("_t")), "dst", "left")
+    wrong = F.col("_s").isNotNull() & F.col("_t").isNotNull() & ~accepts(F.col("domain"), F.col("range"), F.col("_s"), F.col("_t"))
+    kind = F.when(F.col("domain").isNull(), "unknown_relation").when(wrong, "domain_range")
+    bad = seen.select(kind.alias("kind"), F.concat_ws(" ", "src", "rel", "dst").alias("detail")).filter("kind IS NOT NULL")
+    least = F.min("dst") != F.max("dst")  # two tails or more, without a list of them
+    many = edges.join(rel.filter("functional"), "rel", "left_semi").groupBy("src", "rel").agg(least.alias("many")).filter("many").select(F.lit("functional"), F.concat_ws(" ", "src", "rel"))
+    parts = [bad, many]
     if node_types is not None:
         need = node_types.select(F.col("name").alias("type"), F.explode("required_props").alias("p"))
         missing = nodes.join(need, "type").filter(~F.coalesce(F.array_contains(F.map_keys("props"), F.col("p")), F.lit(False)))
@@ -62,12 +67,15 @@ def induce(nodes: DataFrame, edges: DataFrame, symmetric_percent: int = 60) -> D
     functional.
     """
     n = nodes.select("id", "type")
-    e = edges.select("src", "rel", "dst").distinct()
+    # dealt by source once: distinct edges and fans need no other shuffle
+    e = edges.select("src", "rel", "dst").repartition("rel", "src").distinct()
     typed = e.join(n.select(F.col("id").alias("src"), F.col("type").alias("s")), "src").join(n.select(F.col("id").alias("dst"), F.col("type").alias("t")), "dst")
     ends = typed.groupBy("rel").agg(F.array_sort(F.collect_set("s")).alias("domain"), F.array_sort(F.collect_set("t")).alias("range"))
-    fan = e.groupBy("rel", "src").count().groupBy("rel").agg(F.max("count").alias("fan"))
-    back = e.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"), F.lit(1).alias("m"))
-    mirror = e.join(back, ["src", "rel", "dst"], "left").groupBy("rel").agg(F.count("m").alias("mirrored"), F.count("*").alias("total"))
+    fan = e.groupBy("rel", "src").agg(F.count("*").alias("n")).groupBy("rel").agg(F.max("n").alias("fan"))
+    # the directions of each pair of ends, as bits: both set, or a loop, is a mirror
+    way = F.when(F.col("src") == F.col("dst"), 4).when(F.col("src") < F.col("dst"), 1).otherwise(2)
+    pairs = edges.groupBy("rel", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bit_or(way).alias("ways"))
+    mirror = pairs.groupBy("rel").agg(F.sum(F.when(F.col("ways") == 3, 2).when(F.col("ways") == 4, 1).otherwise(0)).alias("mirrored"), F.sum(F.when(F.col("ways") == 3, 2).otherwise(1)).alias("total"))
     out = ends.join(fan, "rel").join(mirror, "rel").withColumn("symmetric", 100 * F.col("mirrored") >= symmetric_percent * F.col("total"))
     return out.select(F.col("rel").alias("name"), "domain", "range", ((F.col("fan") <= 1) & ~F.col("symmetric")).alias("functional"), "symmetric")
 

@@ -107,12 +107,17 @@ def composed(edges: DataFrame, legs: list[tuple[str, bool]], most: int | None =
     """(x, ys): the other ends of paths along legs(relation, backwards), without x itself; ends with more than most answers are left out."""
     def leg(rel: str, back: bool, a: str, b: str) -> DataFrame:
         e = edges.filter(F.col("rel") == rel)
-        return e.select(F.col("dst" if back else "src").alias(a), F.col("src" if back else "dst").alias(b)).distinct()
-
-    out = leg(*legs[0], "x", "m")
-    for rel, back in legs[1:]:
-        out = out.join(leg(rel, back, "m", "y"), "m").select("x", F.col("y").alias("m")).distinct()
-    got = out.filter("x <> m").groupBy("x").agg(F.array_sort(F.collect_set("m")).alias("ys"))
+        return e.select(F.col("dst" if back else "src").alias(a), F.col("src" if back else "dst").alias(b))
+
+    # from the last leg to the first: what the middle legs lead to is folded to distinct ends before the first one meets it
+    out = leg(*legs[-1], "m", "y")
+    for rel, back in reversed(legs[1:-1]):
+        out = leg(rel, back, "_x", "m").join(out, "m").select(F.col("_x").alias("m"), "y").distinct()
+    if len(legs) > 1:
+        out = leg(*legs[0], "x", "m").join(out, "m")
+    else:
+        out = out.withColumnRenamed("m", "x")
+    got = out.filter("x <> y").groupBy("x").agg(F.array_sort(F.collect_set("y")).alias("ys"))
     return got if most is None else got.filter(F.size("ys") <= most)
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import federation, temporal
+from graphloom.operators import evaluation, federation, temporal
 from graphloom.plans import fixpoint, intervals, maintain, views
 from graphloom.plans.rules import Rule
 from graphloom.plans.stage import shared_dir, staged
@@ -198,3 +198,16 @@ def sql_slice(spark, sf):
     """A slice in time as a table function, in SQL text."""
     views.register(spark, "history", temporal.states(read(spark, sf, "events")))
     return spark.sql("SELECT dst, count(*) AS n, count(DISTINCT src) AS users FROM history_at(1705000000D) GROUP BY dst")
+
+
+# Evaluation
+
+
+@query(f"""with v as (select s_suppkey as i, s_acctbal::double as v from supplier), g as (
+  select d, v, list_sum(list_transform({list(evaluation.POISSON)}, lambda x: (u >= x)::int)) as w from (select d, v, cast('0x' || substr(md5('12345:' || d || ':' || i), 1, 8) as bigint) / 4294967296.0::double as u from v, (select range as d from range(400)))
+), m as (select sum(v * w) / sum(w) as m from g group by d having sum(w) > 0)
+select (select round(avg(v), 6) from v) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
+def a10_poisson(spark, sf):
+    """The bootstrap in one pass: every value counts a Poisson number of times in each draw."""
+    v = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("i"), F.col("s_acctbal").cast("double").alias("v"))
+    return evaluation.poisson_bootstrap(v, 400).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])

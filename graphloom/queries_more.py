@@ -615,10 +615,14 @@ def c19_full(spark, sf):
     return _arm_totals(cascade.arm_full(*arms(spark, sf), [300]))
 
 
-@query()
+@query("""with recursive v as (select row_number() over (order by vec_id) as k, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from embeddings), m as (
+  select 0::bigint as k, []::double[][] as mem, 0::bigint as told union all
+  select v.k, case when len(list_filter(mem, lambda x: list_dot_product(x, v.v) >= 0.2)) > 0 then mem else list_append(mem, v.v) end, case when len(list_filter(mem, lambda x: list_dot_product(x, v.v) >= 0.2)) > 0 then told else told + 1 end from m join v on v.k = m.k + 1
+), l as (select k, told from m order by k desc limit 1)
+select unnest([true, false]) as teacher_call, unnest([told, k - told]) as n, round(unnest([told, k - told]) * 0.05, 4) as usd from l""")
 def c19_retrieved(spark, sf):
-    """Vectors of the first of every hundred, in order: covered by an earlier one within the limit, or put to the teacher."""
-    v = vectors(spark, sf).filter("id % 100 = 0")
+    """All vectors, in order: covered by an earlier one in the memory, or put to the teacher."""
+    v = vectors(spark, sf)
     cases = v.select(F.col("id").alias("idx"), F.col("id").cast("string").alias("case_id"), "v")
     t = v.select(F.col("id").cast("string").alias("case_id"), F.lit("permit").alias("verdict"), cascade.none().alias("articles"), F.lit(0.05).alias("usd"))
     out = cascade.arm_retrieved(cases, t, t, 0.2)
