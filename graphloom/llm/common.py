@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.stage import staged as _staged
+
 #: White space between words, and what a word is made of.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,8 +19,6 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of whole texts that go to a Python worker at once.
 ARROW_ROWS = 512
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
@@ -42,52 +40,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the one of setCheckpointDir.
-
-    Where neither is set, a local master gets a folder of its own; on a cluster
-    that would be a different disk for each executor, so it is an error.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", "") or getattr(context, "_graphloom_dir", "")
-    if not found:
-        given = context._jsc.sc().getCheckpointDir()
-        found = given.get() if given.isDefined() else ""
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = context._graphloom_dir = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    return found.rstrip("/")
-
-
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns of df under their own names, dots and all."""
     return [F.col(f"`{c}`") for c in df.columns]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    Cuts the lineage, survives lost executors, and gives the planner the true
-    size, so that it broadcasts what is small and only that.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clear)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended already
-            return
+    """df written to the shared folder and read back, as plans.stage does it; label names the step for readers of the code."""
+    return _staged(df)
 
 
 def _ship(spark: SparkSession) -> None:
