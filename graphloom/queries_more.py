@@ -658,11 +658,16 @@ def i5_report(spark, sf):
     return T.ingest_report(T.ingest(t, kg_nodes(spark, sf), have, relation_types(spark)))
 
 
-@query()
+@query("""with w as (select p_partkey as p, list_sum(list_transform(string_split(t, ''), lambda c: ascii(c))) % 64 as slot, count(*)::double as n from (select p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '\\s+'), lambda x: x <> '')) as t from part) group by all),
+norm as (select p, sqrt(sum(n * n)) as norm from w group by p),
+sign as (select i, k, case when ascii(upper(substr(md5('0:' || i || ':' || k), 1, 1))) % 2 = case when substr(md5('0:' || i || ':' || k), 1, 1) between '0' and '9' then 0 else 1 end then 1.0 else -1.0 end as s from (select range as i from range(64)), (select range as k from range(16))),
+v as (select w.p, k, round(sum(n / norm * s) / 8, 6) as x from w join norm using (p) join sign on i = slot group by all)
+select 'P' || p as id, list(x order by k) filter (where k < 8) as re, list(x order by k) filter (where k >= 8) as im from v group by p""")
 def k7_text_start(spark, sf):
     """Part names as a start for embeddings: hashed words by a random projection."""
     p = read(spark, sf, "part").select(_id("P", "p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return link.seeded(p, 8)
+    six = lambda c: F.transform(c, lambda x: F.round(x, 6) + 0.0).alias(c)
+    return link.seeded(p, 8).select("id", six("re"), six("im"))
 
 
 @query()
