@@ -129,11 +129,11 @@ def _plan(rows: DataFrame, share: float, weights: tuple[int, ...], most: int, bu
     return _ends(rows, staged(plan.withColumnRenamed("source", "_source"), "plan"), bucket_rows)
 
 
-def _parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _parts(rows: DataFrame, plan: DataFrame, tie: Column | None = None) -> DataFrame:
     """rows with the columns of plan and part, the words taken after whole epochs.
 
     Only where equal rows stand at the end of a budget, and it takes some of
-    them, are these numbered.
+    them, are these numbered, in order of tie.
     """
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     own, end = F.struct("_key", "doc_id", "size"), F.col("_end.place")
@@ -143,7 +143,7 @@ def _parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     tied = F.coalesce(at & (F.col("_end.rows") > 1) & (F.col("_end.whole") < F.col("_end.rows")), F.lit(False))
     if plan.filter("_end.rows > 1 AND _end.whole < _end.rows").isEmpty():
         return placed.withColumn("part", sole.cast("long"))
-    nth = F.row_number().over(Window.partitionBy("_source").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_source").orderBy(F.lit(0) if tie is None else tie))
     each = F.when(nth <= F.col("_end.whole"), size).when(nth == F.col("_end.whole") + 1, part).otherwise(0)
     return placed.filter(~tied).withColumn("part", sole.cast("long")).unionByName(placed.filter(tied).withColumn("part", each.cast("long")))
 
@@ -175,5 +175,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...
     own = [f"_in{i}" for i in range(len(docs.columns))]
     rows = _rows(docs, seed, [c.alias(o) for c, o in zip(columns_of(docs), own)])
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
-    kept = _parts(rows, plan).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    # rows of one doc_id and size can have different texts: reruns keep the same ones
+    text = F.xxhash64(F.col(own[docs.columns.index("text")]).cast("string"))
+    kept = _parts(rows, plan, text).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return kept.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
