@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import concepts, federation, mining, temporal
+from graphloom.operators import cascade, concepts, federation, mining, service, temporal
 from graphloom.plans import intervals, maintain
 from graphloom.plans.fixpoint import closure
 from graphloom.plans.rules import Rule
@@ -91,6 +91,20 @@ def test_maintenance_equals_a_closure_from_scratch(spark, seed):
     assert facts(maintain.inserted(after, CHAIN, gone)) == facts(closed)
 
 
+def test_service_keeps_its_closure(spark):
+    """Facts told, forgotten and told again: always the closure of what is there."""
+    rows = [("a", "r", "b"), ("b", "r", "c"), ("a", "s", "c"), ("c", "r", "d")]
+    edges = spark.createDataFrame(rows, E)
+    s = service.Service(cascade.Session(edges, CHAIN, None, learn=False), spark.createDataFrame([(x, "T") for x in "abcde"], "id string, type string"), spark.createDataFrame([], "name string"))
+    s.session.warmup()
+    s.distill(spark.createDataFrame([("d", "r", "e")], E))
+    assert ("a", "p", "e") not in facts(s.session.closed)
+    s.forget(spark.createDataFrame([("b", "r", "c")], E))
+    left = spark.createDataFrame([x for x in rows if x[0] != "b"] + [("d", "r", "e")], E)
+    assert facts(s.session.closed) == facts(closure(left, CHAIN)) and ("a", "p", "e") in facts(s.session.closed)
+    assert facts(s.session.facts) == facts(left)
+
+
 def test_untouched_facts_are_not_deleted(spark):
     """What goes is bounded by what rests on the deleted fact."""
     edges = spark.createDataFrame([(f"c{i}", "r", f"c{i + 1}") for i in range(10)] + [("x", "r", "y"), ("y", "r", "z")], E)
