@@ -176,6 +176,6 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...
     rows = _rows(docs, seed, [c.alias(o) for c, o in zip(columns_of(docs), own)])
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
     # rows of one doc_id and size can have different texts: reruns keep the same ones
-    text = F.xxhash64(F.col(own[docs.columns.index("text")]).cast("string"))
+    text = F.xxhash64(F.col(own[[c.lower() for c in docs.columns].index("text")]).cast("string"))
     kept = _parts(rows, plan, text).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return kept.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
