@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import staged, text_of, tuned
 
-#: Bounds of the labelled sample: toxic and clean documents.
+#: Bounds of the labelled sample: toxic and clean documents; twice as many labels are drawn, as copies go.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 15_000
 #: Bounds of what is learned: terms, forms that are only close to a term, and words of contexts.
 TERMS, FORMS, CONTEXTS = 4_000, 20_000, 2_000
@@ -228,20 +228,21 @@ _OPEN = re.compile("[" + "".join(QUOTES) + "]")
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, weight, fold): labelled documents, each text and each group of close copies about once, at most SAMPLE_TOXIC and SAMPLE_CLEAN of them on average.
+    """(text, toxic, weight, fold): labelled documents, each text and each group of close copies about once, twice SAMPLE_TOXIC and SAMPLE_CLEAN of them at most on average, before copies go.
 
     Only documents whose crc32(doc_id as text) mod 5 is not 0.  Close copies are
     told by the smallest hash of their five-word runs.  weight tells for how many
     documents of its label one stands.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(~_held_out(5) & (F.col("text") != ""))
-    both = train.join(marked, "doc_id")
+    marked = staged(marked.filter(~_held_out(5)), "toxic-labels")
+    counts = dict(tuple(r) for r in marked.groupBy("toxic").count().collect())
+    rate = {t: min(1.0, 2 * most / max(1, counts.get(t, 0))) for t, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))}
+    # so many labels at most, on average: they go to the texts, and no text is shuffled for them
+    few = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(rate[1] * (1 << 20))).otherwise(int(rate[0] * (1 << 20))))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.col("text") != "").join(F.broadcast(few), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, 5))))
-    counts = dict(tuple(r) for r in both.groupBy("toxic").count().collect())
-    rate = {t: min(1.0, 2 * most / max(1, counts.get(t, 0))) for t, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))}
-    kept = both.filter((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(rate[1] * (1 << 20))).otherwise(int(rate[0] * (1 << 20)))))
     alone = kept.withColumn("w", words).withColumn("run", F.array_min(runs)).groupBy("run", "toxic").agg(F.min("text").alias("text"))
     return alone.select("text", "toxic", F.when(F.col("toxic") == 1, 1 / rate[1]).otherwise(1 / rate[0]).alias("weight"), (F.pmod(F.xxhash64("text"), F.lit(2))).cast("int").alias("fold"))
 
