@@ -25,9 +25,10 @@ def _key(line: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, t, keys): the keys of a text and of its distinct lines with a word; each text is split and hashed once."""
-    lines = F.filter(F.split(text_of(), "\n"), lambda x: x.rlike(WORD))
-    return staged(docs.filter(F.col("text").isNotNull()).select("doc_id", "source", _key(text_of()).alias("t"), F.array_distinct(F.transform(lines, _key)).alias("keys")), "lines")
+    """(doc_id, source, t, keys): the key of a text, and those of its lines with a word, each with the place of its line."""
+    lines = F.filter(F.transform(F.split(text_of(), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: x["line"].rlike(WORD))
+    keys = F.transform(lines, lambda x: F.struct(F.xxhash64(x["line"]).alias("h1"), F.xxhash64(F.lit(7), x["line"]).alias("h2"), x["at"].alias("at")))
+    return staged(docs.filter(F.col("text").isNotNull()).select("doc_id", "source", _key(text_of()).alias("t"), keys.alias("keys")), "lines")
 
 
 def _found(keyed: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
@@ -59,12 +60,15 @@ def deduped(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, keep:
     keep = keep or ["doc_id"]
     keyed = _keyed(docs)
     found = _found(keyed, min_sites, lg_k)
-    uses = keyed.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.h1", "k.h2")
-    hit = uses.join(found, ["h1", "h2"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hit"))
+    # places of boilerplate, for each doc_id and text: rows of one doc_id, or of none, may differ in their texts
+    uses = keyed.select("doc_id", "t", F.explode("keys").alias("k")).select("doc_id", "t", "k.h1", "k.h2", "k.at")
+    hit = uses.join(found, ["h1", "h2"]).groupBy(F.col("doc_id").alias("_id"), F.col("t.h1").alias("_t1"), F.col("t.h2").alias("_t2")).agg(F.collect_set("at").alias("_hit"))
     own = [c for c in keep if c != "text"]
     d = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(own)], F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_t"))
-    d = d.join(hit, F.col("_doc").eqNullSafe(F.col("_id")), "left").withColumn("_l", F.split("_t", "\n"))
-    stay = F.filter("_l", lambda x: ~F.array_contains(F.col("_hit"), _key(x)))
+    key = _key(F.col("_t"))
+    d = d.join(hit, F.col("_doc").eqNullSafe(F.col("_id")) & (key["h1"] == F.col("_t1")) & (key["h2"] == F.col("_t2")), "left").withColumn("_l", F.split("_t", "\n"))
+    # array_except hashes the places, so that a text of very many lines takes time in proportion to them
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "_hit"), lambda i: F.get("_l", i))
     d = d.withColumn("_stay", F.when(F.col("_hit").isNull(), F.col("_l")).otherwise(stay))
     text = F.when(F.size("_l") == F.size("_stay"), F.col("_t")).otherwise(F.array_join("_stay", "\n"))
     count = lambda c: F.when(F.col("_t").isNull(), 0).otherwise(c).cast("long")

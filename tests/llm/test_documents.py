@@ -612,3 +612,16 @@ def test_lm_scores_every_word(spark, monkeypatch, known):
     assert sum(x < -1 for _, x in want) > 20
     alone = lambda t: sum(n for w, n in Counter(lm_scoring.split(t or "")).items() if counts[w] == n)
     assert Counter((r.doc_id, r.unseen_words) for r in got) == Counter((r[0], alone(r[1])) for r in rows) and sum(r.unseen_words > 0 for r in got) > 3
+
+
+def test_lines_of_one_id_and_very_many_lines(spark):
+    """Texts that share a doc_id or have none lose their own lines only, however often and where they stand; a text of very many lines takes time in proportion."""
+    shared = [f"shared passage number {i} of all the sites" for i in range(3000)]
+    rows = [(None if i % 2 else 7, f"s{i}", f"own text {i}\n{shared[i % 3]}\n\n{shared[i % 3]}\nend {i}") for i in range(60)]
+    rows += [(100 + i, f"t{i}", "\n".join([*shared, f"tail {i}"])) for i in range(12)]
+    rows.append((500, "t0", "\n".join(x for i in range(30) for x in [*shared, f"kept {i}"])))
+    got = line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, source string, text string"), min_sites=10).collect()
+    assert sorted(r.text for r in got if r.doc_id in (None, 7)) == sorted(f"own text {i}\n\nend {i}" for i in range(60))
+    assert {r.n_removed for r in got if r.doc_id in (None, 7)} == {2}
+    assert sorted(r.text for r in got if (r.doc_id or 0) in range(100, 112)) == sorted(f"tail {i}" for i in range(12))
+    assert [r.text.split("\n") for r in got if r.doc_id == 500] == [[f"kept {i}" for i in range(30)]]
