@@ -141,7 +141,14 @@ def k_samples(log: DataFrame, k: int) -> DataFrame:
 
 
 def call_teacher(pairs: DataFrame, fn) -> DataFrame:
-    """(head, relation, answers) of fn(head, relation) -> list of str for each distinct pair, in Arrow batches."""
+    """(head, relation, answers) of fn(head, relation) -> list of str for each distinct pair, in Arrow batches.
+
+    fn may be a table of what is known instead, (head, relation, tails) with one
+    row a pair: it is joined, and what it lacks has no answers.
+    """
+    if isinstance(fn, DataFrame):
+        asked = pairs.select("head", "relation").distinct()
+        return asked.join(fn.select("head", "relation", "tails"), ["head", "relation"], "left").select("head", "relation", F.coalesce("tails", none()).alias("answers"))
 
     def run(batches):
         for b in batches:

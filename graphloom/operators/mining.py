@@ -310,8 +310,8 @@ def case_rules(found: DataFrame) -> list[Rule]:
     return out
 
 
-def near_miss_world(spark, theta: float, seed: int = 0, n_entities: int = 200, n_cases: int = 600, zipf_a: float = 1.3) -> DataFrame:
-    """(case_id, entity, half, gold, leak_fired, leak_answer) of a world by modular arithmetic.
+def near_miss_world(cases: DataFrame, theta: float, seed: int = 0, n_entities: int = 200, zipf_a: float = 1.3) -> DataFrame:
+    """(case_id, entity, half, gold, leak_fired, leak_answer) of a world by modular arithmetic, over cases(case_id).
 
     The true target of entity x is the shared image 7 m + 3 of its middle m = 11 x + 5,
     modulo the number of entities.  A leak fires on a share theta of the cases
@@ -319,11 +319,10 @@ def near_miss_world(spark, theta: float, seed: int = 0, n_entities: int = 200, n
     from a Zipf law by inversion of a power.
     """
     key = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(what), "case_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cases = spark.range(n_cases).withColumnRenamed("id", "case_id")
     # the continuous law with density x^-a on [1, n]
     p = 1 - zipf_a
     entity = F.least(F.lit(n_entities - 1), F.floor(F.pow(key("entity") * (F.lit(float(n_entities)) ** p - 1) + 1, F.lit(1 / p))).cast("int") - 1)
-    c = cases.withColumn("entity", entity)
+    c = cases.select("case_id").withColumn("entity", entity)
     middle = (F.col("entity") * 11 + 5) % n_entities
     image = (middle * 7 + 3) % n_entities
     gold = F.when((middle != F.col("entity")) & (image != F.col("entity")), image)

@@ -1023,39 +1023,53 @@ for _name, _having in (("latest_wins", "true"), ("trust_weighted", "sum(trust) >
 
 # Causal
 
-def scm() -> causal.CausalModel:
-    m = causal.CausalModel(seed="5")
-    m.add("z", (0, 1), (), lambda p, u: F.when(u < 0.4, 1).otherwise(0))
-    m.add("x", (0, 1), ("z",), lambda p, u: F.when(u < 0.2 + 0.5 * p["z"], 1).otherwise(0))
-    m.add("y", (0, 1), ("x", "z"), lambda p, u: F.when(u < 0.1 + 0.3 * p["x"] + 0.4 * p["z"], 1).otherwise(0))
-    return m
+def order_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, z, x, y) of every order: filled, urgent, dear."""
+    one = lambda c: c.cast("int")
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), one(F.col("o_orderstatus") == "F").alias("z"), one(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("x"), one(F.col("o_totalprice") > 150_000).alias("y"))
 
 
-def _u(v: str) -> str:
-    return f"cast('0x' || substr(md5('5:{v}:' || id), 1, 8) as bigint) / 4294967296.0::double"
+def scm(spark: SparkSession, sf: str) -> tuple[causal.CausalModel, DataFrame]:
+    """A model of the orders, fitted to all of them, and the orders as its units."""
+    rows = order_variables(spark, sf)
+    return causal.fitted(rows, {"z": (), "x": ("z",), "y": ("x", "z")}, seed="5"), rows
 
 
-SCM = f"""with n as (select range as id from range(20000)), z as (select id, case when {_u('z')} < 0.4::double then 1 else 0 end as z from n), x as (select *, case when {_u('x')} < 0.2::double + 0.5::double * z then 1 else 0 end as x from z), s as (select *, case when {_u('y')} < 0.1::double + 0.3::double * x + 0.4::double * z then 1 else 0 end as y, case when {_u('y')} < 0.1::double + 0.3::double * 1 + 0.4::double * z then 1 else 0 end as y_do1 from x)"""
+def _u(v: str, key: str = "id") -> str:
+    return f"cast('0x' || substr(md5('5:{v}:' || {key}), 1, 8) as bigint) / 4294967296.0::double"
+
+
+#: The orders o, the share of value 0 of each variable by its parents, and a draw of the model for each order with y under do(x).
+SCM = f"""with o as (select o_orderkey as id, (o_orderstatus = 'F')::int as z, (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as x, (o_totalprice > 150000)::int as y from orders),
+qz as (select count(*) filter (where z = 0) / count(*) as pz from o), qx as (select z, count(*) filter (where x = 0) / count(*) as px from o group by z), qy as (select x, z, count(*) filter (where y = 0) / count(*) as py from o group by x, z),
+dz as (select id, case when {_u('z')} < pz then 0 else 1 end as z from o, qz), dx as (select id, z, case when {_u('x')} < px then 0 else 1 end as x from dz join qx using (z)),
+s as (select id, dx.z, dx.x, case when {_u('y')} < a.py then 0 else 1 end as y, case when {_u('y')} < b.py then 0 else 1 end as y_do1, case when {_u('y')} < c.py then 0 else 1 end as y_do0 from dx join qy a on a.x = dx.x and a.z = dx.z join qy b on b.x = 1 and b.z = dx.z join qy c on c.x = 0 and c.z = dx.z)"""
 
 
 @query(f"{SCM} select id, z, x, y from s")
 def x2_sample(spark, sf):
-    return scm().sample(spark, 20_000)
+    """A draw of the fitted model for each order."""
+    m, units = scm(spark, sf)
+    return m.sample(units)
 
 
 @query(f"{SCM} select y as value, count(*) as n, count(*) / (select count(*) from s where x = 1) as probability from s where x = 1 group by y")
 def x3_distribution(spark, sf):
-    return scm().distribution(spark, "y", 20_000, evidence={"x": 1}).withColumn("value", F.col("value").cast("int"))
+    m, units = scm(spark, sf)
+    return m.distribution(units, "y", evidence={"x": 1}).withColumn("value", F.col("value").cast("int"))
 
 
-@query(f"{SCM} select y_do1 as value, count(*) as n, count(*) / 20000 as probability from s group by 1")
+@query(f"{SCM} select y_do1 as value, count(*) as n, count(*) / (select count(*) from s) as probability from s group by 1")
 def x4_intervention(spark, sf):
-    return scm().distribution(spark, "y", 20_000, do={"x": 1}).withColumn("value", F.col("value").cast("int"))
+    m, units = scm(spark, sf)
+    return m.distribution(units, "y", do={"x": 1}).withColumn("value", F.col("value").cast("int"))
 
 
-@query(f"{SCM} select y_do1 as value, count(*) as n from s where x = 0 and y = 0 group by 1")
+@query(f"{SCM}, t as (select o.*, case when case when o.y = 0 then a.py * {_u('y')} else a.py + (1 - a.py) * {_u('y')} end < b.py then 0 else 1 end as had_y from o join qy a on a.x = o.x and a.z = o.z join qy b on b.x = 1 and b.z = o.z) select z, y, had_y, count(*) as n from t where x = 0 group by all")
 def x5_counterfactual(spark, sf):
-    return scm().counterfactual(spark, {"x": 0, "y": 0}, {"x": 1}, "y", 20_000)
+    """All orders that weren't urgent: dear or not, had they been."""
+    m, rows = scm(spark, sf)
+    return m.twins(rows.filter("x = 0"), {"x": 1}).groupBy("z", "y", "had_y").agg(F.count("*").alias("n"))
 
 
 @query("with r as (select l_returnflag = 'R' as x, l_tax > 0.04 as y, l_linenumber as z from lineitem), t as (select count(*) as total from r), pz as (select z, count(*) as nz from r group by z), py as (select x, z, avg(y::int) as p from r group by all) select x, round(sum(p * nz / total), 8) as effect from py join pz using (z), t group by x")

@@ -331,6 +331,48 @@ def test_causal(spark):
     assert v.paths("instrument", "outcome") == [["instrument", "treatment", "outcome"]]
 
 
+def test_causal_fitted(spark):
+    """Shares, draws, twins and adjustment sets of a model fitted to a table, against plain counts."""
+    import random
+
+    rng = random.Random(3)
+    data = []
+    for i in range(3000):
+        z = rng.choice("abc")
+        x = int(rng.random() < {"a": 0.2, "b": 0.5, "c": 0.9}[z])
+        data.append((i, z, x, int(rng.random() < 0.1 + 0.5 * x + (0.3 if z == "c" else 0))))
+    table = spark.createDataFrame([*data, (3000, None, 1, 1)], "id long, z string, x int, y int")
+    m = causal.fitted(table, {"z": (), "x": ("z",), "y": ("x", "z")}, seed="1")
+    assert m.variables["z"].domain == ("a", "b", "c") and m.variables["y"].parents == ("x", "z")
+    share = lambda keep, hit: sum(map(hit, d := [r for r in data if keep(r)])) / len(d)
+    effect = sum(share(lambda r: r[1] == z and r[2] == 1, lambda r: r[3]) * share(lambda r: True, lambda r: r[1] == z) for z in "abc")
+    assert m.probability(table, "y", 1, do={"x": 1}).first().probability == pytest.approx(effect, abs=0.04)
+    # what changes nothing leaves a row as it was; a rise of x never takes y away where it is more likely so
+    same = m.twins(table.dropna(), {}).collect()
+    assert len(same) == 3000 and all((r.z, r.x, r.y) == (r.had_z, r.had_x, r.had_y) for r in same)
+    had = m.twins(table.dropna(), {"x": 1}).collect()
+    assert all(r.had_x == 1 and r.had_z == r.z and r.had_y >= r.y for r in had)
+    assert sum(r.had_y for r in had) / 3000 == pytest.approx(effect, abs=0.03)
+    odd = spark.createDataFrame([(1, "new", 1, 1)], "id long, z string, x int, y int")
+    r = m.twins(odd, {"x": 0}).first()
+    assert r.had_z is None and r.had_x == 0 and r.had_y in (0, 1)
+    with pytest.raises(ValueError):
+        causal.fitted(table.limit(0), {"z": ()})
+    e = spark.createDataFrame([("z", "x"), ("z", "y"), ("x", "y"), ("x", "w"), ("w", "y"), ("v", "w")], "src string, dst string")
+    assert rows(causal.lineages(e)) == [("v", "w"), ("v", "y"), ("w", "y"), ("x", "w"), ("x", "y"), ("z", "w"), ("z", "x"), ("z", "y")]
+    pairs = spark.createDataFrame([("x", "y"), ("w", "y"), ("z", "y")], "x string, y string")
+    assert rows(causal.backdoor_sets(e, pairs)) == [("w", "y", "v"), ("w", "y", "x"), ("x", "y", "z")]
+
+
+def test_teacher_as_table(spark):
+    """A table of what is known answers as a function of it does; what it lacks has no answers."""
+    known = spark.createDataFrame([("a", "r", ["x", "y"]), ("b", "r", [])], "head string, relation string, tails array<string>")
+    asked = spark.createDataFrame([("a", "r"), ("a", "r"), ("b", "r"), ("c", "r")], "head string, relation string")
+    told = {"a": ["x", "y"]}
+    got = lambda t: sorted((r.head, r.relation, r.answers) for r in cascade.call_teacher(asked, t).collect())
+    assert got(known) == got(lambda h, r: told.get(h, [])) == [("a", "r", ["x", "y"]), ("b", "r", []), ("c", "r", [])]
+
+
 def test_planner():
     move = Action("move", (("?x", "at", "?a"), ("?a", "road", "?b")), (("?x", "at", "?b"),), (("?x", "at", "?a"),))
     start = {("me", "at", "a"), ("a", "road", "b"), ("b", "road", "c")}
