@@ -9,20 +9,22 @@ word in the group.  A word of a class adds its log share of the class, from the
 counts of all words of the corpus.
 
 Every position of every document is a training window in one of the rounds, so
-they grow with the corpus.  Documents are dealt out to replicas by hash; in
-each round every replica trains on its share from the common parameters, and the
-mean weighted by windows is the next common state.
+they grow with the corpus.  Positions that follow each other stay together in
+runs, so that the embedding of a token is looked up and changed once for all
+windows of its run; steps take runs in random order.  Documents are dealt out to
+replicas by hash; in each round every replica trains on its share from the common
+parameters, and the mean weighted by windows is the next common state.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,54 +36,97 @@ GROUPS, GROUP, CLASSES = 16, 128, 32
 FREQUENT = GROUPS * GROUP
 TOKENS = 1 + FREQUENT + CLASSES
 SIDE, HIDDEN = 3, 16
+RUN = 16  # windows that are kept together
 ROUNDS = 3
 WINDOWS = 1 << 20  # of one replica
 #: Windows of a training step, and tokens that are scored at once.
 BATCH, BLOCK = 1 << 11, 1 << 13
 #: Shares of the most frequent words are broadcast, KNOWN at most; those of all others are joined.  Rows of such words that leave a worker at once.
 KNOWN, ROWS = 1 << 16, 50_000
+#: Bytes of texts that are split at once, one text at least, and of words that are counted at once.
+TEXTS, COUNTED = 1 << 22, 1 << 23
 #: Bytes of the words of these shares, and of a word that can be frequent.
 KNOWN_BYTES, LONGEST = 1 << 22, 1 << 18
 
 
 def split(text: str) -> list[bytes]:
-    """Words between ASCII white space, with A-Z lower-cased."""
+    """Words of a text between ASCII white space, with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class Ids(dict):
-    """Token id of a word; classes are worked out when first asked for, and forgotten when there are many."""
+def _split(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(place of the first text, number of words of each, all their words) of a few texts at a time, as split gives them; null has none."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, "right")))
+        each = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, upto - at).fill_null("")))
+        words, offsets = each.flatten().cast(pa.binary()), each.offsets.to_numpy()
+        # white space at the ends of a text leaves an empty word there
+        some = pc.greater(pc.binary_length(words), 0)
+        before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        yield at, np.diff(before[offsets - offsets[0]]), words.filter(some)
+        at = upto
+
+
+class Ids:
+    """Token ids of words."""
 
     def __init__(self, frequent: list[bytes]) -> None:
-        self.fixed = {w: i + 1 for i, w in enumerate(frequent)}
-        super().__init__(self.fixed)
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self.update(self.fixed)
-            if w in self.fixed:
-                return self.fixed[w]
-        i = self[w] = 1 + FREQUENT + (w[-1] * 7 + (w[-2] * 3 if len(w) > 1 else 0) + min(len(w), 11) // 4) % CLASSES
-        return i
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
-
-
-def _log_sums(z: np.ndarray) -> np.ndarray:
-    """z less the logarithm of the sum of its exponentials, row by row, in place."""
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+        self.frequent = pa.array(frequent, pa.binary())
+
+    def __getitem__(self, w: bytes) -> int:
+        return int(self.of([w])[0])
+
+    def of(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        words = words.cast(pa.binary()) if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        if not len(words):
+            return np.empty(0, np.uint16)
+        ids = _places(words, self.frequent) + 1
+        rest = np.flatnonzero(ids == 0)
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+        data, end = np.frombuffer(data, np.uint8), offsets[1:][rest]
+        length = end - offsets[:-1][rest]
+        last, second = data[end - 1].astype(np.int32), np.where(length > 1, data[end - 2], 0).astype(np.int32)
+        ids[rest] = 1 + FREQUENT + (last * 7 + second * 3 + np.minimum(length, 11) // 4) % CLASSES
+        return ids.astype(np.uint16)
+
+
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word is found, -1 if it is not there."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False)
+
 
+#: Logits within it need no shift by their greatest: sums of their exponentials are float32.
+SAFE = 60.0
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Probabilities of each row, in place."""
-    z -= z.max(axis=1, keepdims=True)
+
+def _exps(z: np.ndarray, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in z.ravel() of one column of each row of logits, these logits, sums of the exponentials of the row); z becomes the exponentials.
+
+    Logits come from values within 1 by these weights, whose sums bound them:
+    only where those are large is each row shifted by its greatest logit first.
+    """
+    if not np.abs(weights).sum(axis=-2).max(initial=0) < SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    cells = np.arange(0, z.size, z.shape[1]) + at
+    right = z.ravel()[cells]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return cells, right, z @ np.ones(z.shape[1], np.float32)
+
+
+def _log_at(z: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log-probability of one column of each row of logits."""
+    _, right, sums = _exps(z, at, weights)
+    return right.astype(np.float64) - np.log(sums.astype(np.float64))
+
+
+def _errors(z: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int) -> None:
+    """Logits become the probabilities less 1 in one column of each row, over n."""
+    cells, _, sums = _exps(z, at, weights)
+    z *= (1 / (sums * np.float32(n)))[:, None]
+    z.ravel()[cells] -= np.float32(1 / n)
 
 
 @dataclass
@@ -117,101 +162,153 @@ class Net:
             at += p.size
         return cls(*parts)
 
-    def hidden(self, sides: np.ndarray) -> np.ndarray:
-        """From the tokens on both sides."""
-        h = self.table.take(sides[:, 0], axis=0) * self.scale[0]
-        for k in range(1, 2 * SIDE):
-            h += self.table.take(sides[:, k], axis=0) * self.scale[k]
-        h += self.bias
-        return np.tanh(h, out=h)
+    def with_biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """out and word, each with its bias as a last row."""
+        return np.concatenate([self.out, self.out_bias[None]]), np.concatenate([self.word, self.word_bias[:, None]], axis=1)
+
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        """Of all windows of runs, from the embeddings of the runs; a last column of ones meets the biases."""
+        run = near.shape[1] // HIDDEN - 2 * SIDE
+        z, part = np.tile(self.bias, (len(near), run)), np.empty((len(near), run * HIDDEN), np.float32)
+        for own, scale in zip(_sides(run), np.tile(self.scale, run)):
+            z += np.multiply(near[:, own], scale, out=part)
+        h = np.ones((len(near) * run, HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = np.tanh(z, out=z).reshape(-1, HIDDEN)
+        return h
+
+    def near(self, windows: np.ndarray) -> np.ndarray:
+        """The embeddings of runs, side by side."""
+        return self.table.take(windows, axis=0).reshape(len(windows), windows.shape[1] * HIDDEN)
 
     def log_probs(self, windows: np.ndarray) -> np.ndarray:
-        h, middle = self.hidden(windows[:, SIDES]), windows[:, SIDE].astype(np.int64) - 1
-        z = h @ self.out
-        z += self.out_bias
-        first, each = _first(middle), np.arange(len(z))
-        right = _log_sums(z)[each, first].astype(np.float64)
-        for g, at in _by_group(first):
-            z = h[at] @ self.word[g]
-            z += self.word_bias[g]
-            right[at] += _log_sums(z)[np.arange(len(at)), middle[at] % GROUP]
-        return right
+        """Of the positions of runs, one after the other; 0 for padding."""
+        out, word = self.with_biases()
+        middle = windows[:, SIDE:-SIDE].ravel()
+        order, first, ends = _by_group(middle)
+        h = self.hidden(self.near(windows)).take(order, axis=0)
+        right = _log_at(h @ out, first, out)
+        right[: ends[-1]] += _log_at(_words(h, word, ends), WITHIN.take(middle[order[: ends[-1]]]), word)
+        back = np.zeros(len(middle))
+        back[order] = right
+        return back
 
     def train(self, windows: np.ndarray, rng: np.random.Generator, rate: float, batch: int = BATCH) -> None:
-        """One pass of AdaGrad in random order."""
-        seen = [np.full_like(p, 1e-2) for p in self.params()]
-        order = rng.permutation(len(windows))
-        cell = np.arange(HIDDEN)
-        # reused by all steps: arrays of this size are costly to allocate
-        cells, parts = np.empty((batch, 2 * SIDE, HIDDEN), np.int64), np.empty((batch, 2 * SIDE, HIDDEN))
-        for at in range(0, len(order), batch):
-            w = windows[order[at : at + batch]]
-            sides, middle = w[:, SIDES].astype(np.int64), w[:, SIDE].astype(np.int64) - 1
-            n, h, first = np.float32(len(w)), self.hidden(sides), _first(middle)
-            z = _softmax(h @ self.out + self.out_bias)
-            z[np.arange(len(w)), first] -= 1
-            z /= n
-            grads = [np.zeros_like(p) for p in (self.word, self.word_bias)]
-            dh = z @ self.out.T
-            for g, rows in _by_group(first):
-                hg = h[rows]
-                y = _softmax(hg @ self.word[g] + self.word_bias[g])
-                y[np.arange(len(rows)), middle[rows] % GROUP] -= 1
-                y /= n
-                grads[0][g], grads[1][g] = hg.T @ y, y.sum(axis=0)
-                dh[rows] += y @ self.word[g].T
+        """One pass of AdaGrad over runs in random order."""
+        # all parameters lie in one array, all slopes in another; net and the names below are views of them
+        flat = np.concatenate([p.ravel() for p in (self.table, self.scale, self.bias, *self.with_biases())])
+        slopes, seen, step = np.zeros_like(flat), np.full_like(flat, 1e-2), np.empty_like(flat)
+        table, scale, bias, out, word = _views(flat)
+        to_table, to_scale, to_bias, to_out, to_word = _views(slopes)
+        net = Net(table, scale, bias, out[:-1], out[-1], word[:, :-1], word[:, -1])
+        run = windows.shape[1] - 2 * SIDE
+        order, runs = rng.permutation(len(windows)), max(1, batch // run)
+        for at in range(0, len(order), runs):
+            w = windows[order[at : at + runs]]
+            middle = w[:, SIDE:-SIDE].ravel()
+            rows, first, ends = _by_group(middle)
+            if not (n := len(rows)):
+                continue
+            near = net.near(w)
+            h = net.hidden(near).take(rows, axis=0)
+            z, y = h @ out, _words(h, word, ends)
+            _errors(z, first, out, n)
+            _errors(y, WITHIN.take(middle[rows[: ends[-1]]]), word, n)
+            np.matmul(h.T, z, out=to_out)
+            dh = z @ out[:-1].T
+            for g in range(GROUPS):
+                own = slice(ends[g], ends[g + 1])
+                np.matmul(h[own].T, y[own], out=to_word[g])
+                dh[own] += y[own] @ word[g, :-1].T
+            h = h[:, :HIDDEN]
             dh *= 1 - h * h
-            # places share the table: all of them are added up at once
-            scale = np.einsum("bh,bkh->kh", dh, self.table.take(sides, axis=0))
-            cells_, parts_ = cells[: len(w)], parts[: len(w)]
-            np.add((sides * HIDDEN)[:, :, None], cell, out=cells_)
-            np.multiply(dh[:, None, :], self.scale, out=parts_)
-            table = np.bincount(cells_.ravel(), parts_.ravel(), TOKENS * HIDDEN).reshape(TOKENS, HIDDEN).astype(np.float32)
-            for p, s, g in zip(self.params(), seen, (table, scale, dh.sum(axis=0), h.T @ z, z.sum(axis=0), *grads)):
-                s += g * g
-                p -= np.float32(rate) * g / np.sqrt(s)
-
+            np.matmul(np.ones(n, np.float32), dh, out=to_bias)
+            back = np.zeros((len(middle), HIDDEN), np.float32)
+            back[rows] = dh
+            back = back.reshape(len(w), -1)
+            # windows of a run share its embeddings: all of them are added up before the table is
+            parts, part, one = np.zeros_like(near), np.empty_like(back), np.ones(len(w), np.float32)
+            for k, own in enumerate(_sides(run)):
+                to_scale[k] = (one @ np.multiply(near[:, own], back, out=part)).reshape(run, HIDDEN).sum(axis=0)
+                parts[:, own] += np.multiply(back, np.tile(scale[k], run), out=part)
+            to_table[:] = np.bincount(TABLE_CELLS.take(w.ravel(), axis=0).ravel(), parts.ravel(), TOKENS * HIDDEN).reshape(TOKENS, HIDDEN)
+            seen += np.multiply(slopes, slopes, out=step)
+            np.divide(slopes, np.sqrt(seen, out=step), out=step)
+            step *= np.float32(rate)
+            flat -= step
+        for p, q in zip(self.params(), net.params()):
+            p[...] = q
+
+
+def _sides(run: int) -> list[slice]:
+    """Where the embeddings of a run hold those of each place of its windows but the middle."""
+    return [slice(k * HIDDEN, (k + run) * HIDDEN) for k in range(2 * SIDE + 1) if k != SIDE]
+
+
+def _views(flat: np.ndarray) -> list[np.ndarray]:
+    """table, scale, bias, out and word with their biases, as they lie in one array."""
+    at, parts = 0, []
+    for shape in ((TOKENS, HIDDEN), (2 * SIDE, HIDDEN), (HIDDEN,), (HIDDEN + 1, GROUPS + CLASSES), (GROUPS, HIDDEN + 1, GROUP)):
+        size = math.prod(shape)
+        parts.append(flat[at : at + size].reshape(shape))
+        at += size
+    return parts
+
+
+#: The group or, after the groups, the class of each token, and its place in the group; padding comes last.
+FIRST = np.concatenate([[GROUPS + CLASSES], np.repeat(np.arange(GROUPS), GROUP), GROUPS + np.arange(CLASSES)]).astype(np.uint8)
+WITHIN = (np.arange(TOKENS) - 1) % GROUP
+#: Places of the embedding of each token in the table.
+TABLE_CELLS = np.arange(TOKENS * HIDDEN).reshape(TOKENS, HIDDEN)
+
+
+def _by_group(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of tokens by group and class, without padding; these in that order; where each group begins and the last one ends)."""
+    first = FIRST.take(tokens)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    n = np.searchsorted(first, FIRST[0])
+    return order[:n], first[:n], np.searchsorted(first, np.arange(GROUPS + 1, dtype=np.uint8))
 
-#: Places of a window but the middle.
-SIDES = [k for k in range(2 * SIDE + 1) if k != SIDE]
 
+def _words(h: np.ndarray, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Logits of the words of its group for each row that has one."""
+    z = np.empty((ends[-1], GROUP), np.float32)
+    for g in range(GROUPS):
+        own = slice(ends[g], ends[g + 1])
+        np.matmul(h[own], word[g], out=z[own])
+    return z
 
-def _first(middle: np.ndarray) -> np.ndarray:
-    """The group or, after the groups, the class of tokens less 1."""
-    return np.where(middle < FREQUENT, middle // GROUP, middle - FREQUENT + GROUPS)
 
+def runs(texts: list[np.ndarray]) -> np.ndarray:
+    """All positions of texts, RUN to a row, with SIDE tokens before and after; padding (token 0) parts the texts."""
+    gap = np.zeros(SIDE, np.uint16)
+    return _rows(np.concatenate([gap, *[x for t in texts for x in (t, gap)]]))
 
-def _by_group(first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, its rows) of the rows whose token is a frequent word."""
-    order = np.argsort(first, kind="stable")
-    ends = np.searchsorted(first[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if ends[g] < ends[g + 1]:
-            yield g, order[ends[g] : ends[g + 1]]
 
-
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """A window for each position, padded by token 0; no windows without tokens."""
-    if not len(ids):
-        return np.empty((0, 2 * SIDE + 1), np.uint16)
-    pad = np.zeros(SIDE, np.uint16)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, ids, pad]), 2 * SIDE + 1)
+def _rows(tokens: np.ndarray) -> np.ndarray:
+    """runs of texts that are parted already."""
+    n = -(-(len(tokens) - 2 * SIDE) // RUN)
+    if n < 1:
+        return np.empty((0, RUN + 2 * SIDE), np.uint16)
+    padded = np.concatenate([tokens, np.zeros(n * RUN + 2 * SIDE - len(tokens), np.uint16)])
+    return np.lib.stride_tricks.sliding_window_view(padded, RUN + 2 * SIDE)[::RUN]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held: list[pa.Array] = []
 
     def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
+        each = pc.value_counts(pa.concat_arrays(held))
+        held.clear()
+        return pa.RecordBatch.from_arrays([each.field("values"), each.field("counts")], ["word", "n"])
 
     for b in batches:
-        for t in b.column(0):
-            seen.update(split(t.as_py() or ""))
-            if len(seen) > 200_000:
+        for _, _, words in _split(b.column(0)):
+            held.append(words)
+            if sum(x.nbytes for x in held) > COUNTED:
                 yield rows()
-    yield rows()
+    if held:
+        yield rows()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -223,15 +320,14 @@ def _class_counts(frequent: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, total = Ids(frequent), np.zeros(TOKENS, np.int64)
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[ids[w]] += n
+            np.add.at(total, ids.of(b.column(0)), b.column(1).to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(range(TOKENS), pa.int32()), pa.array(total)], ["token", "n"])
 
     return run
 
 
-def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, tuple[int, float]], list[float]]:
-    """({word: (count, log share of its token)} of the most frequent words, log count of each token).
+def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(the most frequent words, their counts, their log shares of their tokens, log count of each token).
 
     The least count of a word that is broadcast comes from a histogram of the
     counts, so that there are KNOWN at most, of KNOWN_BYTES, whatever the corpus.
@@ -239,7 +335,7 @@ def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, tuple[
     totals = np.ones(TOKENS)
     for r in counts.mapInArrow(_class_counts(frequent), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0").collect():
         totals[r.token] = r.n
-    logs, ids = np.log(totals).tolist(), Ids(frequent)
+    logs = np.log(totals)
     step = F.ceil(8 * F.log2("n")).cast("int")
     least, have, size = 1 << 60, 0, 0
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum(F.length("word")).alias("bytes")).orderBy(F.desc("step")).collect():  # eight rows a doubling
@@ -247,15 +343,18 @@ def shares(counts: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, tuple[
             break
         least = r.step
     best = counts.filter(step >= least).collect()
-    return {bytes(r.word): (r.n, math.log(r.n) - logs[ids[bytes(r.word)]]) for r in best}, logs
+    words, n = pa.array([bytes(r.word) for r in best], pa.binary()), np.array([r.n for r in best], np.int64)
+    return words, n, np.log(n) - logs[Ids(frequent).of(words)], logs
 
 
 def _tokens(frequent: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(frequent)
         for b in batches:
-            blobs = [ids.of(split(t.as_py() or "")).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], ["doc_id", "replica", "ids"])
+            for at, n, words in _split(b.column(1)):
+                ends = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.of(words))])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), b.column(2).slice(at, len(n)), blobs], ["doc_id", "replica", "ids"])
 
     return run
 
@@ -268,12 +367,13 @@ def _trained(start: np.ndarray, round_: int):
 
         def train() -> None:
             nonlocal n
-            w = np.concatenate(held)[round_::ROUNDS]
+            w = runs(held)[round_::ROUNDS]
             held.clear()
             net = Net.of_flat(start)
             net.train(w, np.random.default_rng([round_, now]), 0.4 / (1 + round_))
-            n += len(w)
-            np.add(total, net.flat().astype(np.float64) * len(w), out=total)
+            own = int(np.count_nonzero(w[:, SIDE:-SIDE]))
+            n += own
+            np.add(total, net.flat().astype(np.float64) * own, out=total)
 
         for b in batches:
             for r, x in zip(b.column(0).to_pylist(), b.column(1)):
@@ -281,7 +381,7 @@ def _trained(start: np.ndarray, round_: int):
                     train()
                     size = 0
                 now = r
-                held.append(contexts(np.frombuffer(x.as_py(), np.uint16)))
+                held.append(np.frombuffer(x.as_py(), np.uint16))
                 size += len(held[-1])
         if held:
             train()
@@ -324,21 +424,29 @@ def fitted(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[bytes
 
 def log_likelihood(words: list[bytes], ids: Ids, net: Net) -> tuple[int, float]:
     """(tokens, sum of their conditional log-probabilities) of the words of a whole text."""
-    windows = contexts(ids.of(words))
-    total = 0.0
-    for at in range(0, len(windows), BLOCK):
-        total += float(net.log_probs(windows[at : at + BLOCK]).sum())
-    return len(windows), total
+    windows = runs([ids.of(words)])
+    return len(words), float(_log_probs(windows, net).sum())
+
+
+def _log_probs(windows: np.ndarray, net: Net) -> np.ndarray:
+    """net.log_probs of runs, a block after the other."""
+    step = BLOCK // RUN
+    return np.concatenate([net.log_probs(windows[at : at + step]) for at in range(0, len(windows), step)] or [np.empty(0)])
+
 
+def log_likelihoods(n: np.ndarray, tokens: np.ndarray, net: Net) -> np.ndarray:
+    """Log-likelihoods of texts of n tokens each, whose windows are scored together."""
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(tokens)) + SIDE * text
+    padded = np.zeros(len(tokens) + SIDE * (len(n) + 1), np.uint16)
+    padded[at + SIDE] = tokens
+    return np.bincount(text, _log_probs(_rows(padded), net)[at], len(n))
 
-def log_likelihoods(texts: list[list[bytes]], ids: Ids, net: Net) -> list[float]:
-    """log_likelihood of several texts, whose windows are scored together."""
-    windows = [contexts(ids.of(t)) for t in texts]
-    every = np.concatenate(windows)
-    each = np.concatenate([net.log_probs(every[at : at + BLOCK]) for at in range(0, len(every), BLOCK)] or [np.empty(0)])
-    ends = np.cumsum([0, *map(len, windows)])
-    sums = np.concatenate([[0.0], np.cumsum(each)])
-    return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+
+def _by_text(text: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, how often it is there) of the words of texts, numbered below words."""
+    both, n = np.unique(text * max(1, words) + word, return_counts=True)
+    return *np.divmod(both, max(1, words)), n
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -357,52 +465,37 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = word_counts(docs)
     frequent, net = fitted(docs, counts)
     shared = spark.sparkContext.broadcast((frequent, net.flat(), *shares(counts, frequent)))
-    names = ("doc_id", "n_tokens", "token", "word", "alone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with head for each document, and one for each of its words that are not known here."""
-        words, flat, known, logs = shared.value
-        ids, net = Ids(words), Net.of_flat(flat)
+        frequent, flat, known, counted, share, logs = shared.value
+        ids, net = Ids(frequent), Net.of_flat(flat)
         row = TaskContext.get().partitionId() << 40
         kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token", pa.float64()), ("word", pa.float64()), ("alone", pa.int64())])
-        out: list[tuple] = []
-
-        def rows() -> pa.RecordBatch:
-            at, w, n, head = zip(*out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(head, kind)], ["row", "word", "n", "head"])
-
-        def document(i, text: list[bytes], token: float) -> None:
-            nonlocal row
-            share, alone = 0.0, 0
-            for w, k in Counter(text).items():
-                p = known.get(w)
-                if p is None:
-                    share -= k * logs[ids[w]]
-                    out.append((row, w, k, None))
-                else:
-                    share += k * p[1]
-                    alone += k * (p[0] == k)
-            # no word has a space: heads meet no count, and are dealt evenly
-            out.append((row, b" %d" % row, 0, dict(zip(names, (i, len(text), token, share, alone)))))
-            row += 1
+
+        def rows(at: np.ndarray, words: pa.Array, n: np.ndarray, head: pa.Array) -> Iterator[pa.RecordBatch]:
+            b = pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), words, pa.array(n, pa.int64()), head], ["row", "word", "n", "head"])
+            for k in range(0, len(at), ROWS):
+                yield b.slice(k, ROWS)
 
         for b in batches:
-            held: list[tuple] = []
-            size = 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                held.append((i, split(t.as_py() or "")))
-                size += len(held[-1][1])
-                if size > 4 * BLOCK:
-                    for (j, text), token in zip(held, log_likelihoods([x for _, x in held], ids, net)):
-                        document(j, text, token)
-                    held, size = [], 0
-                if len(out) > ROWS:
-                    yield rows()
-            for (j, text), token in zip(held, log_likelihoods([x for _, x in held], ids, net)) if held else ():
-                document(j, text, token)
-            if out:
-                yield rows()
+            for first, n, words in _split(b.column(1)):
+                tokens, place, text = ids.of(words), _places(words, known), np.repeat(np.arange(len(n)), n)
+                here = place >= 0
+                shares_ = np.bincount(text, np.where(here, share[place] if len(share) else 0.0, -logs[tokens]), len(n))
+                # a known word can be in one text alone if all there are of it are among these texts
+                whole = np.bincount(place[here], minlength=len(counted)) == counted
+                at = np.flatnonzero(here)[whole[place[here]]]
+                text_, word, k = _by_text(text[at], place[at], len(counted))
+                alone = np.bincount(text_, k * (k == counted[word]), len(n)).astype(np.int64)
+                at = row + np.arange(len(n))
+                head = [b.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(log_likelihoods(n, tokens, net)), pa.array(shares_), pa.array(alone)]
+                # no word has a space: heads meet no count, and are dealt evenly
+                yield from rows(at, pa.array([b" %d" % i for i in at.tolist()], pa.binary()), np.zeros(len(n), np.int64), pa.StructArray.from_arrays(head, fields=list(kind)))
+                rest = words.filter(pa.array(~here)).dictionary_encode()
+                text_, word, k = _by_text(text[~here], rest.indices.to_numpy(), len(rest.dictionary))
+                yield from rows(at[text_], rest.dictionary.take(pa.array(word)), k, pa.nulls(len(k), kind))
+                row += len(n)
 
     each = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, word binary, n long, head struct<doc_id long, n_tokens long, token double, word double, alone long>")
     each = each.join(counts.withColumnRenamed("n", "count"), "word", "left")

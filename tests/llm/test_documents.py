@@ -565,6 +565,60 @@ def test_lm_gradient(spark):
     assert np.isfinite(big.log_probs(w)).all()
 
 
+def test_lm_runs_share_their_embeddings():
+    """Windows of a run cost one look-up a position, and score and train as they do apart."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, lm_scoring.TOKENS, n).astype(np.uint16) for n in (0, 1, 2, 15, 16, 17, 400, 0, 1000, 90)]
+    runs, side, n = lm_scoring.runs(texts), lm_scoring.SIDE, sum(map(len, texts))
+    assert runs.size < 2 * n
+    gap = [0] * side
+    apart = [[*gap, *t.tolist(), *gap][i : i + 2 * side + 1] for t in texts for i in range(len(t))]
+    apart = np.array(apart, np.uint16)
+    one, two = lm_scoring.Net.fresh(), lm_scoring.Net.fresh()
+    for _ in range(3):  # each step takes all windows
+        one.train(runs, rng, 0.1, batch=1 << 13)
+        two.train(apart, rng, 0.1, batch=1 << 13)
+    assert not np.allclose(one.flat(), lm_scoring.Net.fresh().flat(), atol=1e-2)
+    assert np.allclose(one.flat(), two.flat(), atol=1e-4)
+    middle = runs[:, side:-side].ravel()
+    got = one.log_probs(runs)
+    assert np.array_equal(middle[middle > 0], apart[:, side]) and not got[middle == 0].any()
+    assert np.allclose(got[middle > 0], one.log_probs(apart), atol=1e-5)
+    want = [brute_score(t, one) for t in texts]
+    assert np.allclose(lm_scoring.log_likelihoods(np.array([len(t) for t in texts]), np.concatenate(texts), one), want, rtol=1e-5)
+    for empty in (lm_scoring.runs([]), lm_scoring.runs([texts[0]] * 9)):
+        one.train(empty, rng, 0.1)
+        assert not one.log_probs(empty).any()
+
+
+def test_lm_words_of_odd_texts(monkeypatch):
+    """Words and tokens of many texts at once are those of one text, one word after the other."""
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a", " \t\n\x0b\x0c\r", "\x0bAb\x0cC\r\nd  ", "\x1cA\x1fb\x85c\u00a0D\u2003E", "\u00c4\u00d6 \u0130I \u1e9e", "x\x00y \x00", "\U0001f600 \u00e9" * 50, "Z" * 5000, *(r[1] for r in made())]
+    want = [lm_scoring.split(t or "") for t in texts]
+    frequent = sorted({w for t in want for w in t})[::7]
+    ids = lm_scoring.Ids(frequent)
+
+    def token(w):
+        if w in frequent:
+            return 1 + frequent.index(w)
+        return 1 + lm_scoring.FREQUENT + (w[-1] * 7 + (w[-2] * 3 if len(w) > 1 else 0) + min(len(w), 11) // 4) % lm_scoring.CLASSES
+
+    for size in (1 << 22, 100):
+        monkeypatch.setattr(lm_scoring, "TEXTS", size)
+        for column, first in ((pa.array(texts, pa.string()), 0), (pa.array(texts, pa.string()).slice(3), 3)):
+            place = 0
+            for at, n, words in lm_scoring._split(column):
+                own = want[first + at : first + at + len(n)]
+                assert at == place and n.tolist() == list(map(len, own))
+                assert words.to_pylist() == [w for t in own for w in t]
+                assert ids.of(words).tolist() == [token(w) for t in own for w in t]
+                place += len(n)
+            assert place == len(column)
+    assert [ids[w] for w in want[5]] == [token(w) for w in want[5]] == ids.of(want[5]).tolist()
+
+
 def test_lm_learns(spark):
     """Shuffled words score lower than the text they come from."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
