@@ -45,3 +45,49 @@ def test_warmup_asks_for_a_customer_without_other_edges(spark, tables):
     replaced(tables, "customer", c.selectExpr("* except (c_nationkey)", f"cast(if(c_custkey = 0, {held}, c_nationkey) as int) as c_nationkey").select(c.columns))
     got, want = same_as_sql(spark, "c2_warmup", str(tables))
     assert got == want
+
+
+E_ = "src string, rel string, dst string"
+
+
+def chain(spark, monkeypatch):
+    """A chain of 12 edges of either kind, with rounds of steps that end before it does."""
+    from graphloom.plans import fixpoint, maintain
+
+    monkeypatch.setattr(fixpoint, "STEPS", 3)
+    monkeypatch.setattr(maintain, "STEPS", 3)
+    rows = [(f"c{i}", "manages" if i % 3 else "mentors", f"c{i + 1}") for i in range(12)] + [("c2", "mentors", "c4"), ("c4", "mentors", "c5")]
+    return rows, spark.createDataFrame(rows, E_)
+
+
+def pairs(rows, gone=(), without=None):
+    """The pairs that the edges left lead to."""
+    e = {(s, d) for s, r, d in rows if (s, r, d) not in gone and r != without}
+    out = set(e)
+    while more := {(a, d) for a, b in out for c, d in e if b == c} - out:
+        out |= more
+    return sorted(out)
+
+
+def over(df):
+    return sorted(map(tuple, df.filter("rel = 'over'").select("src", "dst").collect()))
+
+
+def test_facts_deleted_from_a_closure_by_steps(spark, monkeypatch):
+    """As many derivations as steps into an end, not as middles; premises of earlier rounds; whatever the length of chains."""
+    from graphloom.plans import fixpoint, maintain
+    from graphloom.plans.stage import staged
+    from graphloom.queries_flow import OVER
+
+    rows, e = chain(spark, monkeypatch)
+    closed = staged(fixpoint.closure(e, list(OVER), by_steps=True))
+    assert over(closed) == pairs(rows)
+    of = {(r.src, r.rel, r.dst): r for r in closed.collect()}
+    for r in of.values():
+        assert all(of[tuple(p)].round < r.round for p in r.premises or [])
+        assert r.rule != "both" or r.round > 3 or of[tuple(r.premises[1])].rule != "both"  # the second premise is a step
+    gone = [rows[3], rows[7], rows[12]]
+    after = staged(maintain.deleted(closed, list(OVER), spark.createDataFrame(gone, E_)))
+    assert over(after) == pairs(rows, gone) and after.count() == after.select("src", "rel", "dst").distinct().count()
+    known = {(r.src, r.rel, r.dst): r.round for r in after.collect()}
+    assert all(known[tuple(p)] < r.round for r in after.collect() for p in r.premises or [])
