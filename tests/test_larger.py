@@ -91,3 +91,13 @@ def test_facts_deleted_from_a_closure_by_steps(spark, monkeypatch):
     assert over(after) == pairs(rows, gone) and after.count() == after.select("src", "rel", "dst").distinct().count()
     known = {(r.src, r.rel, r.dst): r.round for r in after.collect()}
     assert all(known[tuple(p)] < r.round for r in after.collect() for p in r.premises or [])
+
+
+def test_rule_retired_from_a_closure_by_steps(spark, monkeypatch):
+    """What the retired rule's steps led to goes, but for what others lead to."""
+    from graphloom.plans import fixpoint, maintain
+    from graphloom.queries_flow import OVER
+
+    rows, e = chain(spark, monkeypatch)
+    closed = fixpoint.closure(e, list(OVER), by_steps=True)
+    assert over(maintain.deleted(closed, list(OVER), retired=["mentor"])) == pairs(rows, without="mentors")
