@@ -101,3 +101,15 @@ def test_rule_retired_from_a_closure_by_steps(spark, monkeypatch):
     rows, e = chain(spark, monkeypatch)
     closed = fixpoint.closure(e, list(OVER), by_steps=True)
     assert over(maintain.deleted(closed, list(OVER), retired=["mentor"])) == pairs(rows, without="mentors")
+
+
+def test_facts_inserted_into_a_closure_by_steps(spark, monkeypatch):
+    """New steps in the middle of long chains."""
+    from graphloom.plans import fixpoint, maintain
+    from graphloom.queries_flow import OVER
+
+    rows, _ = chain(spark, monkeypatch)
+    new = [rows[3], rows[7], rows[12]]
+    closed = fixpoint.closure(spark.createDataFrame([r for r in rows if r not in new], E_), list(OVER), by_steps=True)
+    more = maintain.inserted(closed, list(OVER), spark.createDataFrame(new, E_))
+    assert over(more) == pairs(rows) and more.count() == more.select("src", "rel", "dst").distinct().count()
