@@ -212,7 +212,7 @@ def _mechanism(table: dict[tuple, Column], marginal: Column, parents: tuple[str,
 
 def lineages(edges: DataFrame) -> DataFrame:
     """(src, dst): every cause with all that it leads to, for a causal graph that is a table of edges(src, dst)."""
-    return closure(edges.select("src", F.lit("causes").alias("rel"), "dst").distinct(), axiom_rules([{"name": "causes", "transitive": True}])).filter("rel = 'causes'").select("src", "dst")
+    return closure(edges.select("src", F.lit("causes").alias("rel"), "dst").distinct(), axiom_rules([{"name": "causes", "transitive": True}]), by_steps=True).filter("rel = 'causes'").select("src", "dst")
 
 
 def backdoor_sets(edges: DataFrame, pairs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -222,4 +222,6 @@ def backdoor_sets(edges: DataFrame, pairs: DataFrame, lines: DataFrame | None =
     """
     lines = lineages(edges) if lines is None else lines
     z = pairs.select("x", "y").distinct().join(edges.select(F.col("dst").alias("x"), F.col("src").alias("z")).distinct(), "x").filter("z <> y AND z <> x")
-    return z.join(lines.select(F.col("src").alias("x"), F.col("dst").alias("z")), ["x", "z"], "left_anti").select("x", "y", "z")
+    # a cause that x leads to is one of a loop through x: other lines needn't be looked through
+    loops = staged(lines.filter("src = dst").select(F.col("src").alias("x")))
+    return z.join(lines.select(F.col("src").alias("x"), F.col("dst").alias("z")).join(loops, "x", "left_semi"), ["x", "z"], "left_anti").select("x", "y", "z")

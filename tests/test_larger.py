@@ -113,3 +113,18 @@ def test_facts_inserted_into_a_closure_by_steps(spark, monkeypatch):
     closed = fixpoint.closure(spark.createDataFrame([r for r in rows if r not in new], E_), list(OVER), by_steps=True)
     more = maintain.inserted(closed, list(OVER), spark.createDataFrame(new, E_))
     assert over(more) == pairs(rows) and more.count() == more.select("src", "rel", "dst").distinct().count()
+
+
+def test_lineages_go_on_by_steps(spark, monkeypatch):
+    """Every cause with all it leads to, on a chain longer than the rounds of steps, with a loop at its end."""
+    from graphloom.operators import causal
+    from graphloom.plans import fixpoint
+
+    seen = []
+    plain = fixpoint._derive
+    monkeypatch.setattr(fixpoint, "_derive", lambda *a: seen.append(a[-1]) or plain(*a))
+    rows, _ = chain(spark, monkeypatch)
+    rows = [(s, "causes", d) for s, _, d in rows] + [("c12", "causes", "c10")]
+    got = causal.lineages(spark.createDataFrame(rows, E_).select("src", "dst"))
+    assert sorted(map(tuple, got.collect())) == pairs(rows)
+    assert seen[:4] == [True, True, True, False]
