@@ -128,3 +128,11 @@ def test_lineages_go_on_by_steps(spark, monkeypatch):
     got = causal.lineages(spark.createDataFrame(rows, E_).select("src", "dst"))
     assert sorted(map(tuple, got.collect())) == pairs(rows)
     assert seen[:4] == [True, True, True, False]
+
+
+def test_text_starts_by_a_table_of_signs(spark):
+    """No sign is hashed for a row: the projection is there before any text is read."""
+    from graphloom.operators import link
+
+    got = link.seeded(spark.createDataFrame([("a", "b c")], "id string, text string"), 2, 8)
+    assert "md5" not in got._jdf.queryExecution().analyzed().toString()
