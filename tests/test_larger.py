@@ -136,3 +136,28 @@ def test_text_starts_by_a_table_of_signs(spark):
 
     got = link.seeded(spark.createDataFrame([("a", "b c")], "id string, text string"), 2, 8)
     assert "md5" not in got._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("kind", ["complex", "rotate"])
+def test_scores_are_written_out(spark, kind):
+    """The same scores as those of the plain expression, which is kept for vectors of several lengths and for missing coordinates."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import link
+
+    score = {"complex": link.complex_score, "rotate": link.rotate_score}[kind]
+    rng = random.Random(3)
+    vec = lambda n: [rng.uniform(-1, 1) for _ in range(n)]
+    rows = [(f"e{i}", vec(5), vec(5)) for i in range(7)]
+    schema = "id string, re array<double>, im array<double>"
+    rels = spark.createDataFrame([("r", vec(5), vec(5)), ("s", [0.0] * 5, [0.0] * 5)], schema)
+    q = spark.createDataFrame([("q1", "e1", "r"), ("q2", "e2", "s"), ("q3", "none", "r")], "q string, head string, relation string")
+    for extra, short in (([], True), ([("x", vec(4), vec(4))], False), ([("x", [None, *vec(4)], vec(5)), ("y", None, vec(5))], False)):
+        ents = spark.createDataFrame(rows + extra, schema)
+        got = link.scores(q, ents, rels, score=score)
+        plain = link.scores(q, ents, rels, ents.select(F.explode(F.array(F.lit("r"), F.lit("s"))).alias("relation"), "id"), score=score)
+        key = lambda d: {(r.q, r.head, r.relation, r.tail): None if r.score is None else round(r.score, 9) for r in d.collect()}
+        assert key(got) == key(plain) and len(key(got)) == 2 * (6 + len(extra))
+        assert ("aggregate(" not in got._jdf.queryExecution().analyzed().toString()) == short
