@@ -161,3 +161,25 @@ def test_scores_are_written_out(spark, kind):
         key = lambda d: {(r.q, r.head, r.relation, r.tail): None if r.score is None else round(r.score, 9) for r in d.collect()}
         assert key(got) == key(plain) and len(key(got)) == 2 * (6 + len(extra))
         assert ("aggregate(" not in got._jdf.queryExecution().analyzed().toString()) == short
+
+
+def test_best_tails_by_a_bound(spark):
+    """Predictions and temperatures against plain sums, with ties, few tails and many."""
+    import math
+    import random
+
+    from graphloom.operators import link
+
+    rng = random.Random(4)
+    by = {"many": {f"t{i}": rng.randrange(40) / 10 for i in range(300)}, "few": {"a": 1.0, "b": 1.0, "c": -2.0}, "same": {f"s{i}": 0.5 for i in range(70)}}
+    s = spark.createDataFrame([(q, t, x) for q, own in by.items() for t, x in own.items()], "q string, tail string, score double")
+    got = {r.q: r for r in link.predictions(s, 0.5).collect()}
+    for q, own in by.items():
+        best = sorted(own, key=lambda t: (-own[t], t))[:5]
+        assert got[q].ranking == best and got[q].tail == best[0]
+        assert math.isclose(got[q].confidence, 1 / sum(math.exp((x - own[best[0]]) / 0.5) for x in own.values()))
+    gold = {"many": "t7", "few": "c"}
+    nll = {r.temperature: r.nll for r in link.calibrate(s, spark.createDataFrame(list(gold.items()), "q string, tail string"), [0.5, 2.0]).collect()}
+    for t, x in nll.items():
+        assert math.isclose(x, sum(math.log(sum(math.exp(v / t) for v in by[q].values())) - by[q][g] / t for q, g in gold.items()) / 2)
+    assert len(nll) == 2 and link.BUCKETS > 5
