@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.stage import staged
+
 #: Two-sided quantiles of the normal distribution.
 NORMAL = {0.90: 1.6449, 0.95: 1.9600, 0.99: 2.5758}
 #: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom.
@@ -163,10 +165,18 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return each.agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("k")).alias("ece"))
 
 
-def filtered_ranks(scores: DataFrame, gold: DataFrame, known: DataFrame) -> DataFrame:
-    """gold(q, tail) with rank among scores(q, tail, score): 1 + strictly better tails that aren't known(q, tail) answers of the query."""
+def filtered_ranks(scores: DataFrame, gold: DataFrame, known: DataFrame | Column) -> DataFrame:
+    """gold(q, tail) with rank among scores(q, tail, score): 1 + strictly better tails that aren't known(q, tail) answers of the query.
+
+    known may be a condition on q and tail instead of a table; then scores are
+    read twice, and neither staged nor dealt out.
+    """
     own = gold.join(scores, ["q", "tail"]).select("q", "tail", F.col("score").alias("gold_score"))
-    rest = scores.join(known.select("q", "tail").distinct(), ["q", "tail"], "left_anti").select("q", F.col("tail").alias("other"), "score")
+    if isinstance(known, Column):
+        own, unknown = staged(own), scores.filter(~F.coalesce(known, F.lit(False)))
+    else:
+        unknown = scores.join(known.select("q", "tail").distinct(), ["q", "tail"], "left_anti")
+    rest = unknown.select("q", F.col("tail").alias("other"), "score")
     better = own.join(rest, "q").filter((F.col("score") > F.col("gold_score")) & (F.col("other") != F.col("tail"))).groupBy("q", "tail").agg(F.count("*").alias("better"))
     return own.join(better, ["q", "tail"], "left").select("q", "tail", (F.coalesce("better", F.lit(0)) + 1).alias("rank"))
 

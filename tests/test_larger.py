@@ -183,3 +183,16 @@ def test_best_tails_by_a_bound(spark):
     for t, x in nll.items():
         assert math.isclose(x, sum(math.log(sum(math.exp(v / t) for v in by[q].values())) - by[q][g] / t for q, g in gold.items()) / 2)
     assert len(nll) == 2 and link.BUCKETS > 5
+
+
+def test_ranks_by_a_condition(spark):
+    """Known tails as a condition and as a table give the same ranks."""
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import evaluation
+
+    s = spark.createDataFrame([("q", f"{i}", float(i % 7)) for i in range(30)] + [("p", "4", 1.0), ("p", "5", 1.0)], "q string, tail string, score double")
+    gold = spark.createDataFrame([("q", "5"), ("q", "3"), ("p", "4"), ("p", "none")], "q string, tail string")
+    known = F.col("tail").cast("long") % 10 == 3
+    rows = lambda k: sorted(map(tuple, evaluation.filtered_ranks(s, gold, k).collect()))
+    assert rows(known) == rows(s.filter(known).select("q", "tail")) and len(rows(known)) == 3
