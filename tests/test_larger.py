@@ -196,3 +196,13 @@ def test_ranks_by_a_condition(spark):
     known = F.col("tail").cast("long") % 10 == 3
     rows = lambda k: sorted(map(tuple, evaluation.filtered_ranks(s, gold, k).collect()))
     assert rows(known) == rows(s.filter(known).select("q", "tail")) and len(rows(known)) == 3
+
+
+def test_pairs_of_one_nation_are_not_dealt_out_again(spark, tables):
+    """Pairs come once where each supplier has one nation, and are made distinct where one has two."""
+    distinct = lambda: "Deduplicate" in (p := QUERIES["r5_distinct_guard"](spark, str(tables))._jdf.queryExecution().analyzed().toString()) or "Distinct" in p
+    assert not distinct()
+    c = spark.read.parquet(f"{SF}/supplier.parquet")
+    replaced(tables, "supplier", c.union(c.filter("s_suppkey < 3").selectExpr(*[f"cast((s_nationkey + 1) % 3 as int) as {x}" if x == "s_nationkey" else x for x in c.columns])).union(c.filter("s_suppkey < 4").selectExpr(*[f"cast(1 as int) as {x}" if x == "s_nationkey" else x for x in c.columns])))
+    got, want = same_as_sql(spark, "r5_distinct_guard", str(tables))
+    assert got == want and distinct()
